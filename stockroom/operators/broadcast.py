@@ -1,0 +1,35 @@
+"""Broadcast only behind a size check.
+
+``checked_broadcast`` counts at most ``max_rows + 1`` rows of a dimension
+(a bounded job; the LIMIT stops the scan early for plain scans) and adds the
+broadcast hint only when the dimension is proven small. Otherwise the join is
+left to the planner: a shuffle join, re-planned by AQE from real sizes, with
+skew splitting on. Results are memoised per plan so a report that prices
+sales many times pays for the check once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 2_000_000
+_checked: dict[tuple[int, int], bool] = {}
+
+
+def max_broadcast_rows(df: DataFrame) -> int:
+    value = df.sparkSession.conf.get("stockroom.broadcast.maxRows", None)
+    return int(value) if value else DEFAULT_MAX_ROWS
+
+
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    limit = max_rows if max_rows is not None else max_broadcast_rows(df)
+    key = (df.semanticHash(), limit)
+    if key not in _checked:
+        _checked[key] = df.limit(limit + 1).count() <= limit
+    return _checked[key]
+
+
+def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
