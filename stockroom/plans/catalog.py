@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_reports  # noqa: F401
+from . import q_analytics, q_reports  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
