@@ -44,6 +44,30 @@ SELECT s.Date, s.Brand_Category, s.Brand, s.Size_ML, s.Qty, p.Mrp AS unit_price,
        CAST(s.Qty * p.Mrp AS DECIMAL(18,2)) AS total
 FROM daily_sales s LEFT JOIN price2 p ON s.Brand = p.Brand AND s.Size_ML = p.Size_ML""",
                  ["daily_sales", "price2"]),
+    "stock_dated": ("""
+SELECT * FROM monthly_stock UNION ALL SELECT * FROM incoming_stock""", ["monthly_stock", "incoming_stock"]),
+    "catalogue": ("""
+SELECT p.Sl_No AS product_id,
+       CONCAT('(', p.Brand_Category, ') - ', p.Brand, ' - ', CAST(p.Size_ML AS VARCHAR), ' ML') AS product_name,
+       p.Brand_Category AS category, p.Mrp AS price, m.Qty AS stock_quantity, 60 AS reorder_level
+FROM price_list p JOIN monthly_stock m
+  ON p.Brand_Category = m.Brand_Category AND p.Brand = m.Brand AND p.Size_ML = m.Size_ML""",
+                  ["price_list", "monthly_stock"]),
+    "catalogue_sales": ("""
+SELECT p.Sl_No AS product_id, s.Qty AS quantity_sold, s.Date AS sale_date
+FROM daily_sales s JOIN price_list p
+  ON p.Brand_Category = s.Brand_Category AND p.Brand = s.Brand AND p.Size_ML = s.Size_ML""",
+                        ["daily_sales", "price_list"]),
+    # Receipts (+) and sales (-) per product and date.
+    "moves": ("""
+SELECT Brand_Category, Brand, Size_ML, Date, CAST(SUM(i) AS BIGINT) AS Incoming_Qty,
+       CAST(SUM(o) AS BIGINT) AS Sales_Qty, CAST(SUM(i) - SUM(o) AS BIGINT) AS Change
+FROM (SELECT Brand_Category, Brand, Size_ML, Date, Qty AS i, 0 AS o FROM incoming_stock
+      UNION ALL SELECT Brand_Category, Brand, Size_ML, Date, 0, Qty FROM daily_sales) u
+GROUP BY Brand_Category, Brand, Size_ML, Date""", ["incoming_stock", "daily_sales"]),
+    "opening": ("""
+SELECT Brand_Category, Brand, Size_ML, CAST(SUM(Qty) AS BIGINT) AS b0 FROM monthly_stock
+GROUP BY Brand_Category, Brand, Size_ML""", ["monthly_stock"]),
     "tally_lines": (r"""
 SELECT *, TRIM(REGEXP_REPLACE(stock_item_name, '(?i)\s*\d+\s*-\s*ML.*$', '')) AS brand,
        TRY_CAST(REGEXP_EXTRACT(UPPER(stock_item_name), '(\d+)\s*-\s*ML', 1) AS INTEGER) AS size_ml,

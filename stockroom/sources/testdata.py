@@ -142,6 +142,44 @@ class ShopData:
             F.col("p_retailprice").cast(MONEY).alias("rate"),
             F.col("l_extendedprice").cast(MONEY).alias("amount"))
 
+    def date_keyed_stock(self) -> DataFrame:
+        """Date-keyed current inventory: opening rows plus receipt rows."""
+        return self.monthly_stock().unionByName(self.incoming_stock())
+
+    def catalogue(self, reorder_level: int = 60) -> DataFrame:
+        """Product catalogue for the catalogue batch job (I13): one row per
+        priced product; product_id is its serial number."""
+        p = self.price_list()
+        m = self.monthly_stock().select(*PRODUCT, F.col("Qty").alias("stock_quantity"))
+        from ..functions.text import look_column
+        return p.join(m, PRODUCT).select(
+            F.col("Sl_No").alias("product_id"), look_column(*PRODUCT).alias("product_name"),
+            F.col("Brand_Category").alias("category"), F.col("Mrp").alias("price"), "stock_quantity",
+            F.lit(reorder_level).alias("reorder_level"))
+
+    def catalogue_sales(self) -> DataFrame:
+        """Sales of catalogue products: product_id, quantity_sold, sale_date."""
+        p = self.price_list().select(*PRODUCT, "Sl_No")
+        return self.daily_sales().join(p, PRODUCT).select(
+            F.col("Sl_No").alias("product_id"), F.col("Qty").alias("quantity_sold"), F.col("Date").alias("sale_date"))
+
+    def sales_requests(self) -> DataFrame:
+        """A sales file with a defined row order (I9): the sold line items,
+        numbered within each (product, date) by their line-item identity.
+        Identical line items may swap numbers; they are indistinguishable in
+        the output."""
+        from pyspark.sql import Window
+        li = (self.table("lineitem").filter(F.col("l_linestatus") == "F")
+              .select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity",
+                      "l_extendedprice", "l_discount", "l_tax"))
+        j = li.join(self._part_products(), li.l_partkey == F.col("p_partkey"))
+        j = j.select(F.col("l_shipdate").cast("date").alias("Date"), *PRODUCT,
+                     F.col("l_quantity").cast("int").alias("Qty"), "l_orderkey", "l_linenumber", "l_suppkey",
+                     "l_extendedprice", "l_discount", "l_tax")
+        w = Window.partitionBy("Date", *PRODUCT).orderBy("l_orderkey", "l_linenumber", "l_suppkey", "Qty",
+                                                          "l_extendedprice", "l_discount", "l_tax")
+        return j.withColumn("row", F.row_number().over(w).cast("bigint")).select("row", "Date", *PRODUCT, "Qty")
+
     def stock_movements(self) -> DataFrame:
         """Signed stock events keyed by user_id (stands in for a product)."""
         ev = self.table("events").filter(F.col("event_type").isin("signup", "purchase"))
