@@ -18,29 +18,29 @@ DAY_FIRST_PATTERNS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d"
 
 def parse_dmy(c) -> Column:
     """``DD/MM/YYYY`` (one or two digit day and month) -> DATE or NULL."""
-    return F.try_to_date(col_of(c), F.lit("d/M/yyyy"))
+    return F.try_to_date(col_of(c), "d/M/yyyy")
 
 
 def parse_day_first(c, patterns: list[str] | None = None) -> Column:
     """First layout that parses wins; NULL when none does."""
     c = F.trim(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_date(c, F.lit(p)) for p in (patterns or DAY_FIRST_PATTERNS)])
+    return F.coalesce(*[F.try_to_date(c, p) for p in (patterns or DAY_FIRST_PATTERNS)])
 
 
 def parse_dmy_or_iso(c) -> Column:
     """``DD/MM/YYYY`` or ``YYYY-MM-DD``."""
     c = F.trim(col_of(c).cast("string"))
-    return F.coalesce(F.try_to_date(c, F.lit("d/M/yyyy")), F.try_to_date(c, F.lit("yyyy-M-d")))
+    return F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-M-d"))
 
 
 def parse_yyyymmdd(c) -> Column:
     """Accounting export date ``YYYYMMDD``."""
-    return F.try_to_date(F.trim(col_of(c)), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.trim(col_of(c)), "yyyyMMdd")
 
 
 def parse_d_mon_yy(c) -> Column:
     """Price-list date ``1-Apr-26``."""
-    return F.try_to_date(F.initcap(F.trim(col_of(c))), F.lit("d-MMM-yy"))
+    return F.try_to_date(F.initcap(F.trim(col_of(c))), "d-MMM-yy")
 
 
 def to_date_any(c) -> Column:

@@ -161,8 +161,8 @@ def question_date(c, as_of) -> Column:
     dmy = F.regexp_extract(t, r"\b(\d{2}/\d{2}/\d{4})\b", 1)
     as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
     return (F.when(F.instr(t, "today") > 0, as_of_col)
-            .when(iso != "", F.try_to_date(iso, F.lit("yyyy-MM-dd")))
-            .when(dmy != "", F.try_to_date(dmy, F.lit("dd/MM/yyyy")))
+            .when(iso != "", F.try_to_date(iso, "yyyy-MM-dd"))
+            .when(dmy != "", F.try_to_date(dmy, "dd/MM/yyyy"))
             .otherwise(as_of_col))
 
 

@@ -77,24 +77,27 @@ def apply_sales(inventory: DataFrame, sales: DataFrame, keys: list[str] | None =
 
 
 def signed_movements(incoming: DataFrame | None, sales: DataFrame | None, keys: list[str],
-                     date_col: str | None = "Date", value: str = "Qty") -> DataFrame:
+                     date_col: str | None = "Date", value: str = "Qty", count_sales: bool = False) -> DataFrame:
     """Receipts +Qty and sales -Qty in one union, aggregated per
     (key, date) with the incoming and sold parts kept apart. One shuffle
-    instead of two full outer joins."""
+    instead of two full outer joins. ``count_sales`` adds ``Sales_Rows``
+    (a sale of quantity 0 still counts as a sale that day)."""
     by = keys + ([date_col] if date_col else [])
     parts = []
     if incoming is not None:
         parts.append(incoming.select(*by, F.col(value).cast("bigint").alias("_in"),
-                                     F.lit(0).cast("bigint").alias("_out")))
+                                     F.lit(0).cast("bigint").alias("_out"), F.lit(0).alias("_is_sale")))
     if sales is not None:
         parts.append(sales.select(*by, F.lit(0).cast("bigint").alias("_in"),
-                                  F.col(value).cast("bigint").alias("_out")))
+                                  F.col(value).cast("bigint").alias("_out"), F.lit(1).alias("_is_sale")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return (u.groupBy(*by).agg(F.coalesce(F.sum("_in"), F.lit(0)).alias("Incoming_Qty"),
-                               F.coalesce(F.sum("_out"), F.lit(0)).alias("Sales_Qty"))
-            .withColumn("Change", F.col("Incoming_Qty") - F.col("Sales_Qty")))
+    aggs = [F.coalesce(F.sum("_in"), F.lit(0)).alias("Incoming_Qty"),
+            F.coalesce(F.sum("_out"), F.lit(0)).alias("Sales_Qty")]
+    if count_sales:
+        aggs.append(F.sum("_is_sale").cast("bigint").alias("Sales_Rows"))
+    return u.groupBy(*by).agg(*aggs).withColumn("Change", F.col("Incoming_Qty") - F.col("Sales_Qty"))
 
 
 def value_report(sales: DataFrame, catalogue: DataFrame, key: str = "product_id",
@@ -116,7 +119,7 @@ def existing_rows(rows: DataFrame, table: DataFrame, keys: list[str]) -> tuple[D
 # ---------------------------------------------------------------------------
 
 def running_balance(opening: DataFrame | None, moves: DataFrame, keys: list[str], date_col: str = "Date",
-                    clamp: bool = False, start_col: str | None = None) -> DataFrame:
+                    clamp: bool = False, start_col: str | None = None, extra: list[str] | None = None) -> DataFrame:
     """Balance per (key, date) after each day's movement.
 
     ``opening``: keys + ``Qty`` (start balance, 0 when absent). ``moves``:
@@ -145,7 +148,8 @@ def running_balance(opening: DataFrame | None, moves: DataFrame, keys: list[str]
     out = out.withColumn("Closing_Qty", closing)
     prev = F.lag("Closing_Qty").over(w)
     out = out.withColumn("Opening_Qty", F.coalesce(prev, F.col("_b0")))
-    return out.select(*keys, date_col, "Opening_Qty", "Incoming_Qty", "Sales_Qty", "Closing_Qty", "Unclamped_Qty")
+    return out.select(*keys, date_col, "Opening_Qty", "Incoming_Qty", "Sales_Qty", "Closing_Qty", "Unclamped_Qty",
+                      *(extra or []))
 
 
 def final_balances(opening: DataFrame | None, balances: DataFrame, keys: list[str], date_col: str = "Date",
@@ -175,7 +179,7 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
     Returns ``(balances per product and movement day, violations)``.
     """
     keys = keys or PRODUCT
-    moves = signed_movements(incoming, sales, keys, date_col)
+    moves = signed_movements(incoming, sales, keys, date_col, count_sales=True)
     known = _qty_total(inventory, keys, name="_known").withColumn("_in_inv", F.lit(True)).drop("_known")
     m = moves.join(known, keys, "left").withColumn("_in_inv", F.coalesce("_in_inv", F.lit(False)))
     if on_negative == "clamp":
@@ -186,6 +190,7 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
     if on_negative == "fail":
         bal = running_balance(inventory, m, keys, date_col, clamp=False)
         return bal.drop("Unclamped_Qty"), bal.filter(F.col("Closing_Qty") < 0).drop("Unclamped_Qty")
+
     raise ValueError("on_negative must be 'clamp' or 'fail'")
 
 
@@ -300,16 +305,17 @@ def multi_day_inventory(initial: DataFrame, incoming: DataFrame, sales: DataFram
                      | (F.col("_first_in").isNotNull() & (F.col(date_col) >= F.col("_first_in")))))
     counted = s.filter("_counts").select(*tx_keys, "Qty")
     ignored = s.filter(~F.col("_counts")).select(*tx_keys, "Qty")
-    moves = signed_movements(inc, counted, keys, date_col)
-    bal = running_balance(init, moves, keys, date_col)
-    violations = bal.filter(F.col("Closing_Qty") < 0).select(
+    moves = signed_movements(inc, counted, keys, date_col, count_sales=True)
+    bal = running_balance(init, moves, keys, date_col, extra=["Sales_Rows"])
+    # a day fails when a sale exceeds the stock on hand after that day's receipts
+    violations = bal.filter((F.col("Closing_Qty") < 0) & (F.col("Sales_Rows") > 0)).select(
         *keys, date_col, "Opening_Qty", "Incoming_Qty", "Sales_Qty",
         "Closing_Qty")
     final = final_balances(init, bal, keys, date_col).drop("Last_Date")
     if keys == PRODUCT:
         final = final.withColumn("LookColumn", look_column(*PRODUCT))
     summary = daily_summary(inc, sal, date_col)
-    return {"balances": bal.drop("Unclamped_Qty"), "violations": violations, "final": final,
+    return {"balances": bal.drop("Unclamped_Qty", "Sales_Rows"), "violations": violations, "final": final,
             "ignored_sales": ignored, "summary": summary}
 
 

@@ -185,9 +185,9 @@ i3_first AS (SELECT {P}, MIN(Date) AS first_in FROM i3_inc GROUP BY {P}),
 i3_s AS (SELECT s.*, (i.Brand IS NOT NULL) OR (f.first_in IS NOT NULL AND s.Date >= f.first_in) AS counts
          FROM i3_sal s LEFT JOIN i3_first f ON {JP('s', 'f')} LEFT JOIN i3_init i ON {JP('s', 'i')}),
 i3_moves AS (SELECT {P}, Date, CAST(SUM(i) AS BIGINT) AS Incoming_Qty, CAST(SUM(o) AS BIGINT) AS Sales_Qty,
-                    CAST(SUM(i) - SUM(o) AS BIGINT) AS Change
-             FROM (SELECT {P}, Date, Qty AS i, 0 AS o FROM i3_inc
-                   UNION ALL SELECT {P}, Date, 0, Qty FROM i3_s WHERE counts) u GROUP BY {P}, Date),
+                    CAST(SUM(i) - SUM(o) AS BIGINT) AS Change, CAST(SUM(sr) AS BIGINT) AS Sales_Rows
+             FROM (SELECT {P}, Date, Qty AS i, 0 AS o, 0 AS sr FROM i3_inc
+                   UNION ALL SELECT {P}, Date, 0, Qty, 1 FROM i3_s WHERE counts) u GROUP BY {P}, Date),
 i3_bal AS (SELECT m.*, CAST(COALESCE(i.Qty, 0) + SUM(m.Change) {W(QP('m'), 'm.Date')} AS BIGINT) AS Closing_Qty
            FROM i3_moves m LEFT JOIN i3_init i ON {JP('m', 'i')}),
 i3_last AS (SELECT {P}, MAX_BY(Closing_Qty, Date) AS q FROM i3_bal GROUP BY {P}),
@@ -210,7 +210,7 @@ def i03(d):
 
 @register("i03_violations", _with(f"""
 SELECT {P}, Date, Closing_Qty - Change AS Opening_Qty, Incoming_Qty, Sales_Qty, Closing_Qty
-FROM i3_bal WHERE Closing_Qty < 0""", I3_SQL, *I3_NAMES))
+FROM i3_bal WHERE Closing_Qty < 0 AND Sales_Rows > 0""", I3_SQL, *I3_NAMES))
 def i03v(d):
     """Days on which sales exceed the stock on hand (non-empty = the
     run fails; the earliest is where the reference stops)."""
