@@ -110,11 +110,17 @@ def upsert_counts(existing: DataFrame, incoming: DataFrame, keys: list[str], com
 class TableStore:
     """Versioned Parquet tables under ``base`` (a shared, cluster-wide path).
 
-    ``write`` puts the data in ``{base}/{name}/v={n}`` and then appends one
-    row to ``{base}/_commits``; ``read`` returns the latest committed
-    version. The commit log is tiny (one row per commit).
+    Every write goes to a fresh directory ``{base}/{name}/v={n}`` and becomes
+    visible only when one row is appended to ``{base}/_commits`` afterwards.
+    A ``full`` version replaces the table; an ``append`` version adds rows
+    (only the new rows are written). ``read`` unions the latest full version
+    with the appends after it. A ``batch_id`` (e.g. a streaming epoch) makes
+    a write idempotent: a replayed batch that was already committed is
+    skipped, which gives ``foreachBatch`` sinks exactly-once output.
     """
 
+    LOG_SCHEMA = "table_name string, version int, mode string, batch_id long, committed_at timestamp"
+
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
@@ -123,56 +129,59 @@ class TableStore:
     def _log(self) -> str:
         return f"{self.base}/_commits"
 
-    def _commits(self) -> DataFrame | None:
+    def _commits(self, name: str) -> list:
         try:
-            return self.spark.read.parquet(self._log)
-        except Exception:  # noqa: BLE001 - no commit yet
-            return None
+            log = self.spark.read.schema(self.LOG_SCHEMA).parquet(self._log)
+        except Exception:  # noqa: BLE001 - nothing committed yet
+            return []
+        # the log holds one small row per commit of this table
+        return sorted(log.filter(F.col("table_name") == name).select("version", "mode", "batch_id").collect(),
+                      key=lambda r: r["version"])
 
     def current_version(self, name: str) -> int | None:
-        log = self._commits()
-        if log is None:
-            return None
-        row = log.filter(F.col("table_name") == name).agg(F.max("version").alias("v")).first()
-        return None if row is None or row["v"] is None else int(row["v"])
-
-    def read(self, name: str) -> DataFrame:
-        v = self.current_version(name)
-        if v is None:
-            raise FileNotFoundError(f"table {name!r} has no committed version under {self.base}")
-        return self.spark.read.parquet(f"{self.base}/{name}/v={v}")
+        c = self._commits(name)
+        return c[-1]["version"] if c else None
 
     def exists(self, name: str) -> bool:
-        return self.current_version(name) is not None
+        return bool(self._commits(name))
 
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, run_ts=None) -> int:
-        """Write a new version and commit it; returns the version number."""
-        v = (self.current_version(name) or 0) + 1
+    def read(self, name: str) -> DataFrame:
+        c = self._commits(name)
+        if not c:
+            raise FileNotFoundError(f"table {name!r} has no committed version under {self.base}")
+        fulls = [i for i, r in enumerate(c) if r["mode"] == "full"]
+        live = c[fulls[-1]:] if fulls else c
+        return self.spark.read.parquet(*[f"{self.base}/{name}/v={r['version']}" for r in live])
+
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, run_ts=None,
+              mode: str = "full", batch_id: int | None = None) -> int | None:
+        """Write a new version and commit it; returns the version number
+        (None when ``batch_id`` was already committed)."""
+        c = self._commits(name)
+        if batch_id is not None and any(r["batch_id"] == batch_id for r in c):
+            return None
+        v = (c[-1]["version"] if c else 0) + 1
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(f"{self.base}/{name}/v={v}")
         commit = self.spark.createDataFrame(
-            [(name, v, run_ts or dt.datetime(1970, 1, 1))], "table_name string, version int, committed_at timestamp")
+            [(name, v, mode, batch_id, run_ts or dt.datetime(1970, 1, 1))], self.LOG_SCHEMA)
         commit.coalesce(1).write.mode("append").parquet(self._log)
         return v
 
-    def append(self, name: str, df: DataFrame, run_ts=None) -> int:
-        """Append rows (not idempotent by design): new version = old + rows."""
-        cur = self.read(name) if self.exists(name) else None
-        return self.write(name, df if cur is None else cur.unionByName(df, allowMissingColumns=True), run_ts=run_ts)
+    def append(self, name: str, df: DataFrame, run_ts=None, batch_id: int | None = None) -> int | None:
+        """Append rows (only the new rows are written)."""
+        return self.write(name, df, run_ts=run_ts, mode="append", batch_id=batch_id)
 
     def upsert(self, name: str, incoming: DataFrame, keys: list[str], mode: str = "set", run_ts=None,
-               **kw) -> int:
-        """K1-K5 against the current version (empty table when absent)."""
-        if self.exists(name):
-            cur = self.read(name)
-        else:
-            cur = incoming.limit(0)
-        return self.write(name, upsert(cur, incoming, keys, mode, run_ts, **kw), run_ts=run_ts)
+               batch_id: int | None = None, **kw) -> int | None:
+        """K1-K5 against the current table (empty when absent)."""
+        cur = self.read(name) if self.exists(name) else incoming.limit(0)
+        return self.write(name, upsert(cur, incoming, keys, mode, run_ts, **kw), run_ts=run_ts, batch_id=batch_id)
 
     def snapshot_all(self, names: list[str], target: str, snapshot_date: str) -> DataFrame:
-        """K8: copy every table's current version to
+        """K8: copy every table's current rows to
         ``{target}/{table}/snapshot_date=...`` (overwrite) and return the row
         count per table, counted by Spark from the written copies."""
         counts = []
