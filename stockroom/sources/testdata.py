@@ -68,6 +68,9 @@ def with_fixtures(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{sql.strip()}"
 
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 class ShopData:
     """Lazy accessors for the raw and derived tables of one data folder."""
 
@@ -76,7 +79,14 @@ class ShopData:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The raw table. The resolved relation (file listing and Parquet
+        footer schema, no data) is kept per session and path, so repeated
+        reports do not list and open the files again."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        if key not in _RELATIONS:
+            _RELATIONS[key] = self.spark.read.parquet(path)
+        return _RELATIONS[key]
 
     # -- dimensions ----------------------------------------------------------
     def price_list(self) -> DataFrame:
