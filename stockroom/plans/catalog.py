@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_analysis, q_analytics, q_inventory, q_models, q_reports  # noqa: F401
+from . import q_analysis, q_analytics, q_inventory, q_models, q_reports, q_tables  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
