@@ -110,15 +110,16 @@ def spoken_size(c) -> Column:
 
 
 def spoken_item_name(c) -> Column:
-    """Request text without the size and unit words.
-
-    Unit words are removed as whole words (the reference also cut the letters
-    'ml' out of the middle of words; that damage is not reproduced).
-    """
+    """Request text without the unit words and without the recognised
+    size (the first known size mentioned; every whole-word occurrence of it
+    is removed). Unit words are removed as whole words (the reference also
+    cut the letters 'ml' out of the middle of words; not reproduced)."""
     t = spoken_to_digits(c)
     t = F.regexp_replace(t, r"millilit(er|re)s?|lit(er|re)s?", " ")
     sizes = "|".join(str(s) for s in KNOWN_SIZES_ML)
-    t = F.regexp_replace(t, rf"\b({sizes})\b", " ")
+    size = F.regexp_extract(t, rf"\b({sizes})\b", 1)
+    t = F.when(size != "", F.regexp_replace(t, F.concat(F.lit(r"\b"), size, F.lit(r"\b")), F.lit(" "))) \
+        .otherwise(t)
     t = F.regexp_replace(t, r"\bm\s?l\b", " ")
     t = F.regexp_replace(t, "-", " ")
     return _squeeze(t)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_sales_question, question_date, search_words, spoken_size
+from ..functions.text import is_sales_question, question_date, search_words, spoken_item_name, spoken_size
 from .broadcast import checked_broadcast
 
 
@@ -46,7 +46,7 @@ def match_items(requests: DataFrame, items: DataFrame, request_id: str = "reques
     they can never win.) Ties: smallest item name. A request whose words are
     all ignored matches the smallest item name (of its size when given).
     """
-    req = requests.select(request_id, text_col).withColumn("_words", search_words(text_col)) \
+    req = requests.select(request_id, text_col).withColumn("_words", search_words(spoken_item_name(text_col))) \
         .withColumn("_size", spoken_size(text_col))
     # exact text key: words never contain spaces and the size part is digits
     tid = F.concat(F.array_join("_words", " "), F.lit("|"), F.coalesce(F.col("_size").cast("string"), F.lit("")))

@@ -90,13 +90,27 @@ def _sql_search_words(t: str) -> str:
     return (f"LIST_DISTINCT(LIST_FILTER(STRING_SPLIT({x}, ' '), lambda w: w <> '' AND NOT LIST_CONTAINS([{ignored}], w)))")
 
 
-def _sql_spoken_size(t: str) -> str:
+def _sql_digits(t: str) -> str:
     x = f"LOWER(COALESCE({t}, ''))"
     for word, digit in NUMBER_WORDS.items():
         x = f"REGEXP_REPLACE({x}, '\\b{word}\\b', '{digit}', 'g')"
-    x = f"TRIM(REGEXP_REPLACE({x}, '\\s+', ' ', 'g'))"
-    sizes = "|".join(str(s) for s in KNOWN_SIZES_ML)
-    return f"TRY_CAST(NULLIF(REGEXP_EXTRACT({x}, '\\b({sizes})\\b', 1), '') AS INTEGER)"
+    return f"TRIM(REGEXP_REPLACE({x}, '\\s+', ' ', 'g'))"
+
+
+SIZES = "|".join(str(s) for s in KNOWN_SIZES_ML)
+
+
+def _sql_spoken_size(t: str) -> str:
+    return f"TRY_CAST(NULLIF(REGEXP_EXTRACT({_sql_digits(t)}, '\\b({SIZES})\\b', 1), '') AS INTEGER)"
+
+
+def _sql_spoken_item_name(t: str) -> str:
+    x = f"REGEXP_REPLACE({_sql_digits(t)}, 'millilit(er|re)s?|lit(er|re)s?', ' ', 'g')"
+    size = f"REGEXP_EXTRACT({x}, '\\b({SIZES})\\b', 1)"
+    x = f"CASE WHEN {size} <> '' THEN REGEXP_REPLACE({x}, '\\b' || {size} || '\\b', ' ', 'g') ELSE {x} END"
+    x = f"REGEXP_REPLACE({x}, '\\bm\\s?l\\b', ' ', 'g')"
+    x = f"REGEXP_REPLACE({x}, '-', ' ', 'g')"
+    return f"TRIM(REGEXP_REPLACE({x}, '\\s+', ' ', 'g'))"
 
 
 @register("z05_item_matching", with_ctes(f"""
@@ -108,7 +122,8 @@ FROM (SELECT request_id, text, words, spoken_size,
                      STRUCT_PACK(t := CASE WHEN spoken_size IS NULL OR i.size_ml = spoken_size THEN 1 ELSE 4 END,
                                  n := i.stock_item_name, b := i.brand, s := i.size_ml)) AS m
       FROM (SELECT p_partkey AS request_id, CONCAT(p_name, ' ', CAST(p_size AS VARCHAR), ' ml') AS text,
-                   {_sql_search_words("CONCAT(p_name, ' ', CAST(p_size AS VARCHAR), ' ml')")} AS words,
+                   {_sql_search_words(_sql_spoken_item_name("CONCAT(p_name, ' ', CAST(p_size AS VARCHAR), ' ml')"))}
+                     AS words,
                    {_sql_spoken_size("CONCAT(p_name, ' ', CAST(p_size AS VARCHAR), ' ml')")} AS spoken_size
             FROM part) r
       LEFT JOIN (SELECT DISTINCT stock_item_name, brand, size_ml FROM tally_lines) i
