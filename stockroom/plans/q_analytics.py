@@ -112,7 +112,10 @@ def f09s(d):
     return filters.option_list(d.price_list(), "Size_ML", Brand_Category=CATEGORY, Brand=BRAND)
 
 
-@register("f10_product_tree")
+@register("f10_product_tree", with_ctes("""
+SELECT Brand_Category, TO_JSON(MAP_FROM_ENTRIES(LIST(STRUCT_PACK(k := Brand, v := sizes) ORDER BY Brand))) AS brands
+FROM (SELECT Brand_Category, Brand, LIST_SORT(LIST_DISTINCT(LIST(Size_ML))) AS sizes FROM price_list
+      GROUP BY Brand_Category, Brand) t GROUP BY Brand_Category""", "price_list"))
 def f10(d):
     """category -> brand -> sorted sizes, as JSON text per category."""
     t = filters.product_tree(d.price_list())
