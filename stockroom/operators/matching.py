@@ -58,9 +58,19 @@ def match_items(requests: DataFrame, items: DataFrame, request_id: str = "reques
         "_iid", F.concat_ws("|", item_name, brand_col, F.coalesce(F.col(size_col).cast("string"), F.lit(""))))
     lengths = words.select(F.length("w").alias("len")).distinct()
     subs = item_substrings(item_ids, lengths, [brand_col, item_name], "_iid")
-    hits = words.join(subs, words.w == subs.sub).select("_tid", "_iid", "w").distinct()
-    counts = hits.groupBy("_tid", "_iid").agg(F.count(F.lit(1)).alias("_m"))
-    full = counts.join(n_words, "_tid").filter(F.col("_m") == F.col("_n")).join(item_ids, "_iid")
+    # (word, item) for every distinct request word: computed once per word,
+    # not once per request
+    vocab = words.select("w").distinct()
+    word_items = vocab.join(subs, vocab.w == subs.sub).select("w", "_iid").distinct()
+    # Candidates come from each request's rarest word (fewest items); the
+    # other words are then checked with a semi join on (word, item).
+    freq = word_items.groupBy("w").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = (words.join(freq, "w", "left").groupBy("_tid")
+              .agg(F.min_by("w", F.struct(F.coalesce("_df", F.lit(0)), "w")).alias("_rw")))
+    cand = rarest.join(word_items, rarest._rw == word_items.w).select("_tid", "_iid")
+    checked = (cand.join(words, "_tid").join(checked_broadcast(word_items), ["w", "_iid"], "left_semi")
+               .groupBy("_tid", "_iid").agg(F.count(F.lit(1)).alias("_m")))
+    full = checked.join(n_words, "_tid").filter(F.col("_m") == F.col("_n")).join(item_ids, "_iid")
     cand = full.select("_tid", "_size", item_name, brand_col, size_col)
     tier = F.when(F.col("_size").isNull() | (F.col(size_col) == F.col("_size")), F.lit(1)).otherwise(F.lit(4))
     best = (cand.withColumn("tier", tier).groupBy("_tid")

@@ -215,3 +215,56 @@ def with_grand_total(priced: DataFrame, amount_col: str = "total", name: str = "
     with partial sums per task, no single-partition window)."""
     total = priced.select(_money_sum(amount_col)).scalar()
     return priced.withColumn(name, total)
+
+
+# -- accounting lines: aggregate per item first, derive item attributes after --------------------
+#
+# Brand, size and unit are functions of the item name, so the line-level
+# reports group by the name first (a partial aggregation that shrinks the
+# rows to the item catalogue) and parse the name only once per distinct
+# item instead of once per line. Results equal the line-level forms.
+
+def _per_item(lines: DataFrame, keys: list[str], name_col: str = "stock_item_name") -> DataFrame:
+    return lines.groupBy(name_col, *keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("quantity").alias("_qty"), F.sum("amount").alias("_amt"),
+        F.sum("rate").alias("_rate_sum"), F.count("rate").alias("_rate_n"))
+
+
+def metric_cards_by_item(lines: DataFrame, attributes) -> DataFrame:
+    """A20 with ``attributes(df)`` adding brand / size_ml to distinct items."""
+    items = attributes(_per_item(lines, []))
+    return items.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(F.sum("_qty"), F.lit(0)).cast("bigint").alias("total_qty"),
+        F.coalesce(F.sum("_amt"), F.lit(0)).cast(MONEY_SUM).alias("total_amount"),
+        F.countDistinct("brand").alias("distinct_brands"),
+        F.countDistinct("stock_item_name").alias("distinct_items"),
+        F.countDistinct("size_ml").alias("distinct_sizes"),
+        ratio(F.sum("_rate_sum"), F.sum("_rate_n")).alias("avg_rate"))
+
+
+def brand_size_summary_by_item(lines: DataFrame, attributes) -> DataFrame:
+    """A21 via per-item totals."""
+    items = attributes(_per_item(lines, []))
+    return items.groupBy("brand", "size_ml").agg(
+        F.coalesce(F.sum("_qty"), F.lit(0)).cast("bigint").alias("total_qty"),
+        F.coalesce(F.sum("_amt"), F.lit(0)).cast(MONEY_SUM).alias("total_amount"),
+        ratio(F.sum("_rate_sum"), F.sum("_rate_n")).alias("avg_rate"))
+
+
+def totals_by_item_attribute(lines: DataFrame, attributes, key: str) -> DataFrame:
+    """A23 (size) via per-item totals; NULL keys dropped."""
+    items = attributes(_per_item(lines, []))
+    return (items.where(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.coalesce(F.sum("_qty"), F.lit(0)).cast("bigint").alias("total_qty"),
+                 F.coalesce(F.sum("_amt"), F.lit(0)).cast(MONEY_SUM).alias("total_amount")))
+
+
+def item_sales_by_item(lines: DataFrame, attributes, date_col: str = "voucher_date") -> DataFrame:
+    """A24 + A25 via per-(date, item, rate) totals."""
+    g = attributes(_per_item(lines, [date_col, "rate"]))
+    out = g.select(date_col, "stock_item_name", "brand", "size_ml", "rate", "unit",
+                   F.coalesce(F.col("_qty"), F.lit(0)).cast("bigint").alias("total_qty"),
+                   F.coalesce(F.col("_amt"), F.lit(0)).cast(MONEY_SUM).alias("total_amount"),
+                   F.col("_rows").alias("line_count"))
+    return out.withColumn("calculated_amount", (F.col("total_qty") * F.col("rate")).cast(MONEY_SUM))

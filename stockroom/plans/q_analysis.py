@@ -132,7 +132,8 @@ FROM (SELECT request_id, text, words, spoken_size,
       GROUP BY request_id, text, words, spoken_size) t""", "tally_lines"))
 def z05(d):
     """The best stock item for every request (word match, size tiers)."""
-    items = with_item_attributes(d.voucher_lines()).select("stock_item_name", "brand", "size_ml")
+    names = d.voucher_lines().select("stock_item_name").distinct()
+    items = with_item_attributes(names).select("stock_item_name", "brand", "size_ml")
     return matching.match_items(_requests(d), items)
 
 

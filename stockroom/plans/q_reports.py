@@ -30,10 +30,6 @@ def priced2n(d: ShopData):
     return pricing.price_sales(d.daily_sales(), d.price_list(), keys=["Brand", "Size_ML"], unmatched="null")
 
 
-def tally(d: ShopData):
-    return with_item_attributes(d.voucher_lines())
-
-
 # -- joins ---------------------------------------------------------------------
 
 @register("j01_sales_price_lookup", with_ctes(
@@ -257,7 +253,7 @@ SELECT COUNT(*) AS rows, {TQ} AS total_qty, {M(TA)} AS total_amount,
 FROM tally_lines""", "tally_lines"))
 def a20(d):
     """Dashboard metrics over voucher lines."""
-    return reports.metric_cards(tally(d))
+    return reports.metric_cards_by_item(d.voucher_lines(), with_item_attributes)
 
 
 @register("a21_brand_size_summary", with_ctes(f"""
@@ -265,7 +261,7 @@ SELECT brand, size_ml, {TQ} AS total_qty, {M(TA)} AS total_amount, {R('SUM(rate)
 FROM tally_lines GROUP BY brand, size_ml""", "tally_lines"))
 def a21(d):
     """Brand x size: quantity, amount, mean rate."""
-    return reports.brand_size_summary(tally(d))
+    return reports.brand_size_summary_by_item(d.voucher_lines(), with_item_attributes)
 
 
 @register("a22_supplier_summary", with_ctes(f"""
@@ -281,7 +277,7 @@ SELECT size_ml, {TQ} AS total_qty, {M(TA)} AS total_amount FROM tally_lines
 WHERE size_ml IS NOT NULL GROUP BY size_ml""", "tally_lines"))
 def a23(d):
     """Totals by size."""
-    return reports.totals_by(tally(d), "size_ml")
+    return reports.totals_by_item_attribute(d.voucher_lines(), with_item_attributes, "size_ml")
 
 
 @register("a23_godown_totals", with_ctes(f"""
@@ -298,7 +294,7 @@ SELECT voucher_date, stock_item_name, brand, size_ml, rate, unit, {TQ} AS total_
 FROM tally_lines GROUP BY voucher_date, stock_item_name, brand, size_ml, rate, unit""", "tally_lines"))
 def a24(d):
     """A24 + A25: item sales per date with calculated beside recorded amount."""
-    return reports.item_sales(tally(d))
+    return reports.item_sales_by_item(d.voucher_lines(), with_item_attributes)
 
 
 @register("a24_item_sales_totals", with_ctes(f"""
