@@ -152,3 +152,18 @@ def test_stock_journal_all_vouchers(spark, tmp):
     assert len(allv) == 2 and allv[0]["size_ml"] == 750 and allv[0]["quantity"] == -4
     assert allv[0]["godown"] == "Main"
     assert len(xml.stock_journal(docs, first_only=True).collect()) == 1
+
+
+def test_csv_to_json_new_path(spark, tmp):
+    p = os.path.join(tmp, "prices.csv")
+    write(p, "Brand,Size_ML,Mrp\nA,750,1050.00\n")
+    out = os.path.join(tmp, "prices_json")
+    csvsrc.csv_to_json(spark, p, out)
+    rows = spark.read.json(out).collect()
+    assert [(r["Brand"], r["Size_ML"], r["Mrp"]) for r in rows] == [("A", "750", "1050.00")]
+    try:
+        csvsrc.csv_to_json(spark, p, p)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("overwriting the source must be refused")
