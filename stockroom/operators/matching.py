@@ -8,7 +8,8 @@ it equals a same-length substring of one of the text's whitespace-separated
 tokens (words never contain spaces). Item tokens are cut into their
 substrings of the lengths the request words actually have, so the join key
 table grows with the item vocabulary, not with requests x items, and no
-cross join is needed. Requests are de-duplicated by text before matching.
+cross join is needed. Requests are de-duplicated by text before matching
+and joined back on the raw text at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_sales_question, question_date, search_words, spoken_item_name, spoken_size
+from ..session import cut_lineage
 from .broadcast import checked_broadcast
 
 
@@ -46,16 +48,21 @@ def match_items(requests: DataFrame, items: DataFrame, request_id: str = "reques
     they can never win.) Ties: smallest item name. A request whose words are
     all ignored matches the smallest item name (of its size when given).
     """
-    req = requests.select(request_id, text_col).withColumn("_words", search_words(spoken_item_name(text_col))) \
-        .withColumn("_size", spoken_size(text_col))
+    # Normalise each distinct request text once and each distinct item once.
+    # Both tables are used by several branches of the plan below, so they
+    # are materialised with a reliable checkpoint (bounded by distinct texts
+    # and distinct items, not by requests) instead of being recomputed per
+    # branch.
+    norm = requests.select(text_col).distinct() \
+        .withColumn("_words", search_words(spoken_item_name(text_col))).withColumn("_size", spoken_size(text_col))
     # exact text key: words never contain spaces and the size part is digits
     tid = F.concat(F.array_join("_words", " "), F.lit("|"), F.coalesce(F.col("_size").cast("string"), F.lit("")))
-    req = req.withColumn("_tid", tid)
-    texts = req.select("_tid", "_words", "_size").distinct()
+    norm = cut_lineage(norm.withColumn("_tid", tid))
+    texts = norm.select("_tid", "_words", "_size").dropDuplicates(["_tid"])
     words = texts.select("_tid", F.explode("_words").alias("w")).distinct()
     n_words = texts.select("_tid", F.size("_words").alias("_n"), "_size")
-    item_ids = items.select(item_name, brand_col, size_col).distinct().withColumn(
-        "_iid", F.concat_ws("|", item_name, brand_col, F.coalesce(F.col(size_col).cast("string"), F.lit(""))))
+    item_ids = cut_lineage(items.select(item_name, brand_col, size_col).distinct().withColumn(
+        "_iid", F.concat_ws("|", item_name, brand_col, F.coalesce(F.col(size_col).cast("string"), F.lit("")))))
     lengths = words.select(F.length("w").alias("len")).distinct()
     subs = item_substrings(item_ids, lengths, [brand_col, item_name], "_iid")
     # (word, item) for every distinct request word: computed once per word,
@@ -89,9 +96,11 @@ def match_items(requests: DataFrame, items: DataFrame, request_id: str = "reques
     out = texts.join(best, "_tid", "left").select(
         "_tid", F.col(f"_b.{item_name}").alias("matched_item"), F.col(f"_b.{brand_col}")
         .alias("matched_brand"), F.col(f"_b.{size_col}").alias("matched_size"), F.col("_b.tier").alias("tier"))
-    return (req.join(out, "_tid", "left")
-            .select(request_id, text_col, F.col("_size").alias("spoken_size"), "matched_item", "matched_brand",
-                    "matched_size", "tier"))
+    by_text = norm.select(F.col(text_col).alias("_text"), "_tid", "_size").join(out, "_tid", "left")
+    joined = requests.select(request_id, text_col).join(
+        by_text, requests[text_col].eqNullSafe(by_text["_text"]), "left")
+    return joined.select(request_id, text_col, F.col("_size").alias("spoken_size"), "matched_item",
+                         "matched_brand", "matched_size", "tier")
 
 
 def route_questions(df: DataFrame, text_col: str = "text", as_of="2026-04-07") -> DataFrame:
