@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 2_000_000
-_checked: dict[tuple[int, int], bool] = {}
+_checked: dict[tuple[int, int, int], bool] = {}
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
@@ -24,7 +24,7 @@ def max_broadcast_rows(df: DataFrame) -> int:
 
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     limit = max_rows if max_rows is not None else max_broadcast_rows(df)
-    key = (df.semanticHash(), limit)
+    key = (id(df.sparkSession), df.semanticHash(), limit)
     if key not in _checked:
         _checked[key] = df.limit(limit + 1).count() <= limit
     return _checked[key]

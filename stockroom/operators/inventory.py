@@ -435,9 +435,10 @@ def admit_sales(requests: DataFrame, current: DataFrame, incoming: DataFrame, bo
     fits (JVM window, sort based and spillable). After the first rejection
     the remainder is smaller than the rejected quantity, so only later rows
     with a quantity under that remainder can still be accepted; just those
-    candidates are folded in order with ``aggregate`` (a higher-order
-    function, no Python). Output: every request row with ``status``,
-    ``reason``, ``available_before`` and ``remaining_after``.
+    candidates are folded in order by a streaming ``mapInPandas`` over
+    sorted partitions (one running number per group, no group is gathered).
+    Output: every request row with ``status``, ``reason``,
+    ``available_before`` and ``remaining_after``.
     """
     keys = keys or PRODUCT
     grp = keys + [date_col]
@@ -461,22 +462,35 @@ def admit_sales(requests: DataFrame, current: DataFrame, incoming: DataFrame, bo
     r = r.withColumn("_rem0", rem0)
     tail_candidate = (F.col("_valid") & F.col("_first_rej").isNotNull() & (F.col(order_col) > F.col("_first_rej"))
                       & (F.col(qty_col) <= F.col("_rem0")))
-    cands = (r.filter(tail_candidate).groupBy(*grp)
-             .agg(F.first("_rem0").alias("_rem0"),
-                  F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
-                                                       F.col(qty_col).cast("bigint").alias("q")))).alias("_c")))
-    init = F.struct(F.col("_rem0").cast("bigint").alias("rem"),
-                    F.array().cast("array<struct<o:bigint,before:bigint>>").alias("acc"))
-
-    def step(state, c):
-        ok = c["q"] <= state["rem"]
-        return F.struct(F.when(ok, state["rem"] - c["q"]).otherwise(state["rem"]).alias("rem"),
-                        F.when(ok, F.array_append(state["acc"], F.struct(c["o"].cast("bigint").alias("o"),
-                                                                         state["rem"].alias("before"))))
-                        .otherwise(state["acc"]).alias("acc"))
-
-    accepted_tail = (cands.select(*grp, F.explode(F.aggregate("_c", init, step)["acc"]).alias("a"))
-                     .select(*grp, F.col("a.o").alias("_o"), F.col("a.before").alias("_tail_before")))
+    # The tail is folded in order per (product, date) without gathering a
+    # group: hash-partition by the group, sort inside partitions (external,
+    # spills), and stream through the rows keeping one number per group.
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tail = (r.filter(tail_candidate)
+            .select(*grp, F.col(order_col).cast("bigint").alias("_o"), F.col(qty_col).cast("bigint").alias("_q"),
+                    F.col("_rem0").cast("bigint").alias("_rem0"))
+            .repartition(n, *grp).sortWithinPartitions(*grp, "_o"))
+    grp_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tail.schema.fields if f.name in grp)
+    out_schema = f"{grp_schema}, _o bigint, _tail_before bigint"
+
+    def fold(batches):
+        import pandas as pd
+        key, rem = None, 0
+        for pdf in batches:
+            keep, before = [], []
+            # NULL keys arrive as NaN / None; make them compare equal
+            keys = list(zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in grp]))
+            for i, (k, q, r0) in enumerate(zip(keys, pdf["_q"].to_numpy(), pdf["_rem0"].to_numpy())):
+                if k != key:
+                    key, rem = k, int(r0)
+                if q <= rem:
+                    keep.append(i)
+                    before.append(rem)
+                    rem -= int(q)
+            out = pdf.iloc[keep][[*grp, "_o"]].reset_index(drop=True)
+            yield out.assign(_tail_before=pd.Series(before, dtype="int64"))
+
+    accepted_tail = tail.mapInPandas(fold, out_schema)
     r = r.withColumn("_o", F.col(order_col).cast("bigint")).join(accepted_tail, [*grp, "_o"], "left")
     before = F.when(F.col("_prefix"), F.col("Available_Qty") - (F.col("_cum") - F.col(qty_col))) \
         .otherwise(F.col("_tail_before"))

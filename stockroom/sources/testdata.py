@@ -84,9 +84,11 @@ class ShopData:
         reports do not list and open the files again."""
         path = f"{self.sf_dir}/{name}.parquet"
         key = (id(self.spark), path)
-        if key not in _RELATIONS:
-            _RELATIONS[key] = self.spark.read.parquet(path)
-        return _RELATIONS[key]
+        cached = _RELATIONS.get(key)
+        # ids can be reused after a session is stopped: check the owner too
+        if cached is None or cached.sparkSession is not self.spark:
+            cached = _RELATIONS[key] = self.spark.read.parquet(path)
+        return cached
 
     # -- dimensions ----------------------------------------------------------
     def price_list(self) -> DataFrame:
