@@ -38,7 +38,9 @@ def average_rank(df: DataFrame, partition: list[str], value: str, name: str = "r
 def share_of_total(agg: DataFrame, within: list[str], value: str, name: str | None = None) -> DataFrame:
     """``value / sum(value) over (partition by within)`` on an already
     aggregated table (e.g. month x brand)."""
-    total = F.sum(value).over(Window.partitionBy(*within)) if within else F.sum(value).over(Window.partitionBy())
+    # With no grouping the total is a scalar subquery (partial sums per task),
+    # never a window over one partition.
+    total = F.sum(value).over(Window.partitionBy(*within)) if within else agg.select(F.sum(value)).scalar()
     return agg.withColumn(name or f"{value}_share", ratio(F.col(value), total))
 
 
