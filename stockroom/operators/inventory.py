@@ -259,7 +259,7 @@ def end_of_day_history(opening: DataFrame, incoming: DataFrame, sales: DataFrame
     days = moves.select(date_col).distinct()
     open_day = opening.select(F.max(date_col)).scalar()
     gap = F.when(F.datediff(F.col(date_col), F.lag(date_col).over(Window.orderBy(date_col))) == 1, 0).otherwise(1)
-    first_has_opening = F.datediff(F.min(date_col).over(Window.partitionBy()), open_day) == 1
+    first_has_opening = F.datediff(days.select(F.min(date_col)).scalar(), open_day) == 1
     seg = (days.withColumn("_gap", gap)
            .withColumn("_seg", F.sum("_gap").over(Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("_seg", F.when((F.col("_seg") == 1) & first_has_opening, F.lit(0)).otherwise(F.col("_seg")))

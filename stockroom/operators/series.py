@@ -91,7 +91,7 @@ def time_split(df: DataFrame, date_col: str = "Date", train_fraction: tuple[int,
     keys = keys or []
     num, den = train_fraction
     w = _window(keys, date_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys)) if keys else F.count(F.lit(1)).over(Window.partitionBy())
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys)) if keys else df.select(F.count(F.lit(1))).scalar()
     cut = F.expr(f"div({num} * _n, {den})")
     return (df.withColumn("_n", n).withColumn("_rn", F.row_number().over(w))
             .withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test"))
