@@ -29,6 +29,12 @@ def coerce_number(c, default: float = 0.0, to: str = "double") -> Column:
     return F.coalesce(try_cast(F.trim(col_of(c).cast("string")), to), F.lit(default).cast(to))
 
 
+def int_or_fail(c) -> Column:
+    """X5 (failing form, ``$toInt``): a plain cast; with ANSI mode on (the
+    Spark 4 default) a bad value fails the query instead of becoming NULL."""
+    return F.trim(col_of(c).cast("string")).cast("int")
+
+
 def signed_qty(kind_col, qty_col, negative_kinds=("sale", "sales", "sold")) -> Column:
     """Receipts count ``+qty``, sales ``-qty``."""
     return F.when(F.lower(col_of(kind_col)).isin(*negative_kinds), -col_of(qty_col)).otherwise(col_of(qty_col))

@@ -137,6 +137,32 @@ def f12(d):
     return pricing.price_lookup(d.price_list(), size=SIZE)
 
 
+FIRST = "(SELECT {c} FROM price_list ORDER BY Sl_No LIMIT 1)"
+
+
+def _first_product(d, col):
+    """A lookup key taken from the data: the product with the lowest serial."""
+    return d.price_list().orderBy("Sl_No").limit(1).select(col).scalar()
+
+
+@register("f12_price_by_product", with_ctes(f"""
+SELECT Brand, Brand_Category, Size_ML, Sl_No, Mrp, COUNT(*) OVER () AS match_count FROM price_list
+WHERE Brand = {FIRST.format(c="Brand")} AND Size_ML = {FIRST.format(c="Size_ML")}
+  AND Brand_Category = {FIRST.format(c="Brand_Category")}""", "price_list"))
+def f12p(d):
+    """price by the full product key (the first product of the list)."""
+    return pricing.price_lookup(d.price_list(), brand=_first_product(d, "Brand"), size=_first_product(d, "Size_ML"),
+                                category=_first_product(d, "Brand_Category"))
+
+
+@register("f12_price_by_brand_size", with_ctes(f"""
+SELECT Brand, Brand_Category, Size_ML, Sl_No, Mrp, COUNT(*) OVER () AS match_count FROM price_list
+WHERE Brand = {FIRST.format(c="Brand")} AND Size_ML = {FIRST.format(c="Size_ML")}""", "price_list"))
+def f12b(d):
+    """prices by brand + size (one per category)."""
+    return pricing.price_lookup(d.price_list(), brand=_first_product(d, "Brand"), size=_first_product(d, "Size_ML"))
+
+
 @register("f13_low_stock", with_ctes(f"""
 SELECT {P}, Qty, {LOW_STOCK_LEVEL} AS reorder_level FROM monthly_stock WHERE Qty <= {LOW_STOCK_LEVEL}""",
     "monthly_stock"))
