@@ -545,8 +545,3 @@ def once_per_date(requested: DataFrame, log: DataFrame, date_col: str = "process
     logged as ``failed`` (the reference kept failed dates blocked)."""
     blocking = log.filter(F.col("status") != "failed") if retry_failed else log
     return requested.join(blocking.select(date_col), date_col, "left_anti")
-
-
-def movement_sign(kind: Column, qty: Column) -> Column:
-    """X6 re-export for callers building signed rows by hand."""
-    return F.when(kind == "sale", -qty).otherwise(qty)

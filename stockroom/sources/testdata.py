@@ -62,12 +62,6 @@ FROM events WHERE event_type IN ('signup', 'purchase')""",
 }
 
 
-def with_fixtures(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with the CTEs of the named fixture tables."""
-    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in names)
-    return f"WITH {ctes}\n{sql.strip()}"
-
-
 _RELATIONS: dict[tuple[int, str], DataFrame] = {}
 
 
