@@ -38,18 +38,29 @@ FOREST = {"num_trees": 300, "max_depth": 12, "min_instances": 2}
 BRAND_FOREST = {"num_trees": 200, "max_depth": 10, "min_instances": 1}
 
 
+_MODELS: dict[tuple, PipelineModel] = {}
+
+
 def train_forest(table: DataFrame, label: str = "y", features: list[str] | None = None, num_trees: int = 300,
                  max_depth: int = 12, min_instances: int = 2, seed: int = 42) -> PipelineModel:
     """Random-forest regressor on the feature columns (Spark ML has no
-    min-samples-split knob; ``minInstancesPerNode`` is the min-leaf one)."""
+    min-samples-split knob; ``minInstancesPerNode`` is the min-leaf one).
+
+    Fitted models are kept per session, training plan and settings, so
+    reports that forecast from the same training data train once."""
     feats = features or FEATURES
+    key = (id(table.sparkSession), table.semanticHash(), label, tuple(feats), num_trees, max_depth, min_instances,
+           seed)
+    if key in _MODELS:
+        return _MODELS[key]
     # More node statistics per pass and cached node ids: fewer passes over
     # the data for deep trees (the model itself is unchanged).
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                                maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances, seed=seed,
                                maxMemoryInMB=2048, cacheNodeIds=True, checkpointInterval=10)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"), rf])
-    return pipe.fit(table.select(*feats, F.col(label).cast("double").alias(label)))
+    model = _MODELS[key] = pipe.fit(table.select(*feats, F.col(label).cast("double").alias(label)))
+    return model
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
