@@ -169,7 +169,10 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
                     on_negative: str = "clamp", date_col: str = "Date") -> tuple[DataFrame, DataFrame]:
     """I1 applied to every date in order, without a loop.
 
-    ``clamp`` (variant a): an existing product becomes ``max(0, old + change)``;
+    ``reject``: a day's change that would make the stock negative is skipped
+    (the stock stays); order dependent, so it runs as the stream replay's
+    sorted-partition fold. ``clamp`` (variant a): an existing product becomes
+    ``max(0, old + change)``;
     a product not yet in the inventory is inserted on the first day its net
     change is > 0 (earlier days are ignored). ``fail`` (variant b): balances
     are not floored; a product not yet present is inserted on its first
@@ -190,8 +193,34 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
     if on_negative == "fail":
         bal = running_balance(inventory, m, keys, date_col, clamp=False)
         return bal.drop("Unclamped_Qty"), bal.filter(F.col("Closing_Qty") < 0).drop("Unclamped_Qty")
-
-    raise ValueError("on_negative must be 'clamp' or 'fail'")
+    if on_negative == "reject":
+        return _net_change_reject(inventory, moves, keys, date_col)
+
+    raise ValueError("on_negative must be 'clamp', 'fail' or 'reject'")
+
+
+def _net_change_reject(inventory: DataFrame, moves: DataFrame, keys: list[str], date_col: str):
+    """D4 'reject' over every date: positive changes are receipts, negative
+    ones sales of ``-change``; the opening stock is a receipt on the day
+    before the first movement. Returns ``(balances with an accepted flag,
+    rejected rows)``."""
+    from ..streaming.inventory_stream import replay
+
+    key = F.to_json(F.struct(*keys))  # exact product key as text
+    first_day = F.date_sub(moves.select(F.min(date_col)).scalar(), 1)
+    opening = _qty_total(inventory, keys).select(
+        key.alias("key"), F.lit(0).cast("long").alias("event_id"), first_day.cast("timestamp").alias("ts"),
+        F.lit("receipt").alias("kind"), F.col("Qty").cast("long").alias("qty"))
+    days = moves.select(key.alias("key"), F.lit(1).cast("long").alias("event_id"),
+                        F.col(date_col).cast("timestamp").alias("ts"),
+                        F.when(F.col("Change") >= 0, "receipt").otherwise("sale").alias("kind"),
+                        F.abs("Change").cast("long").alias("qty"))
+    out = replay(opening.unionByName(days)).filter(F.col("event_id") == 1)
+    p = F.from_json("key", moves.select(*keys).schema)
+    res = out.select(*[p[k].alias(k) for k in keys], F.col("ts").cast("date").alias(date_col),
+                     F.when(F.col("kind") == "sale", -F.col("qty")).otherwise(F.col("qty")).alias("Change"),
+                     "accepted", F.col("stock_before").alias("Opening_Qty"), F.col("stock_after").alias("Closing_Qty"))
+    return res, res.filter(~F.col("accepted"))
 
 
 def apply_net_change(inventory: DataFrame, incoming: DataFrame, sales: DataFrame, day,

@@ -148,6 +148,14 @@ def i01v(d):
     return inv.net_change_days(d.monthly_stock(), d.incoming_stock(), d.daily_sales(), on_negative="fail")[1]
 
 
+@register("i01_net_change_rejected")
+def i01r(d):
+    """I1 / D4 'reject' over every date: a day's change that would make the
+    stock negative is skipped (order dependent; checked against a loop in
+    the tests)."""
+    return inv.net_change_days(d.monthly_stock(), d.incoming_stock(), d.daily_sales(), on_negative="reject")[0]
+
+
 # -- I2: end of day by date ---------------------------------------------------------
 
 I2_SQL = f"""

@@ -89,16 +89,18 @@ def replay(events: DataFrame, partitions: int | None = None) -> DataFrame:
     """Batch replay of R1 in the same order, without holding any key's
     events in memory (sort inside hash partitions + streaming fold)."""
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # any key type works: the fold only hashes and compares keys
+    schema = OUT_SCHEMA.replace("key long", f"key {events.schema['key'].dataType.simpleString()}", 1)
     kind_order = F.when(F.col("kind") == "receipt", 0).otherwise(1)
     ordered = (events.filter(F.col("qty") > 0).repartition(n, "key")
                .sortWithinPartitions("key", "ts", kind_order, "event_id"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stock: dict[int, int] = {}
+        stock: dict = {}
         for pdf in batches:
             acc, before, after = [], [], []
             for k, kind, q in zip(pdf["key"].to_numpy(), pdf["kind"].to_numpy(), pdf["qty"].to_numpy()):
-                s = stock.get(int(k), 0)
+                s = stock.get(k, 0)
                 before.append(s)
                 if kind == "receipt":
                     s += int(q)
@@ -108,11 +110,11 @@ def replay(events: DataFrame, partitions: int | None = None) -> DataFrame:
                     acc.append(True)
                 else:
                     acc.append(False)
-                stock[int(k)] = s
+                stock[k] = s
                 after.append(s)
             yield pdf.assign(accepted=acc, stock_before=before, stock_after=after)
 
-    return ordered.mapInPandas(fold, OUT_SCHEMA)
+    return ordered.mapInPandas(fold, schema)
 
 
 def latest_per_key(batch: DataFrame) -> DataFrame:
