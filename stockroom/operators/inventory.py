@@ -215,7 +215,7 @@ def _net_change_reject(inventory: DataFrame, moves: DataFrame, keys: list[str],
                         F.col(date_col).cast("timestamp").alias("ts"),
                         F.when(F.col("Change") >= 0, "receipt").otherwise("sale").alias("kind"),
                         F.abs("Change").cast("long").alias("qty"))
-    out = replay(opening.unionByName(days)).filter(F.col("event_id") == 1)
+    out = replay(opening.unionByName(days), skip_non_positive=False).filter(F.col("event_id") == 1)
     p = F.from_json("key", moves.select(*keys).schema)
     res = out.select(*[p[k].alias(k) for k in keys], F.col("ts").cast("date").alias(date_col),
                      F.when(F.col("kind") == "sale", -F.col("qty")).otherwise(F.col("qty")).alias("Change"),

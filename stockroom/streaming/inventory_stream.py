@@ -85,14 +85,17 @@ def realtime_inventory(events: DataFrame) -> DataFrame:
         _state_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(events: DataFrame, partitions: int | None = None) -> DataFrame:
+def replay(events: DataFrame, partitions: int | None = None, skip_non_positive: bool = True) -> DataFrame:
     """Batch replay of R1 in the same order, without holding any key's
-    events in memory (sort inside hash partitions + streaming fold)."""
+    events in memory (sort inside hash partitions + streaming fold).
+    Events with quantity <= 0 are skipped unless ``skip_non_positive`` is
+    False (a zero receipt then passes through unchanged)."""
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # any key type works: the fold only hashes and compares keys
     schema = OUT_SCHEMA.replace("key long", f"key {events.schema['key'].dataType.simpleString()}", 1)
     kind_order = F.when(F.col("kind") == "receipt", 0).otherwise(1)
-    ordered = (events.filter(F.col("qty") > 0).repartition(n, "key")
+    kept = events.filter(F.col("qty") > 0) if skip_non_positive else events
+    ordered = (kept.repartition(n, "key")
                .sortWithinPartitions("key", "ts", kind_order, "event_id"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
