@@ -126,10 +126,10 @@ FROM (SELECT request_id, text, words, spoken_size,
                      AS words,
                    {_sql_spoken_size("CONCAT(p_name, ' ', CAST(p_size AS VARCHAR), ' ml')")} AS spoken_size
             FROM part) r
-      LEFT JOIN (SELECT DISTINCT stock_item_name, brand, size_ml FROM tally_lines) i
+      LEFT JOIN (SELECT DISTINCT stock_item_name, brand, size_ml FROM account_lines) i
         ON LEN(r.words) = 0 OR LIST_BOOL_AND(LIST_TRANSFORM(r.words,
              lambda w: CONTAINS(LOWER(COALESCE(i.brand, '')) || ' ' || LOWER(COALESCE(i.stock_item_name, '')), w)))
-      GROUP BY request_id, text, words, spoken_size) t""", "tally_lines"))
+      GROUP BY request_id, text, words, spoken_size) t""", "account_lines"))
 def z05(d):
     """The best stock item for every request (word match, size tiers)."""
     names = d.voucher_lines().select("stock_item_name").distinct()

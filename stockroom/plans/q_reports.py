@@ -250,7 +250,7 @@ TA = "COALESCE(SUM(amount), 0)"
 SELECT COUNT(*) AS rows, {TQ} AS total_qty, {M(TA)} AS total_amount,
        COUNT(DISTINCT brand) AS distinct_brands, COUNT(DISTINCT stock_item_name) AS distinct_items,
        COUNT(DISTINCT size_ml) AS distinct_sizes, {R('SUM(rate)', 'COUNT(rate)')} AS avg_rate
-FROM tally_lines""", "tally_lines"))
+FROM account_lines""", "account_lines"))
 def a20(d):
     """Dashboard metrics over voucher lines."""
     return reports.metric_cards_by_item(d.voucher_lines(), with_item_attributes)
@@ -258,7 +258,7 @@ def a20(d):
 
 @register("a21_brand_size_summary", with_ctes(f"""
 SELECT brand, size_ml, {TQ} AS total_qty, {M(TA)} AS total_amount, {R('SUM(rate)', 'COUNT(rate)')} AS avg_rate
-FROM tally_lines GROUP BY brand, size_ml""", "tally_lines"))
+FROM account_lines GROUP BY brand, size_ml""", "account_lines"))
 def a21(d):
     """Brand x size: quantity, amount, mean rate."""
     return reports.brand_size_summary_by_item(d.voucher_lines(), with_item_attributes)
@@ -273,8 +273,8 @@ def a22(d):
 
 
 @register("a23_size_totals", with_ctes(f"""
-SELECT size_ml, {TQ} AS total_qty, {M(TA)} AS total_amount FROM tally_lines
-WHERE size_ml IS NOT NULL GROUP BY size_ml""", "tally_lines"))
+SELECT size_ml, {TQ} AS total_qty, {M(TA)} AS total_amount FROM account_lines
+WHERE size_ml IS NOT NULL GROUP BY size_ml""", "account_lines"))
 def a23(d):
     """Totals by size."""
     return reports.totals_by_item_attribute(d.voucher_lines(), with_item_attributes, "size_ml")
@@ -291,7 +291,7 @@ def a23b(d):
 @register("a24_item_sales", with_ctes(f"""
 SELECT voucher_date, stock_item_name, brand, size_ml, rate, unit, {TQ} AS total_qty, {M(TA)} AS total_amount,
        COUNT(*) AS line_count, CAST({TQ} * rate AS DOUBLE) AS calculated_amount
-FROM tally_lines GROUP BY voucher_date, stock_item_name, brand, size_ml, rate, unit""", "tally_lines"))
+FROM account_lines GROUP BY voucher_date, stock_item_name, brand, size_ml, rate, unit""", "account_lines"))
 def a24(d):
     """A24 + A25: item sales per date with calculated beside recorded amount."""
     return reports.item_sales_by_item(d.voucher_lines(), with_item_attributes)

@@ -72,7 +72,7 @@ GROUP BY Brand_Category, Brand, Size_ML""", ["monthly_stock"]),
 SELECT Date, Brand_Category, LIST_DISTINCT(LIST(Brand)) AS items FROM daily_sales WHERE Brand IS NOT NULL
 GROUP BY Date, Brand_Category""", ["daily_sales"]),
     "basket_items": ("SELECT Date, Brand_Category, UNNEST(items) AS it FROM brand_baskets", ["brand_baskets"]),
-    "tally_lines": (r"""
+    "account_lines": (r"""
 SELECT *, TRIM(REGEXP_REPLACE(stock_item_name, '(?i)\s*\d+\s*-\s*ML.*$', '')) AS brand,
        TRY_CAST(REGEXP_EXTRACT(UPPER(stock_item_name), '(\d+)\s*-\s*ML', 1) AS INTEGER) AS size_ml,
        'NOS' AS unit
