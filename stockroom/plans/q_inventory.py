@@ -267,6 +267,42 @@ i6 AS (SELECT Date, {P}, CAST(SUM(i) AS BIGINT) AS Opening_Stock, CAST(SUM(o) AS
        GROUP BY Date, {P})"""
 
 
+def _eod_latest(d, carry):
+    snaps = inv.daily_inventory_table(d.date_keyed_stock(), d.daily_sales()).select(
+        "Date", *PRODUCT, F.col("Closing_Stock").alias("Qty"))
+    day = d.daily_sales().select(F.max("Date")).scalar()
+    return inv.end_of_day(snaps, d.incoming_stock(), d.daily_sales(), day, carry=carry)[0]
+
+
+def _eod_sql(prev_filter: str, prev_value: str) -> str:
+    return _with(f"""
+SELECT {CP('p', 'm')}, (SELECT MAX(Date) FROM daily_sales) AS Date, COALESCE(p.o, 0) AS Opening_Qty,
+       COALESCE(m.i, 0) AS Incoming_Qty, COALESCE(m.s, 0) AS Sales_Qty,
+       COALESCE(p.o, 0) + COALESCE(m.i, 0) - COALESCE(m.s, 0) AS Closing_Qty
+FROM (SELECT {P}, CAST({prev_value} AS BIGINT) AS o FROM i6
+      WHERE {prev_filter} GROUP BY {P}) p
+FULL OUTER JOIN (SELECT {P}, CAST(SUM(i) AS BIGINT) AS i, CAST(SUM(o) AS BIGINT) AS s FROM (
+        SELECT {P}, Qty AS i, 0 AS o FROM incoming_stock WHERE Date = (SELECT MAX(Date) FROM daily_sales)
+        UNION ALL SELECT {P}, 0, Qty FROM daily_sales WHERE Date = (SELECT MAX(Date) FROM daily_sales)) u
+      GROUP BY {P}) m ON {JP('p', 'm')}""", I6_SQL, "stock_dated", "daily_sales", "incoming_stock")
+
+
+@register("i02_end_of_day_latest_calendar",
+          _eod_sql("Date = (SELECT MAX(Date) FROM daily_sales) - INTERVAL 1 DAY", "SUM(Closing_Stock)"))
+def i02c(d):
+    """I2 for one target date (the latest sales date): opening = the
+    closing snapshot of the previous calendar day."""
+    return _eod_latest(d, "calendar")
+
+
+@register("i02_end_of_day_latest_last",
+          _eod_sql("Date < (SELECT MAX(Date) FROM daily_sales)", "MAX_BY(Closing_Stock, Date)"))
+def i02l(d):
+    """I2 for one target date with carry='last': opening = the latest
+    earlier snapshot of each product (no reset after a missing day)."""
+    return _eod_latest(d, "last")
+
+
 @register("i06_daily_inventory", _with("SELECT * FROM i6", I6_SQL, "stock_dated", "daily_sales"))
 def i06(d):
     """Opening, sold and closing (floored at 0) per date and product."""
