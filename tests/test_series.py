@@ -40,3 +40,16 @@ def test_notebook_series_golden(spark, tmp):
     # lags and rolling means end on the previous day (no target leak)
     row = split.filter(F.col("Date") == dt.date(2026, 4, 10)).first()
     assert (row["lag_1"], row["lag_2"], row["rolling_mean_7"]) == (2, 1, 4 / 7)   # 04-03..04-09: 1 + 1 + 2
+
+
+PREDICTIONS = [  # the notebook's checked-in hold-out: actual, predicted
+    (1, 0.3252235449735449), (2, 0.23395370370370352), (2, 0.2180648148148148), (2, 0.22317592592592586),
+    (0, 0.2175092592592592), (0, 0.23139814814814802), (0, 0.23139814814814802), (0, 0.23139814814814802),
+    (0, 0.22973148148148137), (0, 0.2180648148148148), (0, 0.21784259259259253), (10, 0.21584259259259256)]
+
+
+def test_regression_metrics_golden(spark):
+    df = spark.createDataFrame(PREDICTIONS, "y long, p double")
+    m = series.regression_metrics(df, "y", "p").first()
+    assert m["n"] == 12
+    assert (round(m["mae"], 4), round(m["rmse"], 4), round(m["r2"], 4)) == (1.4468, 2.972, -0.192)
