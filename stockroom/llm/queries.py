@@ -6,11 +6,14 @@ its table and derives short digest columns from the operator's real output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, simhash
-from .common import save, table
+from . import line_dedup, packing, pu_classifier, quality_rules, simhash
+from .common import fold, save, table
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {}
 ORACLE = {}
@@ -46,6 +49,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0, with_ids=False)
+
+
 @query()
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
@@ -57,3 +65,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     measured = save(quality_rules.measure(docs).drop("text"))
     return quality_rules.judge(measured, table(spark, sf_dir, "labels")).select("doc_id", *quality_rules.BASE, "kept")
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = pu_classifier.classify(docs, labels, train=fold(F.col("doc_id")) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
