@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pu_classifier, quality_rules, simhash
+from . import line_dedup, packing, pu_classifier, quality_rules, simhash, topk, url_filter, warc
 from .common import fold, save, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,12 +54,59 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0, with_ids=False)
 
 
+@query("""
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query()
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query()
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A page and the document made of it share an id, so the documents' quality labels mark the pages.
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+@query(r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages WHERE page_id IS NOT NULL)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+       translate(to_base(CAST('0x' || substr(sha1(payload), 1, 10) AS BIGINT), 32, 8)
+              || to_base(CAST('0x' || substr(sha1(payload), 11, 10) AS BIGINT), 32, 8)
+              || to_base(CAST('0x' || substr(sha1(payload), 21, 10) AS BIGINT), 32, 8)
+              || to_base(CAST('0x' || substr(sha1(payload), 31, 10) AS BIGINT), 32, 8),
+              '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.new_path(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.describe(warc.records(spark, path))
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
