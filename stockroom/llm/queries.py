@@ -10,9 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pu_classifier, quality_rules, simhash, topk, url_filter, warc
+from . import lattice_lm, line_dedup, packing, piece_model, pu_classifier, quality_rules, simhash, topk, url_filter, warc
 from .common import fold, save, table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {}
@@ -49,6 +50,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    decoded = piece_model.decode(piece_model.encode(docs, PIECES), PIECES)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
+                          F.sha2("text", 256).alias("decoded_sha256"), "parity")
+
+
 @query()
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0, with_ids=False)
@@ -107,6 +116,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.describe(warc.records(spark, path))
 
 
+@query()
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), PIECES, train=fold(F.col("doc_id")) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score")
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
