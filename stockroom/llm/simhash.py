@@ -285,7 +285,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v): root is the smallest node reachable.
+    """(node, root) for every node of ``edges`` (u, v) that reaches a smaller one: root is the smallest reachable.
 
     Rounds of large-star (every larger neighbour is hung under the smallest)
     and small-star (so is every smaller one) until nothing changes; the edges
