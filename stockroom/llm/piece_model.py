@@ -106,8 +106,8 @@ def parse_model(data: bytes) -> Model:
 
 
 def bpe_merges(m: Model) -> list[tuple[str, str]]:
-    """Pairs whose union is a piece, best score first. Of pieces of one score, the library joins the leftmost pair
-    first: they are built up from the left, longer ones before shorter."""
+    """Pairs whose union is a piece, best score first. Of pieces of one score (runs of blanks), the library joins the
+    leftmost pair first, so a run grows from the left: longer unions come before shorter ones."""
     known = {p: s for p, s, t in zip(m.pieces, m.scores, m.types) if t in (NORMAL, USER_DEFINED)}
     by_score: dict[float, list[str]] = {}
     for p, s in known.items():
@@ -115,10 +115,8 @@ def bpe_merges(m: Model) -> list[tuple[str, str]]:
             by_score.setdefault(s, []).append(p)
     out = []
     for score in sorted(by_score, reverse=True):
-        tied = by_score[score]
-        for p in sorted(tied, key=lambda x: -len(x)):
-            cuts = [len(p) - 1] if len(tied) > 1 else range(1, len(p))
-            out += [(p[:i], p[i:]) for i in cuts if p[:i] in known and p[i:] in known]
+        for p in sorted(by_score[score], key=lambda x: -len(x)):
+            out += [(p[:i], p[i:]) for i in range(len(p) - 1, 0, -1) if p[:i] in known and p[i:] in known]
     return out
 
 
