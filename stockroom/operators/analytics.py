@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .broadcast import checked_broadcast
 from .reports import _money_sum, _qty_sum, ratio
 
 
@@ -32,7 +31,7 @@ def average_rank(df: DataFrame, partition: list[str], value: str, name: str = "r
     ranks = counts.select(*partition, value,
                           (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0)
                           .alias(name))
-    return df.join(checked_broadcast(ranks), [*partition, value], "left")
+    return df.join(ranks, [*partition, value], "left")
 
 
 def share_of_total(agg: DataFrame, within: list[str], value: str, name: str | None = None) -> DataFrame:

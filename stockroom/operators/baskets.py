@@ -38,6 +38,17 @@ def frequent_itemsets(basket_df: DataFrame, items_col: str = "items", min_suppor
                     F.col("freq").cast("bigint").alias("freq"), (F.col("freq") / n).alias("support"))
 
 
+def frequent_pairs(basket_df: DataFrame, items_col: str = "items", min_support: float = 0.01) -> DataFrame:
+    """Z2 for pairs alone, counted directly: every basket's pairs, partially
+    aggregated, without mining larger sets. Output as ``frequent_itemsets``."""
+    items = F.col(items_col)
+    rest = F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.array(x, y)))
+    pairs = basket_df.select(items_col).select(F.explode(F.flatten(rest)).alias("items"))
+    n = basket_df.select(F.count(F.lit(1))).scalar()
+    counted = pairs.groupBy("items").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= F.ceil(min_support * n))
+    return counted.select("items", F.lit(2).alias("size"), "freq", (F.col("freq") / n).alias("support"))
+
+
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.1) -> DataFrame:
     """Z3: rules A -> C for every frequent itemset I and every non-empty
     proper subset A of I (C = I - A), with support(I), confidence =

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_sales_question, question_date, search_words, spoken_item_name, spoken_size
 from ..session import cut_lineage
-from .broadcast import checked_broadcast
 
 
 def item_substrings(items: DataFrame, lengths: DataFrame, text_cols: list[str], id_col: str) -> DataFrame:
@@ -75,7 +74,7 @@ def match_items(requests: DataFrame, items: DataFrame, request_id: str = "reques
     rarest = (words.join(freq, "w", "left").groupBy("_tid")
               .agg(F.min_by("w", F.struct(F.coalesce("_df", F.lit(0)), "w")).alias("_rw")))
     cand = rarest.join(word_items, rarest._rw == word_items.w).select("_tid", "_iid")
-    checked = (cand.join(words, "_tid").join(checked_broadcast(word_items), ["w", "_iid"], "left_semi")
+    checked = (cand.join(words, "_tid").join(word_items, ["w", "_iid"], "left_semi")
                .groupBy("_tid", "_iid").agg(F.count(F.lit(1)).alias("_m")))
     full = checked.join(n_words, "_tid").filter(F.col("_m") == F.col("_n")).join(item_ids, "_iid")
     cand = full.select("_tid", "_size", item_name, brand_col, size_col)
@@ -87,8 +86,7 @@ def match_items(requests: DataFrame, items: DataFrame, request_id: str = "reques
     per_size = item_ids.groupBy(F.col(size_col).alias("_ps")).agg(
         F.min(F.struct(F.lit(1).alias("tier"), item_name, brand_col, size_col)).alias("_bs"))
     overall = item_ids.select(F.min(F.struct(item_name, brand_col, size_col))).scalar()
-    no_words = n_words.filter(F.col("_n") == 0).join(checked_broadcast(per_size), F.col("_size") == F.col("_ps"),
-                                                     "left")
+    no_words = n_words.filter(F.col("_n") == 0).join(per_size, F.col("_size") == F.col("_ps"), "left")
     any_tier = F.when(F.col("_size").isNull(), F.lit(1)).otherwise(F.lit(4))
     fallback = F.struct(any_tier.alias("tier"), overall[item_name].alias(item_name),
                         overall[brand_col].alias(brand_col), overall[size_col].alias(size_col))

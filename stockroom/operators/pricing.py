@@ -2,9 +2,10 @@
 
 The price list is a dimension keyed by product. It is de-duplicated before
 the join (lowest serial number wins), so a join can never multiply sales
-rows, whatever key subset is used. The de-duplicated list is broadcast only
-after its size is checked (``checked_broadcast``); beyond the bound the join
-is a shuffle join on the product key, which AQE splits if one product is hot.
+rows, whatever key subset is used. Joins carry no hint: Spark broadcasts the
+list only while it is under ``spark.sql.autoBroadcastJoinThreshold``; beyond
+it the join is a shuffle join on the product key, which AQE splits if one
+product is hot.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY, line_total, serial_sort_key
-from .broadcast import checked_broadcast
 
 PRODUCT = ["Brand_Category", "Brand", "Size_ML"]
 
@@ -40,7 +40,7 @@ def price_sales(sales: DataFrame, prices: DataFrame, keys: list[str] | None = No
     p = prices.select(*keys, price_col)
     if dedupe:
         p = dedupe_prices(prices.select(*keys, price_col, "Sl_No"), keys).select(*keys, price_col)
-    joined = sales.join(checked_broadcast(p), keys, "left")
+    joined = sales.join(p, keys, "left")
     if unmatched == "zero":
         unit = F.coalesce(F.col(price_col), F.lit(0).cast(MONEY))
         total = line_total(qty_col, unit)
@@ -59,7 +59,7 @@ def enrich_stock_with_prices(stock: DataFrame, prices: DataFrame, price_cols: li
     keys = keys or PRODUCT
     price_cols = price_cols or ["Mrp"]
     p = dedupe_prices(prices.select(*keys, "Sl_No", *price_cols), keys)
-    out = stock.join(checked_broadcast(p), keys, "left")
+    out = stock.join(p, keys, "left")
     out = out.withColumn("Sl_No", serial_sort_key("Sl_No"))
     for c in price_cols:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast(MONEY)))

@@ -38,12 +38,36 @@ def z01s(d):
 
 
 def _itemsets(d):
-    return baskets.frequent_itemsets(_brand_baskets(d), min_support=MIN_SUPPORT)
-
-
-@register("z02_frequent_itemsets")
+    """Mined on vouchers: one holds a few brands however many there are,
+    while a day's basket of a category comes to hold every brand."""
+    return baskets.frequent_itemsets(d.voucher_brands(), min_support=MIN_SUPPORT)
+
+
+# Level by level: a set of k brands joins the next brand of the same voucher.
+# Voucher sets of over four brands are far below the support asked for.
+_LEVELS = """
+, vb AS (SELECT l_orderkey AS k, p_brand AS it FROM lineitem JOIN part ON l_partkey = p_partkey
+         WHERE p_brand IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT COUNT(DISTINCT k) AS n FROM vb),
+l1 AS (SELECT it AS a, COUNT(*) AS freq FROM vb GROUP BY 1),
+f1 AS (SELECT * FROM l1, n WHERE freq >= CEIL(CAST(0.01 AS DOUBLE) * n)),
+v AS (SELECT k, it FROM vb WHERE it IN (SELECT a FROM f1)),
+l2 AS (SELECT x.it AS a, y.it AS b, COUNT(*) AS freq FROM v x JOIN v y ON x.k = y.k AND x.it < y.it GROUP BY 1, 2),
+l3 AS (SELECT x.it AS a, y.it AS b, z.it AS c, COUNT(*) AS freq FROM v x JOIN v y ON x.k = y.k AND x.it < y.it
+       JOIN v z ON x.k = z.k AND y.it < z.it GROUP BY 1, 2, 3),
+l4 AS (SELECT x.it AS a, y.it AS b, z.it AS c, w.it AS d, COUNT(*) AS freq FROM v x JOIN v y ON x.k = y.k AND x.it < y.it
+       JOIN v z ON x.k = z.k AND y.it < z.it JOIN v w ON x.k = w.k AND z.it < w.it GROUP BY 1, 2, 3, 4),
+itemsets AS (
+  SELECT s AS items, len(s) AS size, freq, CAST(freq AS DOUBLE) / n AS support FROM (
+    SELECT [a] AS s, freq FROM l1 UNION ALL SELECT [a, b], freq FROM l2 UNION ALL SELECT [a, b, c], freq FROM l3
+    UNION ALL SELECT [a, b, c, d], freq FROM l4) u, n WHERE freq >= CEIL(CAST(0.01 AS DOUBLE) * n))
+"""
+
+
+@register("z02_frequent_itemsets", "WITH one AS (SELECT 1)" + _LEVELS + """
+SELECT array_to_string(items, ',') AS items, CAST(size AS INTEGER) AS size, freq, support FROM itemsets""")
 def z02(d):
-    """Frequent brand sets (support >= 1 % of baskets), FP-growth."""
+    """Frequent brand sets (support >= 1 % of vouchers), FP-growth."""
     return _itemsets(d).withColumn("items", F.array_join("items", ","))
 
 
@@ -54,11 +78,17 @@ FROM (SELECT x.it AS a, y.it AS b, COUNT(*) AS freq FROM basket_items x JOIN bas
 WHERE freq >= CEIL(CAST(0.01 AS DOUBLE) * (SELECT COUNT(*) FROM brand_baskets))""", "basket_items"))
 def z02p(d):
     """The frequent pairs (checked against SQL pair counts)."""
-    f = _itemsets(d).filter(F.col("size") == 2)
+    f = baskets.frequent_pairs(_brand_baskets(d), min_support=MIN_SUPPORT)
     return f.select(F.array_join("items", ",").alias("items"), "freq", "support")
 
 
-@register("z03_association_rules")
+@register("z03_association_rules", "WITH one AS (SELECT 1)" + _LEVELS + """
+SELECT array_to_string(p.items, ',') AS antecedents, array_to_string(q.items, ',') AS consequents,
+       p.support AS antecedent_support, q.support AS consequent_support, i.support AS support,
+       i.support / p.support AS confidence, i.support / p.support / q.support AS lift
+FROM itemsets i JOIN itemsets p ON p.size < i.size AND list_has_all(i.items, p.items)
+JOIN itemsets q ON q.size = i.size - p.size AND list_has_all(i.items, q.items) AND NOT list_has_any(p.items, q.items)
+WHERE i.support / p.support >= 0.1""")
 def z03(d):
     """Z3: rules with any split of a frequent itemset (multi-item
     consequents), confidence >= 0.1, with support, confidence and lift."""

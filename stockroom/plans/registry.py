@@ -38,7 +38,7 @@ FROM daily_sales s LEFT JOIN price_list p
     # Brand + Size only; the price list is first reduced to one row per
     # (Brand, Size_ML), lowest serial number first.
     "price2": ("""
-SELECT Brand, Size_ML, MIN_BY(Mrp, Sl_No) AS Mrp FROM price_list GROUP BY Brand, Size_ML""", ["price_list"]),
+SELECT Brand, Size_ML, FIRST(Mrp ORDER BY Sl_No) AS Mrp FROM price_list GROUP BY Brand, Size_ML""", ["price_list"]),
     "priced2n": ("""
 SELECT s.Date, s.Brand_Category, s.Brand, s.Size_ML, s.Qty, p.Mrp AS unit_price,
        CAST(s.Qty * p.Mrp AS DECIMAL(18,2)) AS total

@@ -17,10 +17,10 @@ from __future__ import annotations
 import datetime as dt
 import functools
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import first_per_key
 
 CREATED, UPDATED = "created_at", "updated_at"
 
@@ -35,6 +35,18 @@ def _key_match(keys: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
 
 
+def _one_per_key(incoming: DataFrame, keys: list[str], mode: str, value: str, order_col: str | None) -> DataFrame:
+    rest = [c for c in incoming.columns if c not in keys]
+    if not rest:
+        return incoming.distinct()
+    row = F.struct(*([F.col(order_col)] if order_col else []), *[F.col(c).alias(f"_{c}") for c in rest])
+    pick = F.min(row) if mode == "insert_only" else F.max(row)
+    added = [F.sum(value).cast(incoming.schema[value].dataType).alias("_v")] if mode == "inc" else []
+    one = incoming.groupBy(*keys).agg(pick.alias("_r"), *added)
+    get = lambda c: F.col("_v") if mode == "inc" and c == value else F.col(f"_r._{c}")
+    return one.select(*[F.col(c) if c in keys else get(c).alias(c) for c in incoming.columns])
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "set", run_ts=None,
            value: str = "Qty", price_col: str = "Mrp", old_price_col: str = "Mrp_OLD",
            order_col: str | None = None, stamps: bool = True) -> DataFrame:
@@ -49,17 +61,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], mode: str
     - ``set_shift`` (K4): like ``set`` but when the price changes the old
       price moves to ``old_price_col``.
 
-    The incoming batch must already be unique on ``keys`` except for
-    ``insert_only``. Untouched rows pass through unchanged.
+    A batch that repeats a key is reduced to one row per key first: ``inc``
+    adds the values; the other modes keep the last row by ``order_col``
+    (``insert_only``: the first), or by all columns where none is given, so
+    the choice never depends on the order of arrival. Untouched rows pass
+    through unchanged.
     """
     ts = _ts(run_ts)
+    incoming = _one_per_key(incoming, keys, mode, value, order_col)
     cols = [c for c in existing.columns if c not in (CREATED, UPDATED)]
     new_cols = [c for c in incoming.columns if c not in (CREATED, UPDATED)]
     all_cols = cols + [c for c in new_cols if c not in cols]
     if mode == "insert_only":
-        batch = first_per_key(incoming, keys, order_col) if order_col else incoming
         cond = _key_match(keys)
-        fresh = batch.alias("n").join(existing.alias("o"), cond, "left_anti")
+        fresh = incoming.alias("n").join(existing.alias("o"), cond, "left_anti")
         if stamps:
             fresh = fresh.withColumn(CREATED, ts).withColumn(UPDATED, ts)
         return existing.unionByName(fresh, allowMissingColumns=True)
@@ -132,8 +147,10 @@ class TableStore:
     def _commits(self, name: str) -> list:
         try:
             log = self.spark.read.schema(self.LOG_SCHEMA).parquet(self._log)
-        except Exception:  # noqa: BLE001 - nothing committed yet
-            return []
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []  # nothing committed yet
         # the log holds one small row per commit of this table
         return sorted(log.filter(F.col("table_name") == name).select("version", "mode", "batch_id").collect(),
                       key=lambda r: r["version"])
@@ -191,10 +208,3 @@ class TableStore:
             counts.append(self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("records"))
                           .select(F.lit(name).alias("table_name"), "records"))
         return functools.reduce(lambda a, b: a.unionByName(b), counts)
-
-
-def new_files(files: DataFrame, processed_log: DataFrame | None, hash_col: str = "file_hash") -> DataFrame:
-    """Files whose content hash is not in the processed log."""
-    if processed_log is None:
-        return files
-    return files.join(processed_log.select(hash_col), hash_col, "left_anti")

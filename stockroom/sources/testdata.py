@@ -26,14 +26,14 @@ RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lin
 
 PRODUCT = ["Brand_Category", "Brand", "Size_ML"]
 
-# The price list deliberately leaves out every tenth product (by its first
-# part key) so that the unmatched-price rules are exercised; all sales rows
-# are still processed.
+# Every product is in the price list. Every tenth (by its first part key) has
+# no price yet, so that the rules for missing prices are exercised.
 FIXTURE_SQL: dict[str, str] = {
     "price_list": """
 SELECT p_brand AS Brand, p_type AS Brand_Category, p_size AS Size_ML,
-       MIN(p_partkey) AS Sl_No, CAST(MIN_BY(p_retailprice, p_partkey) AS DECIMAL(18,2)) AS Mrp
-FROM part GROUP BY p_brand, p_type, p_size HAVING MIN(p_partkey) % 10 <> 0""",
+       MIN(p_partkey) AS Sl_No, CAST(CASE WHEN MIN(p_partkey) % 10 <> 0
+       THEN MIN_BY(p_retailprice, p_partkey) END AS DECIMAL(18,2)) AS Mrp
+FROM part GROUP BY p_brand, p_type, p_size""",
     "daily_sales": """
 SELECT CAST(l_shipdate AS DATE) AS Date, p_type AS Brand_Category, p_brand AS Brand,
        p_size AS Size_ML, CAST(l_quantity AS INT) AS Qty
@@ -92,7 +92,7 @@ class ShopData:
                              F.col("p_size").alias("Size_ML"))
                 .agg(F.min("p_partkey").alias("Sl_No"),
                      F.min_by("p_retailprice", "p_partkey").cast(MONEY).alias("Mrp"))
-                .filter(F.col("Sl_No") % 10 != 0))
+                .withColumn("Mrp", F.when(F.col("Sl_No") % 10 != 0, F.col("Mrp"))))
 
     def _part_products(self) -> DataFrame:
         return self.table("part").select(
@@ -148,6 +148,13 @@ class ShopData:
             F.col("p_retailprice").cast(MONEY).alias("rate"),
             F.col("l_extendedprice").cast(MONEY).alias("amount"))
 
+    def voucher_brands(self) -> DataFrame:
+        """One basket per voucher: the sorted set of its brands."""
+        from ..operators.baskets import baskets
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey").join(
+            self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        return baskets(lines, ["l_orderkey"], "p_brand")
+
     def date_keyed_stock(self) -> DataFrame:
         """Date-keyed current inventory: opening rows plus receipt rows."""
         return self.monthly_stock().unionByName(self.incoming_stock())

@@ -51,7 +51,9 @@ def clean_xml_text(c) -> Column:
 def elements(docs: DataFrame, tag: str) -> DataFrame:
     """Every ``<tag ...>...</tag>`` element of the documents, one per row,
     with its position in the file."""
-    pat = rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"
+    # an attribute value may hold '>' or '/'; a self-closing element ends at its own '/>'
+    attrs = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?"""
+    pat = rf"(?s)<{tag}{attrs}/>|<{tag}{attrs}>.*?</{tag}>"
     return docs.select("file_path", F.posexplode(F.regexp_extract_all("doc", F.lit(pat), 0)).alias("pos", "xml"))
 
 
