@@ -6,12 +6,14 @@ the previous table version current and the input files unregistered.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
 from ..operators.clean import merge_duplicates, standardize, validate
-from ..sinks.tables import TableStore, upsert_counts
+from ..sinks.tables import TableStore, upsert, upsert_counts
 from ..sources import csv as csvsrc
 from ..sources import files
 
@@ -26,7 +28,8 @@ def load_sales_folder(spark: SparkSession, folder: str, store: TableStore, run_t
     Files already in the ``processed_files`` log are skipped (S12); files
     missing a column are reported ``failed`` (S2); bad rows are quarantined
     (D6); duplicates per key are merged (D5); the batch is upserted (K1 /
-    K2) into a new table version; only then are the files logged.
+    K2) into a new table version. Rows and file log are one commit, so a
+    crash leaves both or neither and a retry adds nothing twice.
     Returns the file report, the bad rows and the upsert counts (K6).
     """
     hashes = files.file_hashes(spark, folder, "*.csv")
@@ -40,18 +43,21 @@ def load_sales_folder(spark: SparkSession, folder: str, store: TableStore, run_t
     # the counts read the version that was current before this write; that
     # version directory is never modified, so they stay valid afterwards
     counts = upsert_counts(current.select(*SALES_COLUMNS), batch, ["Date", *PRODUCT], ["Qty"])
-    store.upsert(table, batch, ["Date", *PRODUCT], mode, run_ts=run_ts)
     ok_files = report.filter(F.col("status") == "ok").select("file_path")
-    store.append("processed_files", files.log_rows(todo.join(ok_files, "file_path", "left_semi"), run_ts),
-                 run_ts=run_ts)
+    store.write_all({
+        table: (upsert(current, batch, ["Date", *PRODUCT], mode, run_ts=run_ts), "full"),
+        "processed_files": (files.log_rows(todo.join(ok_files, "file_path", "left_semi"), run_ts), "append")},
+        run_ts=run_ts)
     return {"files": report, "bad_rows": bad, "counts": counts}
 
 
 def run_inventory_days(store: TableStore, initial: DataFrame, incoming: DataFrame, sales: DataFrame, run_ts,
-                       on_negative: str = "fail") -> dict[str, DataFrame]:
+                       on_negative: str = "fail", snapshot_dates: list | None = None) -> dict[str, DataFrame]:
     """The multi-day run as one job: closed-form balances, the
-    failure check, then versioned outputs: snapshots partitioned by date,
-    final inventory, cleaned inputs and the daily summary."""
+    failure check, then versioned outputs: balances per movement day, the
+    final inventory, the cleaned inputs, the daily summary, and the as-of
+    stock of every product for each of ``snapshot_dates``. The balances are
+    written first and the snapshots derived from the written rows."""
     r = inv.multi_day_inventory(initial, incoming, sales)
     if on_negative == "fail" and not r["violations"].isEmpty():
         raise inv.NegativeStockError("sales exceed stock on hand", r["violations"])
@@ -60,4 +66,11 @@ def run_inventory_days(store: TableStore, initial: DataFrame, incoming: DataFram
                 run_ts=run_ts)
     store.write("daily_processing_summary", r["summary"], run_ts=run_ts)
     store.write("ignored_sales", r["ignored_sales"], run_ts=run_ts)
+    store.write("cleaned_incoming", incoming, run_ts=run_ts)
+    store.write("cleaned_sales", sales, run_ts=run_ts)
+    if snapshot_dates:
+        balances = store.read("inventory_balances")
+        days = [inv.snapshot(balances, day, opening=initial) for day in snapshot_dates]
+        store.write("inventory_snapshots", functools.reduce(DataFrame.unionByName, days), partition_by=["Date"],
+                    run_ts=run_ts)
     return r

@@ -55,8 +55,8 @@ def get_spark(master: str | None = None, app: str = "stockroom",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is a shared file system path set by the operator. Only
-    when it is unset (a local test run) do we create a scratch folder.
+    On a cluster this is a shared file system path set by the operator, and
+    required. Only a local run creates a scratch folder when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stockroom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

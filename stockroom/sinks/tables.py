@@ -131,7 +131,7 @@ class TableStore:
     (only the new rows are written). ``read`` unions the latest full version
     with the appends after it. A ``batch_id`` (e.g. a streaming epoch) makes
     a write idempotent: a replayed batch that was already committed is
-    skipped, which gives ``foreachBatch`` sinks exactly-once output.
+    skipped.
     """
 
     LOG_SCHEMA = "table_name string, version int, mode string, batch_id long, committed_at timestamp"
@@ -174,18 +174,31 @@ class TableStore:
               mode: str = "full", batch_id: int | None = None) -> int | None:
         """Write a new version and commit it; returns the version number
         (None when ``batch_id`` was already committed)."""
-        c = self._commits(name)
-        if batch_id is not None and any(r["batch_id"] == batch_id for r in c):
-            return None
-        v = (c[-1]["version"] if c else 0) + 1
-        w = df.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(f"{self.base}/{name}/v={v}")
-        commit = self.spark.createDataFrame(
-            [(name, v, mode, batch_id, run_ts or dt.datetime(1970, 1, 1))], self.LOG_SCHEMA)
-        commit.coalesce(1).write.mode("append").parquet(self._log)
-        return v
+        return self.write_all({name: (df, mode)}, partition_by, run_ts, batch_id)[name]
+
+    def write_all(self, tables: dict[str, tuple[DataFrame, str]], partition_by: list[str] | None = None, run_ts=None,
+                  batch_id: int | None = None) -> dict[str, int | None]:
+        """Write new versions of several tables (name -> rows, mode) and
+        commit them together: one log file, so all become visible or none."""
+        versions: dict[str, int | None] = {}
+        rows = []
+        for name, (df, mode) in tables.items():
+            c = self._commits(name)
+            if batch_id is not None and any(r["batch_id"] == batch_id for r in c):
+                versions[name] = None
+                continue
+            v = versions[name] = (c[-1]["version"] if c else 0) + 1
+            w = df.write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(f"{self.base}/{name}/v={v}")
+            rows.append((name, v, mode, batch_id, run_ts or dt.datetime(1970, 1, 1)))
+        if rows:
+            self._commit(rows)
+        return versions
+
+    def _commit(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, self.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self._log)
 
     def append(self, name: str, df: DataFrame, run_ts=None, batch_id: int | None = None) -> int | None:
         """Append rows (only the new rows are written)."""

@@ -11,8 +11,9 @@ order at all.
 
 State lives in the checkpoint folder (shared storage on a cluster), so a
 lost executor or a restarted query resumes from the last committed batch.
-Each micro-batch holds a bounded slice of the input (``maxFilesPerTrigger``
-/ ``maxBytesPerTrigger``), which bounds what one key's group holds in a task.
+Each micro-batch holds a bounded slice of the input (``maxBytesPerTrigger``),
+which bounds what one key's group holds in a task. Every micro-batch writes its own epoch folder and overwrites it when it
+is replayed, so output and state stay in step across crashes.
 
 ``replay`` is the batch twin used to check the stream: it hash-partitions by
 key, sorts inside partitions and folds with ``mapInPandas`` keeping only a
@@ -30,21 +31,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import ensure_checkpoint_dir, scratch_path
-from ..sinks.tables import TableStore
+from ..session import scratch_path
 
-EVENT_SCHEMA = "key long, event_id long, ts timestamp, kind string, qty long"
 OUT_SCHEMA = ("key long, event_id long, ts timestamp, kind string, qty long, accepted boolean, "
               "stock_before long, stock_after long")
 STATE_SCHEMA = "qty long"
 KIND_ORDER = {"receipt": 0, "sale": 1}
 
 
-def movement_events(receipts: DataFrame, sales: DataFrame, key: str, qty: str, ts: str = "ts",
+def movement_events(receipts: DataFrame, sales: DataFrame, key: str | list[str], qty: str, ts: str = "ts",
                     event_id: str = "event_id") -> DataFrame:
-    """One event frame (batch or streaming) from the two sources."""
+    """One event frame (batch or streaming) from the two sources. ``key`` is
+    one column of any type, or several (Date, category, brand, size), whose
+    struct is then the key."""
     def shape(df, kind):
-        return df.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"),
+        own = F.col(key) if isinstance(key, str) else F.struct(*key)
+        return df.select(own.alias("key"), F.col(event_id).cast("long").alias("event_id"),
                          F.col(ts).cast("timestamp").alias("ts"), F.lit(kind).alias("kind"),
                          F.col(qty).cast("long").alias("qty"))
     return shape(receipts, "receipt").unionByName(shape(sales, "sale"))
@@ -54,7 +56,7 @@ def _apply(events: pd.DataFrame, stock: int) -> tuple[pd.DataFrame, int]:
     """Apply ordered events to one key's stock; returns output rows and the
     new stock. Only this small per-event step runs in Python."""
     events = events[events["qty"] > 0]
-    order = events.assign(_k=events["kind"].map(KIND_ORDER)).sort_values(["ts", "_k", "event_id"])
+    order = events.assign(_order=events["kind"].map(KIND_ORDER)).sort_values(["ts", "_order", "event_id"])
     accepted, before, after = [], [], []
     for kind, q in zip(order["kind"].to_numpy(), order["qty"].to_numpy()):
         before.append(stock)
@@ -67,7 +69,7 @@ def _apply(events: pd.DataFrame, stock: int) -> tuple[pd.DataFrame, int]:
         else:
             accepted.append(False)
         after.append(stock)
-    out = order.drop(columns="_k").assign(accepted=accepted, stock_before=before, stock_after=after)
+    out = order.drop(columns="_order").assign(accepted=accepted, stock_before=before, stock_after=after)
     return out, stock
 
 
@@ -76,13 +78,30 @@ def _state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     batch = pd.concat(list(pdfs), ignore_index=True)
     out, stock = _apply(batch, stock)
     state.update((stock,))
-    yield out[["key", "event_id", "ts", "kind", "qty", "accepted", "stock_before", "stock_after"]]
+    yield out[[*[c for c in out if c.startswith("_k")], "event_id", "ts", "kind", "qty", "accepted", "stock_before",
+               "stock_after"]]
+
+
+def _key_columns(events: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The key spread over plain columns ``_k0``, ``_k1``, ...: state and
+    pandas groups take plain columns of any type. Also their types."""
+    kind = events.schema["key"].dataType
+    parts = {f"_k{i}": F.col("key")[f.name] for i, f in enumerate(kind.fields)} if hasattr(kind, "fields") else {
+        "_k0": F.col("key")}
+    spread = events.select(*[c.alias(n) for n, c in parts.items()], "event_id", "ts", "kind", "qty")
+    return spread, {n: spread.schema[n].dataType.simpleString() for n in parts}
 
 
 def realtime_inventory(events: DataFrame) -> DataFrame:
     """Per-key running stock with rejects (streaming or batch input)."""
-    return events.groupBy("key").applyInPandasWithState(
-        _state_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    spread, types = _key_columns(events)
+    schema = OUT_SCHEMA.replace("key long", ", ".join(f"{n} {t}" for n, t in types.items()), 1)
+    out = spread.groupBy(*types).applyInPandasWithState(
+        _state_fn, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    kind = events.schema["key"].dataType
+    names = [f.name for f in kind.fields] if hasattr(kind, "fields") else None
+    key = F.struct(*[F.col(n).alias(o) for n, o in zip(types, names)]) if names else F.col("_k0")
+    return out.select(key.alias("key"), *[c for c in out.columns if c not in types])
 
 
 def replay(events: DataFrame, partitions: int | None = None, skip_non_positive: bool = True) -> DataFrame:
@@ -99,11 +118,12 @@ def replay(events: DataFrame, partitions: int | None = None, skip_non_positive:
                .sortWithinPartitions("key", "ts", kind_order, "event_id"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stock: dict = {}
+        key, s, started = None, 0, False  # rows come key by key: one running value is enough
         for pdf in batches:
             acc, before, after = [], [], []
             for k, kind, q in zip(pdf["key"].to_numpy(), pdf["kind"].to_numpy(), pdf["qty"].to_numpy()):
-                s = stock.get(k, 0)
+                if not started or k != key:
+                    key, s, started = k, 0, True
                 before.append(s)
                 if kind == "receipt":
                     s += int(q)
@@ -113,7 +133,6 @@ def replay(events: DataFrame, partitions: int | None = None, skip_non_positive:
                     acc.append(True)
                 else:
                     acc.append(False)
-                stock[k] = s
                 after.append(s)
             yield pdf.assign(accepted=acc, stock_before=before, stock_after=after)
 
@@ -127,47 +146,74 @@ def latest_per_key(batch: DataFrame) -> DataFrame:
         F.max_by("stock_after", F.struct("ts", kind_order, "event_id")).alias("Qty"))
 
 
-def start(spark: SparkSession, receipts_path: str, sales_path: str, schema: str, key: str, qty: str,
-          store_base: str, checkpoint: str | None = None, available_now: bool = True,
-          max_files_per_trigger: int = 100, receipts_filter=None, sales_filter=None, prepare=None, run_ts=None,
-          glob: str | None = None):
-    """Start the job: parquet file sources -> state -> ``foreachBatch``
-    upsert (set) of the latest stock per key into the ``stock`` table and
-    an append of every event outcome to ``stock_events`` (R3)."""
-    def src(path, flt):
-        r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-        s = (r.option("pathGlobFilter", glob) if glob else r).parquet(path)
+def _epochs(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Every event outcome that the job at ``path`` has written."""
+    return _epochs(spark, path, "stock_events").drop("query", "epoch")
+
+
+def read_stock(spark: SparkSession, path: str) -> DataFrame:
+    """The current stock, the latest epoch's value of each key."""
+    return _epochs(spark, path, "stock_changes").groupBy("key").agg(F.max_by("Qty", "epoch").alias("Qty"))
+
+
+def write_epoch(batch: DataFrame, epoch: int, path: str, query: str) -> None:
+    """Write one micro-batch: its event outcomes and the last stock of the
+    keys it touched, each in a folder of its own epoch.
+
+    The folder is overwritten, so a batch that is replayed after a crash
+    writes the same rows again and nothing twice. Only changed keys are
+    written, not the whole stock."""
+    at = f"query={query}/epoch={epoch}"
+    batch.write.mode("overwrite").parquet(f"{path}/stock_events/{at}")
+    written = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/stock_events/{at}")
+    latest_per_key(written).write.mode("overwrite").parquet(f"{path}/stock_changes/{at}")
+
+
+def start(spark: SparkSession, receipts_path: str, sales_path: str, schema: str, key: str | list[str], qty: str,
+          path: str, checkpoint: str, available_now: bool = True, max_bytes_per_trigger: int = 1 << 30,
+          receipts_filter=None, sales_filter=None, prepare=None):
+    """Start the job: parquet file sources (a file or a folder of part files)
+    -> state -> event outcomes and stock changes under ``path`` (R3).
+
+    ``checkpoint`` belongs to ``path``: a restart with both goes on where the
+    job stopped. Output is kept under the query id that the checkpoint holds,
+    so another checkpoint can never overwrite its epochs."""
+    def src(at, flt):
+        s = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(at)
         s = s.filter(flt) if flt is not None else s
         return prepare(s) if prepare is not None else s
 
     events = movement_events(src(receipts_path, receipts_filter), src(sales_path, sales_filter), key, qty)
     out = realtime_inventory(events)
-    store = TableStore(spark, store_base)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        # both writes carry the epoch, so a replayed batch is not applied twice
-        store.append("stock_events", batch, run_ts=run_ts, batch_id=epoch)
-        store.upsert("stock", latest_per_key(batch), ["key"], "set", run_ts=run_ts, stamps=False, batch_id=epoch)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_epoch(batch, epoch, path, query)
 
-    ck = checkpoint or scratch_path(spark, f"stream-ckpt-{uuid.uuid4().hex}")
-    w = out.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
+    w = out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start(), store
+    return w.start()
+
+
+EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def run_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the streaming job to completion over the ``events`` table
     (signups are receipts, purchases are sales, quantity = floor(value),
     key = user_id) and return every event outcome it wrote."""
-    ensure_checkpoint_dir(spark)
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    path = sf_dir.rstrip("/")
-    q, store = start(spark, path, path, schema, "user_id", "q", base, glob="events.parquet",
-                     receipts_filter=F.col("event_type") == "signup", sales_filter=F.col("event_type") == "purchase",
-                     prepare=_events_with_qty)
+    # a pattern, as the source takes a single file or a folder of part files by pattern only
+    events = f"{sf_dir.rstrip('/')}/events.parque[t]"
+    q = start(spark, events, events, EVENTS_SCHEMA, "user_id", "q", f"{base}/out", f"{base}/checkpoint",
+              receipts_filter=F.col("event_type") == "signup", sales_filter=F.col("event_type") == "purchase",
+              prepare=_events_with_qty)
     q.awaitTermination()
-    return store.read("stock_events")
+    return read_events(spark, f"{base}/out")
 
 
 def _events_with_qty(df: DataFrame) -> DataFrame:

@@ -40,6 +40,22 @@ def test_sales_folder_job_is_idempotent(spark, tmp):
     assert [(x["Brand"], x["Qty"]) for x in store.read("daily_sales").collect()] == [("A", 5)]
 
 
+def test_a_crash_before_the_commit_adds_nothing_twice(spark, tmp, monkeypatch):
+    d = os.path.join(tmp, "in")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "Date,Brand_Category,Brand,Size_ML,Qty\n09/04/2026,WHISKY,A,750,2\n")
+    store = TableStore(spark, os.path.join(tmp, "store"))
+    commit = TableStore._commit
+    monkeypatch.setattr(TableStore, "_commit", lambda self, rows: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        jobs.load_sales_folder(spark, d, store, TS, mode="inc")
+    monkeypatch.setattr(TableStore, "_commit", commit)
+    write(os.path.join(d, "b.csv"), "Date,Brand_Category,Brand,Size_ML,Qty\n09/04/2026,WHISKY,A,750,5\n")
+    for _ in range(2):
+        jobs.load_sales_folder(spark, d, store, TS, mode="inc")
+    assert [r["Qty"] for r in store.read("daily_sales").collect()] == [7]
+
+
 def test_inventory_days_job(spark, tmp):
     init = spark.createDataFrame([("WHISKY", "A", 750, 100)], "Brand_Category string, Brand string, Size_ML int, Qty int")
     d0 = dt.date(2026, 4, 1)
@@ -47,7 +63,10 @@ def test_inventory_days_job(spark, tmp):
     inc = spark.createDataFrame([(d0, "WHISKY", "A", 750, 20)], schema)
     ok = spark.createDataFrame([(d0, "WHISKY", "A", 750, 5)], schema)
     store = TableStore(spark, os.path.join(tmp, "inv"))
-    jobs.run_inventory_days(store, init, inc, ok, TS)
+    jobs.run_inventory_days(store, init, inc, ok, TS, snapshot_dates=[d0 - dt.timedelta(days=1), d0])
+    assert sorted((r["Date"], r["Qty"]) for r in store.read("inventory_snapshots").collect()) == [
+        (d0 - dt.timedelta(days=1), 100), (d0, 115)]
+    assert store.read("cleaned_sales").count() == store.read("cleaned_incoming").count() == 1
     assert store.read("final_inventory").first()["Qty"] == 115
     too_much = spark.createDataFrame([(d0, "WHISKY", "A", 750, 500)], schema)
     with pytest.raises(NegativeStockError):

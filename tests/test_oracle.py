@@ -12,8 +12,6 @@ import __spark_entry__ as entry  # noqa: E402
 import oracle_check  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"z08_forest_test_predictions", "z10_recursive_forecast", "z11_forecast_summary", "z12_brand_next_day",
-        "u04_history_and_forecast", "r01_realtime_inventory"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +30,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert oracle_check.rows_of(s_cols, s_rows) == oracle_check.rows_of(d_cols, d_rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     df = entry.queries()[name](spark, SF)
     assert len(df.columns) > 0

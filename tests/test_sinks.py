@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from stockroom.operators.clean import merge_duplicates, validate, standardize
 from stockroom.sinks.tables import TableStore, upsert, upsert_counts
 
@@ -25,6 +28,20 @@ def test_upsert_modes(spark):
     assert (c["matched_count"], c["modified_count"], c["upserted_count"]) == (1, 1, 1)
 
 
+def test_repeated_keys_are_one_row(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, Qty int")
+    new = spark.createDataFrame([("a", 3), ("a", 4), ("b", 5), ("b", 2)], "k string, Qty int")
+    got = {m: rows(upsert(old, new, KEYS, m, stamps=False), ["k", "Qty"]) for m in ("set", "inc", "insert_only")}
+    assert got == {"set": [("a", 4), ("b", 5)], "inc": [("a", 8), ("b", 7)], "insert_only": [("a", 1), ("b", 2)]}
+    timed = new.withColumn("at", -F.col("Qty"))
+    assert rows(upsert(old, timed, KEYS, "set", order_col="at", stamps=False), ["k", "Qty"]) == [("a", 3), ("b", 2)]
+
+
+def test_a_read_failure_is_not_an_empty_table(spark):
+    with pytest.raises(Exception, match="(?i)filesystem|scheme|nosuch"):
+        TableStore(spark, "nosuch://store/base").exists("t")
+
+
 def test_null_keys_are_equal(spark):
     old = spark.createDataFrame([(None, 1)], "k string, Qty int")
     new = spark.createDataFrame([(None, 4)], "k string, Qty int")

@@ -167,3 +167,11 @@ def test_csv_to_json_new_path(spark, tmp):
         pass
     else:
         raise AssertionError("overwriting the source must be refused")
+
+
+def test_self_closing_elements_do_not_swallow_the_next(spark):
+    from stockroom.sources import xml
+    doc = '<R><STOCKITEM NAME="A"/><STOCKITEM NAME="B/"><X>1</X></STOCKITEM><STOCKITEM NAME="C>"><X>2</X></STOCKITEM><STOCKITEM/></R>'
+    got = xml.elements(spark.createDataFrame([("f", doc)], "file_path string, doc string"), "STOCKITEM").collect()
+    assert [r.xml for r in got] == ['<STOCKITEM NAME="A"/>', '<STOCKITEM NAME="B/"><X>1</X></STOCKITEM>',
+                                    '<STOCKITEM NAME="C>"><X>2</X></STOCKITEM>', "<STOCKITEM/>"]
