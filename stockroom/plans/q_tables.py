@@ -98,6 +98,34 @@ def k04(d):
     return upsert(old, _reprice(d), PRODUCT, "set_shift", stamps=False)
 
 
+_LOOK = "'(' || Brand_Category || ') - ' || Brand || ' - ' || CAST(Size_ML AS VARCHAR) || ' ML' AS LookColumn"
+
+
+@register("k05_price_import", with_ctes(f"""
+SELECT *, {_LOOK} FROM (
+  SELECT COALESCE(o.Brand, n.Brand) AS Brand, COALESCE(o.Brand_Category, n.Brand_Category) AS Brand_Category,
+         COALESCE(o.Size_ML, n.Size_ML) AS Size_ML, CASE WHEN n.Brand IS NOT NULL THEN n.Sl_No ELSE o.Sl_No END AS Sl_No,
+         {M('CASE WHEN n.Brand IS NOT NULL THEN n.Mrp ELSE o.Mrp END')} AS Mrp
+  FROM price_list o FULL OUTER JOIN reprice n
+    ON o.Brand = n.Brand AND o.Brand_Category = n.Brand_Category AND o.Size_ML = n.Size_ML) u""",
+    "price_list", "reprice"))
+def k05(d):
+    """K5: plain price upsert of an imported list; the LookColumn is generated."""
+    look = T.look_column(*PRODUCT).alias("LookColumn")
+    return upsert(d.price_list().select("*", look), _reprice(d).select("*", look), PRODUCT, "set", stamps=False)
+
+
+@register("k07_copy_by_id", """
+SELECT o_orderkey AS id, CAST(o_custkey AS BIGINT) AS customer, STRFTIME(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day
+FROM orders""")
+def k07(d):
+    """K7: copy every row of one table into another that already has some, by id."""
+    o = d.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("long").alias("customer"),
+                                 F.col("o_orderdate").cast("date").alias("day"))
+    stale = o.where(F.col("day") < "1996-01-01").withColumn("customer", F.lit(-1).cast("long"))
+    return upsert(stale, o, ["id"], "set", stamps=False)
+
+
 @register("k06_upsert_counts", with_ctes(f"""
 SELECT CAST(SUM(CASE WHEN o.Brand IS NOT NULL AND n.Brand IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched_count,
        CAST(SUM(CASE WHEN o.Brand IS NOT NULL AND n.Brand IS NOT NULL AND o.Qty IS DISTINCT FROM n.Qty THEN 1 ELSE 0 END)
@@ -201,6 +229,25 @@ def x14(d):
                                       T.size_from_item("stock_item_name")).alias("look_column"))
 
 
+@register("x01_text_and_numbers", """
+SELECT o_orderkey AS id, COALESCE(TRIM(s), '') AS trimmed, CAST(o_orderkey AS INTEGER) AS whole,
+       STRFTIME(day, '%Y-%m-%d') AS day_from_dmy, STRFTIME(day, '%Y-%m-%d') AS day_from_iso,
+       -1050.5 - o_orderkey % 7 AS signed_number, 1200.0 + o_orderkey % 7 AS without_units
+FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN '  ' || o_orderkey || ' x ' END AS s, CAST(o_orderdate AS DATE) AS day
+      FROM orders) o""")
+def x01(d):
+    """X1, X5, X9, X16 b and c: values written as the shop's files have them and parsed back."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    s = F.when(k % 3 > 0, F.concat(F.lit("  "), k.cast("string"), F.lit(" x ")))
+    signed = F.concat(F.lit("-1,05"), (k % 7).cast("string"), F.lit(".50 NOS"))
+    units = F.concat(F.lit("1,20"), (k % 7).cast("string"), F.lit(" NOS"))
+    return d.table("orders").select(
+        k.alias("id"), T.trim_or_blank(s).alias("trimmed"), N.int_or_fail(k.cast("string")).alias("whole"),
+        X.parse_dmy_or_iso(F.date_format(day, "dd/MM/yyyy")).alias("day_from_dmy"),
+        X.parse_dmy_or_iso(F.date_format(day, "yyyy-MM-dd")).alias("day_from_iso"),
+        N.first_number_signed(signed).alias("signed_number"), N.number_strip_units(units).alias("without_units"))
+
+
 @register("x16_number_parsing", with_ctes("""
 SELECT guid, stock_item_name, quantity, CAST(quantity AS DOUBLE) AS qty_from_text,
        CAST(rate AS DOUBLE) AS rate_from_text, 'NOS' AS unit_from_text, CAST(quantity AS INTEGER) AS strict_int,

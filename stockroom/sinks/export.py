@@ -31,10 +31,15 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None, date_for
     out.write.mode(mode).option("header", True).csv(path)
 
 
+SPREAD = 8
+
+
 def write_per_period(df: DataFrame, path: str, period_col: str, date_format: str = "yyyy-MM-dd") -> None:
     """One output folder per day / month (``partitionBy``); rows are
-    clustered by the period first so each task writes few folders."""
-    _texty(df, date_format).repartition(period_col).write.mode("overwrite").partitionBy(period_col) \
+    clustered by the period first so each task writes few folders. A period
+    is spread over ``SPREAD`` tasks, so a busy one is no single task."""
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))
+    _texty(df, date_format).repartition(period_col, spread).write.mode("overwrite").partitionBy(period_col) \
         .option("header", True).csv(path)
 
 

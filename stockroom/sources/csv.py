@@ -34,10 +34,10 @@ def _normalise_headers(df: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, required_columns: list[str] | None = None,
-             multiline: bool = False, with_file: bool = False) -> DataFrame:
+             multiline: bool = False, with_file: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """One CSV (or a folder of CSVs with the same header), all columns as
     text, header names trimmed; raises listing missing required columns."""
-    df = _reader(spark, multiline).csv(path)
+    df = _reader(spark, multiline, encoding).csv(path)
     if with_file:
         df = df.withColumn("_file", F.col("_metadata.file_path"))
     df = _normalise_headers(df)
@@ -47,14 +47,17 @@ def load_csv(spark: SparkSession, path: str, required_columns: list[str] | None
     return df
 
 
-def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
     """The header line of every file in ``folder``: (file_path, columns).
 
     The files are read as text once; the header is the first line of the
     split that starts at byte 0 of each file (``monotonically_increasing_id``
     grows with the row order inside a split). No file is opened on the
     driver."""
-    lines = (spark.read.option("pathGlobFilter", pattern).text(folder)
+    # the CSV reader decodes; with a separator that no header has, a record is a line
+    raw = (spark.read.schema("value string").option("pathGlobFilter", pattern).option("encoding", encoding)
+           .option("sep", "\x00").option("quote", "").csv(folder))
+    lines = (raw
              .select("value", F.col("_metadata.file_path").alias("file_path"),
                      F.col("_metadata.file_block_start").alias("_start"),
                      F.monotonically_increasing_id().alias("_id")))
@@ -66,7 +69,7 @@ def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
 
 
 def load_folder(spark: SparkSession, folder: str, required_columns: list[str], pattern: str = "*.csv",
-                multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+                multiline: bool = False, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
     """All CSV files of a folder as one frame with file provenance.
 
     A file lacking a required column is reported ``failed`` (not fatal).
@@ -74,7 +77,7 @@ def load_folder(spark: SparkSession, folder: str, required_columns: list[str], p
     its own header, so files with a different column order still line up by
     name. Returns ``(rows, file_report)``; ``rows`` has ``_file``.
     """
-    heads = file_headers(spark, folder, pattern)
+    heads = file_headers(spark, folder, pattern, encoding)
     req = F.array(*[F.lit(c) for c in required_columns])
     report = heads.select("file_path", "columns",
                           F.array_except(req, F.col("columns")).alias("missing"))
@@ -85,7 +88,7 @@ def load_folder(spark: SparkSession, folder: str, required_columns: list[str], p
                .agg(F.collect_list("file_path").alias("paths")).collect())
     frames = []
     for row in layouts:
-        df = _reader(spark, multiline).csv(list(row["paths"]))
+        df = _reader(spark, multiline, encoding).csv(list(row["paths"]))
         df = df.withColumn("_file", F.col("_metadata.file_path"))
         frames.append(_normalise_headers(df))
     if not frames:

@@ -175,3 +175,21 @@ def test_self_closing_elements_do_not_swallow_the_next(spark):
     got = xml.elements(spark.createDataFrame([("f", doc)], "file_path string, doc string"), "STOCKITEM").collect()
     assert [r.xml for r in got] == ['<STOCKITEM NAME="A"/>', '<STOCKITEM NAME="B/"><X>1</X></STOCKITEM>',
                                     '<STOCKITEM NAME="C>"><X>2</X></STOCKITEM>', "<STOCKITEM/>"]
+
+
+def test_csv_in_another_encoding(spark, tmp):
+    from stockroom.sources import csv
+    with open(f"{tmp}/a.csv", "w", encoding="latin-1") as f:
+        f.write('Brand,"Größe"\nKölsch,1\n')
+    assert csv.load_csv(spark, tmp, encoding="ISO-8859-1").first()["Größe"] == "1"
+    rows, report = csv.load_folder(spark, tmp, ["Brand", "Größe"], encoding="ISO-8859-1")
+    assert rows.first()["Brand"] == "Kölsch" and report.first()["status"] == "ok"
+
+
+def test_write_csv_sorts_all_rows(spark, tmp):
+    from stockroom.sinks import export
+    df = spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "n int, t string").repartition(4)
+    export.write_csv(df, f"{tmp}/out", order=["n"])
+    import glob
+    lines = [x for f in sorted(glob.glob(f"{tmp}/out/part-*.csv")) for x in open(f).read().splitlines()[1:]]
+    assert [int(x.split(",")[0]) for x in lines] == list(range(50))
