@@ -28,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,13 @@ from .common import save
 
 SALTS = 256
 BATCH_CHARS = 1 << 20  # text encoded at once
-SPLIT_CHARS = 1 << 15  # longer texts are encoded in parts of about this size
+CACHED = 400_000  # parts of texts whose ids a task remembers
+JOINED = 1000  # new parts encoded as one text
 
-# Before a blank that follows an ASCII letter or digit every token ends, as a
-# token has a blank at its start only: parts cut there encode as the whole does.
-_CUT = re.compile("[A-Za-z0-9](?= )")
+# A token has a blank at its start only, so one ends before any blank that
+# follows another visible character. Parts cut there encode as the whole does.
+# The class holds only characters that are white space under no rule.
+_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?= )")
 
 
 @lru_cache(maxsize=4)
@@ -56,37 +59,48 @@ def load_tokenizer(path: str):
 
 
 def parts(text: str) -> list[str]:
-    out, at = [], 0
-    while len(text) - at > SPLIT_CHARS:
-        m = _CUT.search(text, at + SPLIT_CHARS)
-        if m is None:
-            break
-        out.append(text[at:m.end()])
-        at = m.end()
-    out.append(text[at:])
-    return out
-
-
-def encode_all(texts: list[str], tokenizer, end_id: int) -> Iterator[np.ndarray]:
-    """The ids of each text, in order, with the end id."""
-    i = 0
-    while i < len(texts):
-        cut, owner, size, j = [], [], 0, i
-        while j < len(texts) and (j == i or size + len(texts[j]) <= BATCH_CHARS):
-            p = parts(texts[j])
-            cut += p
-            owner.append(len(p))
-            size += len(texts[j])
-            j += 1
-        ids: list[np.ndarray] = []
-        step = max(1, BATCH_CHARS // SPLIT_CHARS) * 8
-        for k in range(0, len(cut), step):
-            ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(cut[k:k + step], add_special_tokens=False)]
-        at = 0
-        for n in owner:
-            yield np.concatenate([*ids[at:at + n], np.array([end_id], np.uint32)])
-            at += n
-        i = j
+    return _CUT.split(text) if text else []
+
+
+class Encoder:
+    """Ids of texts, encoded part by part; parts (words, mostly) that come again are not encoded again.
+
+    New parts are encoded many at a time, joined where a cut would be anyway;
+    the bytes that each id stands for tell where a part's ids end."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id = tokenizer, end_id
+        self.known: dict[str, list[int]] = {}
+        # in a byte-level vocabulary each character stands for one byte
+        vocabulary = tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        cut = [parts(t) for t in texts]
+        if len(self.known) > CACHED:
+            self.known = {}
+        # an inner part begins with a blank and ends in a visible character: they may follow each other in any order
+        inner = list(set(chain.from_iterable(own[1:-1] for own in cut)).difference(self.known))
+        self._learn([inner[i:i + JOINED] for i in range(0, len(inner), JOINED)])
+        edges = {p for own in cut if own for p in (own[0], own[-1])}.difference(self.known)
+        self._learn([[p] for p in edges])
+        find = self.known.__getitem__
+        return [np.array([*chain.from_iterable(map(find, own)), self.end_id], np.uint32) for own in cut]
+
+    def _learn(self, groups: list[list[str]]) -> None:
+        for i in range(0, len(groups), 100):
+            some = groups[i:i + 100]
+            got = self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)
+            for group, encoded in zip(some, got):
+                ids = encoded.ids
+                if len(group) == 1:
+                    self.known[group[0]] = ids
+                    continue
+                ends = np.cumsum([len(p.encode()) for p in group])
+                at = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()
+                self.known.update(zip(group, map(ids.__getitem__, map(slice, [0, *at], at))))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
@@ -97,13 +111,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokenizer = load_tokenizer(tokenizer_path)
+        encoder = Encoder(load_tokenizer(tokenizer_path), end_id)
         for b in batches:
             own = b.column(0).to_pylist()
             texts = ((v.as_py() or "") for v in b.column(1))
             rows: list[tuple] = []
             held = 0
-            for doc, ids in zip(own, _in_groups(texts, tokenizer, end_id)):
+            for doc, ids in zip(own, _in_groups(texts, encoder)):
                 first = len(ids) % capacity or min(len(ids), capacity)
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                     got = ids[start:first if not start else start + capacity]
@@ -120,15 +134,15 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         run, schema)
 
 
-def _in_groups(texts: Iterator[str], tokenizer, end_id: int) -> Iterator[np.ndarray]:
+def _in_groups(texts: Iterator[str], encoder: Encoder) -> Iterator[np.ndarray]:
     group, size = [], 0
     for t in texts:
         group.append(t)
         size += len(t)
         if size > BATCH_CHARS:
-            yield from encode_all(group, tokenizer, end_id)
+            yield from encoder.encode(group)
             group, size = [], 0
-    yield from encode_all(group, tokenizer, end_id)
+    yield from encoder.encode(group)
 
 
 def _pieces(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

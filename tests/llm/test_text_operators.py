@@ -323,13 +323,19 @@ def test_pieces_hold_all_ids(docs_of, odd):
     assert packing.pack_documents(odd.limit(0), BYTE_BPE).count() == 0
 
 
-def test_parts_encode_as_the_whole():
+def test_parts_encode_as_the_whole(monkeypatch):
     tokenizer = packing.load_tokenizer(BYTE_BPE)
     r = random.Random(8)
-    text = "".join(r.choice(["word", " ", "  ", "\n", "9", "é", "'s", "!", "　", "\x1c"]) for _ in range(90_000))
-    assert len(packing.parts(text)) > 3 and "".join(packing.parts(text)) == text
-    got = next(packing.encode_all([text], tokenizer, 0))
-    assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    bits = ["word", " ", "  ", "\n", "9", "é", "'s", "!", "\u3000", "\x1c", "\x85", "\xa0", "\u200b", "漢", "\t", "<|endoftext|>"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 300))) for _ in range(400)] + ["x y " * 50_000, "", " "]
+    monkeypatch.setattr(packing, "CACHED", 50)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    encoder = packing.Encoder(tokenizer, 0)
+    for i in range(0, len(texts), 40):
+        some = texts[i:i + 40]
+        assert ["".join(packing.parts(t)) for t in some] == some
+        assert [g.tolist() for g in encoder.encode(some)] == [
+            tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in some]
 
 
 def test_digest_of_kept_text(docs_of):
