@@ -70,7 +70,8 @@ class Lattice:
         # A unigram score is a log probability. A BPE score is the negative rank; frequencies fall as its inverse.
         raw = np.array(list(usable.values()))
         self.weigh(np.exp(raw) if m.kind == UNIGRAM else 1 / (2.7 - raw))
-        self.prefixes = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
+        self.prefixes = prefix_table(self.pieces)
+        self.spelt: dict[str, float] = {}
 
     def weigh(self, weights: np.ndarray) -> None:
         """Set the pieces' probabilities in proportion to ``weights``; byte pieces keep their share."""
@@ -78,62 +79,72 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.logs = [*np.log(self.share).tolist(), math.log(BYTE_SHARE / 256)]
 
-    def arcs(self, text: str) -> list[tuple[int, int, int]]:
-        """(from, to, piece) in order of the start; any character is also an arc of its byte pieces."""
-        out, n, pieces, prefixes = [], len(text), self.pieces, self.prefixes
-        for i in range(n):
+    def arcs(self, text: str) -> list[tuple[int, int, int, float]]:
+        """(from, to, piece or -1, log probability) in order of the start; any character is also an arc of its byte pieces."""
+        out, n, find, logs, spelt = [], len(text), self.prefixes.get, self.logs, self.spelt
+        for i, c in enumerate(text):
             for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                if piece not in prefixes:
+                k = find(text[i:j])
+                if k is None:
                     break
-                if piece in pieces:
-                    out.append((i, j, pieces[piece]))
-            out.append((i, i + 1, -1))
+                if k >= 0:
+                    out.append((i, j, k, logs[k]))
+            if c not in spelt:
+                spelt[c] = len(c.encode()) * logs[-1]
+            out.append((i, i + 1, -1, spelt[c]))
         return out
 
     def word(self, word: str) -> float:
         """Log of the marginal probability of the marker and ``word``: forward recursion in log space."""
-        text, logs = MARK + word, self.logs
+        text, exp, log1p = MARK + word, math.exp, math.log1p
         alpha = [NEVER] * (len(text) + 1)
         alpha[0] = 0.0
-        for i, j, k in self.arcs(text):
-            x = alpha[i] + (logs[k] if k >= 0 else logs[-1] * len(text[i].encode()))
+        for i, j, _, x in self.arcs(text):
+            x += alpha[i]
             old = alpha[j]
             if old == NEVER:
                 alpha[j] = x
+            elif old >= x:
+                alpha[j] = old + log1p(exp(x - old))
             else:
-                alpha[j] = (old + math.log1p(math.exp(x - old))) if old >= x else (x + math.log1p(math.exp(old - x)))
+                alpha[j] = x + log1p(exp(old - x))
         return alpha[-1]
 
-    def expect(self, word: str, into: np.ndarray) -> None:
+    def expect(self, word: str, into: list[float] | np.ndarray) -> None:
         """Add each piece's expected number of uses in ``word`` to ``into``."""
-        text, logs = MARK + word, self.logs
+        text, exp = MARK + word, math.exp
         arcs, n = self.arcs(text), len(text)
-        step = [logs[k] if k >= 0 else logs[-1] * len(text[i].encode()) for i, j, k in arcs]
         # the lift by a constant per character cancels out; it keeps most words in the range of doubles
-        p = [math.exp(x + LIFT * (j - i)) for x, (i, j, _) in zip(step, arcs)]
+        lifted = [(i, j, k, exp(x + LIFT * (j - i))) for i, j, k, x in arcs]
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
         alpha[0] = beta[n] = 1.0
-        for (i, j, _), x in zip(arcs, p):
-            alpha[j] += alpha[i] * x
-        for (i, j, _), x in zip(reversed(arcs), reversed(p)):
-            beta[i] += beta[j] * x
-        if 1e-280 < alpha[n] < 1e280:
-            for (i, j, k), x in zip(arcs, p):
+        for i, j, _, p in lifted:
+            alpha[j] += alpha[i] * p
+        total = alpha[n]
+        if 1e-280 < total < 1e280:
+            # an arc's own use is known once the recursion from the end has passed its end
+            for i, j, k, p in reversed(lifted):
+                p *= beta[j]
+                beta[i] += p
                 if k >= 0:
-                    into[k] += alpha[i] * x * beta[j] / alpha[n]
+                    into[k] += alpha[i] * p / total
             return
         log_a, log_b = np.full(n + 1, NEVER), np.full(n + 1, NEVER)
         log_a[0] = log_b[n] = 0.0
-        for (i, j, _), x in zip(arcs, step):
+        for i, j, _, x in arcs:
             log_a[j] = np.logaddexp(log_a[j], log_a[i] + x)
-        for (i, j, _), x in zip(reversed(arcs), reversed(step)):
+        for i, j, _, x in reversed(arcs):
             log_b[i] = np.logaddexp(log_b[i], log_b[j] + x)
-        for (i, j, k), x in zip(arcs, step):
+        for i, j, k, x in arcs:
             if k >= 0:
                 into[k] += math.exp(log_a[i] + x + log_b[j] - log_a[n])
 
 
+def prefix_table(pieces: dict[str, int]) -> dict[str, int]:
+    """Every beginning of a piece, with the piece's number, or -1 where it is not a piece itself."""
+    return {p[:i]: -1 for p in pieces for i in range(1, len(p))} | pieces
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Lattice:
     return Lattice(path)
@@ -203,10 +214,11 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.nd
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = load(vocabulary)
             lattice.weigh(now)
-            total = np.zeros(len(now))
+            total = [0.0] * len(now)
             for b in batches:
                 for word in b.column(0).to_pylist():
                     lattice.expect(word, total)
+            total = np.array(total)
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
 
