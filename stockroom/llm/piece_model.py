@@ -4,8 +4,8 @@ The model file is a protobuf message; its pieces, scores, types, normaliser
 and trainer settings are read from the wire format directly and a tokenizer is
 rebuilt from them: the normaliser (its character map, white-space rules, and
 the metaspace marker for blanks and the dummy prefix), the model (unigram
-scores, or merges in order of score for a BPE model) with byte fallback, and
-the decoder. Batches are encoded by several threads. Parity is verified for
+scores, or merges in order of score for a BPE model) with byte fallback.
+Decoding joins the bytes that the pieces stand for. Batches are encoded by several threads. Parity is verified for
 every text against the sentencepiece library; where the two ever differ the
 row is marked and has the library's ids, so ids are always the model's own.
 
@@ -21,6 +21,7 @@ unknown piece in a model without byte pieces.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -28,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +128,7 @@ class Pieces:
     def __init__(self, path: str, threads: int = THREADS):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         with open(path, "rb") as f:
             m = self.model = parse_model(f.read())
@@ -146,12 +148,13 @@ class Pieces:
         if m.collapse_blanks:
             steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ | $"), "")]
         self.normaliser = normalizers.Sequence(steps)
-        # a blank that the marker stands for; the dummy prefix's one goes
-        self.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self._cut = re.compile(f"[^{MARK}](?={MARK})")
+        self._steps = bool(steps)
+        self._bytes = [self._of(p, t) for p, t in zip(m.pieces, m.types)]
 
     def normalise(self, text: str) -> str:
-        text = self.normaliser.normalize_str(text)
+        if self._steps:
+            text = self.normaliser.normalize_str(text)
         if not text:
             return ""
         if self.model.dummy_prefix:
@@ -168,23 +171,35 @@ class Pieces:
             at = m.end()
         return [*out, text[at:]] if text else []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         parts = [self._parts(self.normalise(t)) for t in texts]
         flat, ids = [p for own in parts for p in own], []
         for i in range(0, len(flat), 64):
-            ids += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(flat[i:i + 64], add_special_tokens=False)]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(flat[i:i + 64], add_special_tokens=False)]
         out, at = [], 0
         for own in parts:
             got = ids[at:at + len(own)]
-            out.append(np.concatenate(got) if got else np.zeros(0, np.int32))
+            out.append(got[0] if len(got) == 1 else [*chain.from_iterable(got)])
             at += len(own)
         return out
 
+    @staticmethod
+    def _of(piece: str, kind: int) -> bytes:
+        """The bytes that a piece stands for in a text."""
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
+
     def decode(self, ids) -> str:
         m = self.model
-        pieces = [" ⁇ " if m.types[i] == UNKNOWN else m.pieces[i] for i in ids if m.types[i] != CONTROL]
-        text = self.decoder.decode(pieces) if pieces else ""
-        return text[1:] if m.dummy_prefix and text.startswith(" ") else text
+        first = next((i for i in ids if m.types[i] != CONTROL), None)
+        # the dummy prefix's blank, which only a piece's own marker stands for
+        skip = int(m.dummy_prefix and first is not None and m.types[first] != UNKNOWN and m.pieces[first].startswith(MARK))
+        return b"".join(map(self._bytes.__getitem__, ids)).decode(errors="one-byte")[skip:]
+
+
+# As the library does, each byte that is no text becomes one replacement character.
+codecs.register_error("one-byte", lambda e: ("\ufffd", e.start + 1))
 
 
 @lru_cache(maxsize=4)
@@ -211,10 +226,12 @@ def _groups(texts: Iterator[str]) -> Iterator[list[str]]:
         yield group
 
 
-def _int_lists(ids: list[np.ndarray]) -> pa.Array:
+def _int_lists(ids: list[list[int]]) -> tuple[pa.Array, list[int]]:
+    """The lists as one array, and the crc32 of each."""
     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-    values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    values = np.fromiter(chain.from_iterable(ids), "<i4", offsets[-1])
+    crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), crc
 
 
 def encode(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
@@ -225,10 +242,9 @@ def encode(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFram
             at = 0
             for group in _groups((v.as_py() or "") for v in b.column(1)):
                 got, want = pieces.encode(group), own.encode(group, num_threads=threads)
-                want = [np.array(w, np.int32) for w in want]
-                parity = [np.array_equal(g, w) for g, w in zip(got, want)]
-                crc = [zlib.crc32(w.astype("<i4").tobytes()) for w in want]
-                yield pa.record_batch([b.column(0).slice(at, len(group)), _int_lists(want), pa.array(crc, pa.int64()),
+                parity = [g == w for g, w in zip(got, want)]
+                ids, crc = _int_lists(want)
+                yield pa.record_batch([b.column(0).slice(at, len(group)), ids, pa.array(crc, pa.int64()),
                                        pa.array(parity)], names=["doc_id", "ids", "ids_crc32", "parity"])
                 at += len(group)
 
