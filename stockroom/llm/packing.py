@@ -69,8 +69,8 @@ class Encoder:
     the bytes that each id stands for tell where a part's ids end."""
 
     def __init__(self, tokenizer, end_id: int):
-        self.tokenizer, self.end_id = tokenizer, end_id
-        self.known: dict[str, list[int]] = {}
+        self.tokenizer, self.end = tokenizer, np.uint32(end_id).tobytes()
+        self.known: dict[str, bytes] = {}  # a part's 32-bit ids
         # in a byte-level vocabulary each character stands for one byte
         vocabulary = tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -87,20 +87,18 @@ class Encoder:
         edges = {p for own in cut if own for p in (own[0], own[-1])}.difference(self.known)
         self._learn([[p] for p in edges])
         find = self.known.__getitem__
-        return [np.array([*chain.from_iterable(map(find, own)), self.end_id], np.uint32) for own in cut]
+        return [np.frombuffer(b"".join([*map(find, own), self.end]), np.uint32) for own in cut]
 
     def _learn(self, groups: list[list[str]]) -> None:
         for i in range(0, len(groups), 100):
             some = groups[i:i + 100]
             got = self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)
             for group, encoded in zip(some, got):
-                ids = encoded.ids
-                if len(group) == 1:
-                    self.known[group[0]] = ids
-                    continue
+                ids = np.array(encoded.ids, np.uint32)
                 ends = np.cumsum([len(p.encode()) for p in group])
-                at = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()
-                self.known.update(zip(group, map(ids.__getitem__, map(slice, [0, *at], at))))
+                at = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 4).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *at], at)]))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
