@@ -19,6 +19,8 @@ Products are (Brand_Category, Brand, Size_ML) unless ``keys`` says otherwise.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,8 +172,8 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
     """I1 applied to every date in order, without a loop.
 
     ``reject``: a day's change that would make the stock negative is skipped
-    (the stock stays); order dependent, so it runs as the stream replay's
-    sorted-partition fold. ``clamp`` (variant a): an existing product becomes
+    (the stock stays); order dependent, so it runs as a fold over each
+    product's days. ``clamp`` (variant a): an existing product becomes
     ``max(0, old + change)``;
     a product not yet in the inventory is inserted on the first day its net
     change is > 0 (earlier days are ignored). ``fail`` (variant b): balances
@@ -200,26 +202,28 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
 
 
 def _net_change_reject(inventory: DataFrame, moves: DataFrame, keys: list[str], date_col: str):
-    """D4 'reject' over every date: positive changes are receipts, negative
-    ones sales of ``-change``; the opening stock is a receipt on the day
-    before the first movement. Returns ``(balances with an accepted flag,
-    rejected rows)``."""
-    from ..streaming.inventory_stream import replay
-
-    key = F.to_json(F.struct(*keys))  # exact product key as text
-    first_day = F.date_sub(moves.select(F.min(date_col)).scalar(), 1)
-    opening = _qty_total(inventory, keys).select(
-        key.alias("key"), F.lit(0).cast("long").alias("event_id"), first_day.cast("timestamp").alias("ts"),
-        F.lit("receipt").alias("kind"), F.col("Qty").cast("long").alias("qty"))
-    days = moves.select(key.alias("key"), F.lit(1).cast("long").alias("event_id"),
-                        F.col(date_col).cast("timestamp").alias("ts"),
-                        F.when(F.col("Change") >= 0, "receipt").otherwise("sale").alias("kind"),
-                        F.abs("Change").cast("long").alias("qty"))
-    out = replay(opening.unionByName(days), skip_non_positive=False).filter(F.col("event_id") == 1)
-    p = F.from_json("key", moves.select(*keys).schema)
-    res = out.select(*[p[k].alias(k) for k in keys], F.col("ts").cast("date").alias(date_col),
-                     F.when(F.col("kind") == "sale", -F.col("qty")).otherwise(F.col("qty")).alias("Change"),
-                     "accepted", F.col("stock_before").alias("Opening_Qty"), F.col("stock_after").alias("Closing_Qty"))
+    """D4 'reject' over every date: a product's days (bounded by the
+    calendar) are one sorted array, folded in the JVM from the opening stock.
+    Returns ``(balances with an accepted flag, rejected rows)``."""
+    day = moves.schema[date_col].dataType.simpleString()
+    rows = f"array<struct<d:{day},c:bigint,ok:boolean,a:bigint,b:bigint>>"
+    days = moves.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col("Change").cast("long").alias("c")))).alias("days"))
+    opening = _qty_total(inventory, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("Qty").cast("long").alias("_b0"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    joined = days.join(opening, same, "left").select(*keys, "days", F.coalesce("_b0", F.lit(0).cast("long")).alias("_b0"))
+
+    def step(a, x):
+        after = a["s"] + x["c"]
+        ok = (x["c"] >= 0) | (after >= 0)
+        new = F.when(ok, after).otherwise(a["s"])
+        row = F.struct(x["d"].alias("d"), x["c"].alias("c"), ok.alias("ok"), a["s"].alias("a"), new.alias("b"))
+        return F.struct(new.alias("s"), F.concat(a["o"], F.array(row)).alias("o"))
+
+    start = F.struct(F.col("_b0").alias("s"), F.array().cast(rows).alias("o"))
+    folded = joined.select(*keys, F.explode(F.aggregate("days", start, step, lambda a: a["o"])).alias("r"))
+    res = folded.select(*keys, F.col("r.d").alias(date_col), F.col("r.c").alias("Change"), F.col("r.ok").alias("accepted"),
+                        F.col("r.a").alias("Opening_Qty"), F.col("r.b").alias("Closing_Qty"))
     return res, res.filter(~F.col("accepted"))
 
 

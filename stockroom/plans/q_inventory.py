@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
 from ..sinks.tables import upsert
-from .registry import M, register, with_ctes
+from .registry import D, M, register, with_ctes
 
 PRODUCT = ["Brand_Category", "Brand", "Size_ML"]
 P = "Brand_Category, Brand, Size_ML"
@@ -148,11 +148,26 @@ def i01v(d):
     return inv.net_change_days(d.monthly_stock(), d.incoming_stock(), d.daily_sales(), on_negative="fail")[1]
 
 
-@register("i01_net_change_rejected")
+_REJECT = with_ctes("", "moves", "opening").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ev AS (SELECT m.Brand_Category, m.Brand, m.Size_ML, m.Date, m.Change, COALESCE(o.b0, 0) AS b0,
+              ROW_NUMBER() OVER (PARTITION BY m.Brand_Category, m.Brand, m.Size_ML ORDER BY m.Date) AS n
+       FROM moves m LEFT JOIN opening o ON {JP('m', 'o')}),
+run AS (
+  SELECT Brand_Category, Brand, Size_ML, Date, Change, n, Change >= 0 OR b0 + Change >= 0 AS accepted, b0 AS Opening_Qty,
+         CASE WHEN Change >= 0 OR b0 + Change >= 0 THEN b0 + Change ELSE b0 END AS Closing_Qty
+  FROM ev WHERE n = 1
+  UNION ALL
+  SELECT e.Brand_Category, e.Brand, e.Size_ML, e.Date, e.Change, e.n, e.Change >= 0 OR r.Closing_Qty + e.Change >= 0,
+         r.Closing_Qty,
+         CASE WHEN e.Change >= 0 OR r.Closing_Qty + e.Change >= 0 THEN r.Closing_Qty + e.Change ELSE r.Closing_Qty END
+  FROM run r JOIN ev e ON {JP('r', 'e')} AND e.n = r.n + 1)
+SELECT Brand_Category, Brand, Size_ML, {D('Date')} AS Date, Change, accepted, Opening_Qty, Closing_Qty FROM run"""
+
+
+@register("i01_net_change_rejected", _REJECT)
 def i01r(d):
     """I1 / D4 'reject' over every date: a day's change that would make the
-    stock negative is skipped (order dependent; checked against a loop in
-    the tests)."""
+    stock negative is skipped (order dependent; a recursive query checks it)."""
     return inv.net_change_days(d.monthly_stock(), d.incoming_stock(), d.daily_sales(), on_negative="reject")[0]
 
 
