@@ -2,16 +2,20 @@
 
 Fixed rules come first: a rule fits its host and all subdomains if the url's
 path starts with the rule's; the longest wins. For the other urls, Spark's
-FP-growth mines combinations of URL tokens from labelled urls, with the bad
-mark as one more item. Rules "tokens -> bad" of enough support and confidence
-are kept unless a rule on part of their tokens is at least as confident. They
+FP-growth mines combinations of URL tokens from the urls labelled bad; an
+inverted index then counts the good urls that hold them. Rules "tokens -> bad"
+of enough bad urls and confidence over all labelled urls are kept unless a
+rule on part of their tokens is at least as confident. They
 are matched by an inverted index: each rule is filed under its rarest token,
 the urls' tokens meet the index in an equality join, and the other tokens of
 the rule are verified there. A url that some rule matches is blocked, any
 other is allowed.
 
-Support is a share of the labelled urls, and at least ``min_count`` urls, as a
-confidence measured on fewer means nothing.
+Support is a number of bad urls, ``min_count``, at every size: a confidence
+measured on fewer means nothing, and a share would let a bad host through
+because the table is large. Tokens that no good url has are rules by
+themselves and are not combined, as no wider rule is more confident; nor are
+tokens that all labelled urls have, as they change no count.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 no tokens but is judged like any other; rows with a null page_id are left out;
@@ -23,11 +27,13 @@ name are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BAD = "=bad"
+from .common import save
 
 
 def lower(col: Column) -> Column:
@@ -63,21 +69,43 @@ def tokens() -> Column:
         F.filter(host, lambda w: w.contains("-")), lambda w: F.split(w, "-")))), named("p:", path), named("q:", query)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
-    """(rule_id, words, anchor, confidence) from ``labelled`` (page_id, tokens, bad)."""
+def mine(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8, min_support: float = 0.0) -> DataFrame:
+    """(rule_id, words, anchor, confidence) from ``labelled`` (page_id, tokens, bad).
+
+    A rule needs ``min_count`` bad urls, and ``min_support`` of all labelled urls if that is more."""
     spark = labelled.sparkSession
+    labelled = save(labelled.select("tokens", "bad"))
     n = labelled.count()
-    empty = "rule_id string, words array<string>, anchor string, confidence double"
-    if n == 0:
-        return spark.createDataFrame([], empty)
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(min_support, min_count / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(
-        F.sort_array("antecedent").alias("words"), "confidence")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("word"), "freq")
-    rules = rules.withColumn("rule_id", F.concat_ws("\x00", "words"))
-    by_word = rules.select("rule_id", "words", "confidence", F.explode("words").alias("word")).join(single, "word")
+    least = max(min_count, math.ceil(min_support * n), 1)
+    # urls of equal tokens are counted as one row
+    baskets = save(labelled.groupBy(F.sort_array("tokens").alias("tokens")).agg(
+        F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
+    words = save(baskets.select(F.explode("tokens").alias("word"), "bad", "good").groupBy("word").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least))
+    # no wider rule betters a word that no good url has, or differs without a word that all urls have
+    mixed = words.where((F.col("good") > 0) & (F.col("bad") + F.col("good") < n)).select("word")
+    numbered = labelled.where("bad").withColumn("row", F.monotonically_increasing_id())
+    bad_urls = save(numbered.select("row", F.explode("tokens").alias("word")).join(mixed, "word").groupBy("row").agg(
+        F.collect_list("word").alias("items")).where("size(items) > 1").select("items"))
+    n_bad = bad_urls.count()
+    if n_bad >= least:
+        # half a url less, so that rounding does not ask for one more
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_bad).fit(bad_urls)
+        sets = model.freqItemsets.where("size(items) > 1").select(F.sort_array("items").alias("words"), F.col("freq").alias("bad"))
+    else:
+        sets = spark.createDataFrame([], "words array<string>, bad long")
+    sets = save(sets.withColumn("rule_id", F.concat_ws("\x00", "words")))
+    filed = sets.select("rule_id", F.explode("words").alias("word")).join(words, "word").groupBy("rule_id").agg(
+        F.min_by("word", F.struct("good", "word")).alias("anchor"))
+    met = baskets.where("good > 0").select("tokens", "good", F.explode("tokens").alias("anchor")).join(
+        sets.join(filed, "rule_id").select("rule_id", "words", "anchor"), "anchor")
+    good = met.where(F.size(F.array_except("words", "tokens")) == 0).groupBy("rule_id").agg(F.sum("good").alias("good"))
+    counted = sets.join(good, "rule_id", "left").select("rule_id", "words", "bad", F.coalesce("good", F.lit(0)).alias("good"))
+    counted = counted.union(words.select("word", F.array("word"), "bad", "good"))
+    rules = save(counted.withColumn("confidence", F.col("bad") / (F.col("bad") + F.col("good"))).where(
+        F.col("confidence") >= min_confidence).drop("bad", "good"))
+    by_word = rules.select("rule_id", "words", "confidence", F.explode("words").alias("word")).join(
+        words.select("word", (F.col("bad") + F.col("good")).alias("freq")), "word")
     # part rules: a rule filed under one of its words meets every rule that has the word
     part = by_word.groupBy("rule_id", "words", "confidence").agg(F.min_by("word", "freq").alias("anchor"))
     wider = by_word.select(F.col("word").alias("anchor"), F.col("rule_id").alias("o_id"), F.col("words").alias("o_words"),

@@ -202,6 +202,25 @@ def test_mined_rules_equal_enumeration(spark):
     assert hits == {i for i, w, _ in baskets if any(set(c) <= set(w) for c in want)}
 
 
+def test_a_small_bad_host_among_many_urls_is_blocked(spark):
+    # 0.1 % of 24,000 labelled urls; the pair of tokens is as rare, and each of them is mostly good
+    path = F.expr("case when id % 1000 = 7 then 'http://spam.example.com/en/' when id % 1000 = 8 then 'http://blog.example.com/win/'"
+                  " when id % 1000 < 300 then 'http://blog.example.com/en/' else 'http://news.example.com/win/' end")
+    pages = spark.range(25_000).select(F.col("id").alias("page_id"), F.concat(path, F.col("id").cast("string")).alias("url"),
+                                       F.lit("").alias("html"))
+    labels = spark.range(24_000).select(F.col("id").alias("page_id"), (F.col("id") % 1000).isin(7, 8).alias("bad"))
+    got = url_filter.filter_urls(pages, labels, RULES)
+    blocked = {r.page_id for r in got.where("verdict = 'block'").collect()}
+    assert blocked == {i for i in range(25_000) if i % 1000 in (7, 8)}
+
+
+def test_bad_urls_that_share_many_tokens_make_few_rules(spark):
+    long = [f"w{i}" for i in range(40)]
+    rows = [(i, [*long, "h:a"], True) for i in range(30)] + [(100 + i, ["h:a", "h:b"], i < 19) for i in range(60)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "page_id long, tokens array<string>, bad boolean"))
+    assert sorted(tuple(r.words) for r in mined.collect()) == sorted((w,) for w in long)
+
+
 # ---------------------------------------------------------------- WARC
 
 def test_archive_round_trip(spark, tmp_path):
