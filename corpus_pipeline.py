@@ -8,7 +8,7 @@ last return the columns of documents:
 2. quality classifier: rejected documents go
 3. line dedup: lines that many documents share go (``n_chars`` follows)
 4. SimHash near-dedup: the smallest doc_id of each group stays
-5. best-fit packing: the pieces of each document and their places
+5. best-fit packing: the pieces of each document, their places and token ids
 
 Rows with a null doc_id go in the first stage. Rows that repeat a doc_id are
 judged apart by the rules, kept together by the classifier if any of them is
@@ -55,7 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, BYTE_BPE, with_ids=False)
+    return packing.pack_documents(docs, BYTE_BPE)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("line_dedup", lines),

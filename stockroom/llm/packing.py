@@ -103,7 +103,7 @@ class Encoder:
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
                     with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece; crc32 is over little-endian 32-bit ids."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece, ids being little-endian 32-bit numbers."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:None if with_ids else -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                 first = len(ids) % capacity or min(len(ids), capacity)
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                     got = ids[start:first if not start else start + capacity]
-                    rows.append((doc, piece, start, len(got), zlib.crc32(got.astype("<u4").tobytes()), got.view(np.int32)))
+                    raw = got.astype("<u4").tobytes()
+                    rows.append((doc, piece, start, len(got), zlib.crc32(raw), raw))
                     held += len(got)
                 if held > 1 << 20 or len(rows) > 20_000:
                     yield _pieces(rows, names)
@@ -127,7 +128,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             if rows:
                 yield _pieces(rows, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, schema)
 
@@ -144,7 +145,7 @@ def _in_groups(texts: Iterator[str], encoder: Encoder) -> Iterator[np.ndarray]:
 
 
 def _pieces(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.record_batch([pa.array(list(c), t) for c, t, _ in zip(zip(*rows), types, names)], names=names)
 
 
@@ -243,7 +244,36 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
+def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids.
+
+    ``ids`` are bytes, little-endian 32-bit numbers. They are not sorted: pieces are placed without them, and
+    the places meet the saved ids by the number of the piece's row, as a doc_id may come more than once."""
+    pieces = save(tokenize_pieces(docs, tokenizer_path, capacity, end_id).withColumn("__row", F.monotonically_increasing_id()))
+    placed = place(pieces.drop("ids"), capacity)
+    # The places are the small side of each partition; hashing them spares a sort of the ids.
+    return pieces.select("__row", "ids").join(placed.hint("shuffle_hash"), "__row").select(
+        *[c for c in placed.columns if c != "__row"], "ids")
+
+
+def ids_as_arrays(packed: DataFrame) -> DataFrame:
+    """``packed`` with its last column, ``ids``, as array<int>."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
+            raw = [v.as_py() for v in b.column(b.num_columns - 1)]
+            ends = np.cumsum([0, *map(len, raw)]) // 4
+            ids = pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())
+            yield pa.record_batch([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)],
+                                  names=b.schema.names)
+
+    return packed.mapInArrow(run, packed.drop("ids").select("*", F.array(F.lit(0)).alias("ids")).schema)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
                    with_ids: bool = True) -> DataFrame:
-    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
+    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
+
+    ``ids`` is array<int>."""
+    if with_ids:
+        return ids_as_arrays(pack_bytes(docs, tokenizer_path, capacity, end_id))
     return place(save(tokenize_pieces(docs, tokenizer_path, capacity, end_id, with_ids)), capacity)

@@ -60,7 +60,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0, with_ids=False)
+    packed = packing.pack_bytes(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @query("""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from stockroom.llm import lattice_lm, piece_model, pu_classifier, simhash, topk, url_filter, warc
+from stockroom.llm import lattice_lm, packing, piece_model, pu_classifier, simhash, topk, url_filter, warc
 from stockroom.llm.common import fold, save, table
 
 from .conftest import ODD
@@ -404,6 +404,25 @@ def test_stages_equal_brute_force(spark):
     assert {r.doc_id for r in packed} == set(after)
 
 
+def test_the_pipeline_returns_packed_ids(spark, docs_of):
+    docs = docs_of([(1, "one two three " * 2000), (2, "a b"), (2, "c d"), (3, None)])
+    rows = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert check_layout(rows, 2048) == brute_best_fit([r.length for r in rows], 2048)
+    whole = packing.load_tokenizer(corpus_pipeline.BYTE_BPE)
+    ids = lambda text: whole.encode(text, add_special_tokens=False).ids + [0]
+    assert [x for r in sorted(rows, key=lambda r: r.piece) if r.doc_id == 1 for x in r.ids] == ids("one two three " * 2000)
+    assert sorted(r.ids for r in rows if r.doc_id == 2) == sorted([ids("a b"), ids("c d")])
+    assert [r.ids for r in rows if r.doc_id == 3] == [[0]]
+
+
+def test_packing_query_digests_placed_ids(spark, docs_of, tmp_path, monkeypatch):
+    docs_of([(1, "a b"), (2, "c d e")]).write.parquet(f"{tmp_path}/documents.parquet")
+    true = packing.pack_bytes
+    monkeypatch.setattr(packing, "pack_bytes", lambda *a, **k: true(*a, **k).withColumn("ids", F.lit(b"other")))
+    got = entry.queries()["op3_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {r.ids_crc32 for r in got} == {zlib.crc32(b"other")} and len(got) == 2
+
+
 def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
