@@ -12,7 +12,7 @@ over all rows; only these sums (at most a few thousand numbers) reach the
 driver. Where the correction binds, the step descends the positive part alone.
 
 The class prior is estimated as the share of quality 1 among the labelled
-training rows, smoothed by one row of each kind. The score is the logistic of
+training rows whose document is in the input, smoothed by one row of each kind. The score is the logistic of
 z: the chance of label 1.
 
 Defined cases: a null or empty text has all features zero and is scored like
@@ -183,7 +183,8 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) ->
     on doc_id) admits; by default those whose crc32 of the id is not a multiple of five."""
     train = fold(F.col("doc_id")) != 0 if train is None else train
     made = save(featurize(docs))
-    known = training_labels(labels, train)
+    # labels of documents that are not in ``docs`` say nothing of the share in it
+    known = save(training_labels(labels, train).join(made.select("doc_id"), "doc_id", "left_semi"))
     n = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good")).first()
     prior = (n["good"] + 1) / (n["n"] + 2)
     good = known.where("quality = 1").select("doc_id", F.lit(True).alias("positive"))

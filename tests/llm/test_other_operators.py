@@ -367,6 +367,17 @@ def test_classifier_odd_rows(odd, spark):
     assert pu_classifier.classify(odd.limit(0), one).count() == 0
 
 
+def test_prior_counts_only_labels_of_the_input(spark, docs_of):
+    docs = docs_of([(i, f"some words of text number {i}") for i in range(10)])
+    labels = [(i, 0 if i < 2 else None, 0) for i in range(10)]
+    # no positive among the documents: every score is the prior
+    gone = [(100 + i, i % 2, 0) for i in range(50)]
+    schema = "doc_id long, quality int, toxic int"
+    scores = [{r.score for r in pu_classifier.classify(docs, spark.createDataFrame(x, schema), F.lit(True)).collect()}
+              for x in (labels, labels + gone)]
+    assert scores == [{1 / 4}, {1 / 4}]
+
+
 def test_risk_correction_keeps_a_fit_finite(spark):
     """A prior far above the truth drives the negative part of the risk below zero."""
     r = random.Random(1)
