@@ -6,12 +6,14 @@ its table and derives short digest columns from the operator's real output.
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (lattice_lm, line_dedup, packing, piece_model, pu_classifier, quality_rules, simhash, token_alignment, topk,
-               url_filter, warc)
+from . import (conversation_repair, lattice_lm, line_dedup, packing, piece_model, pu_classifier, quality_rules, simhash,
+               token_alignment, topk, url_filter, warc)
 from .common import fold, save, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -142,3 +144,69 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+@query(r"""
+WITH RECURSIVE plain AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+           string_split(conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+           lambda c: list_transform(range(8), lambda b: (ord(c) >> b) & 1)))),
+           lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))) AS crc
+  FROM conversations WHERE conv_id IS NOT NULL),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, xor(crc, 4294967295) % 20 AS how FROM plain) WHERE how <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, lead(role) OVER w AS next_role,
+         trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+faulty AS (
+  SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+                 WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+report AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE left(role, 1) || left(next_role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faulty GROUP BY conv_id),
+edge(a, token, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+name(token, role) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+given AS (
+  SELECT a, 0 AS a0, a AS b, 0 AS cost, '' AS audit, '' AS lines FROM (SELECT unnest(range(4)) AS a)
+  UNION ALL SELECT a, 0, b, 5, 'I', chr(10) || role || ':' FROM edge JOIN name USING (token)
+  UNION ALL SELECT e.a, 0, f.b, 10, 'II', chr(10) || m.role || ':' || chr(10) || n.role || ':'
+  FROM edge e JOIN name m ON m.token = e.token JOIN edge f ON f.a = e.b JOIN name n ON n.token = f.token),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''} AS best FROM report
+  UNION ALL
+  SELECT conv_id, i, state, min(best) AS best FROM (
+    SELECT p.conv_id, p.i + 1 AS i, m.b AS state,
+           {'cost': p.best.cost + g.cost + m.cost, 'audit': p.best.audit || g.audit || m.audit,
+            'lines': p.best.lines || g.lines || CASE WHEN m.audit = 'D' THEN '' ELSE chr(10) || coalesce(m.role, f.role) || ':' || f.text END}
+             AS best
+    FROM path p JOIN faulty f ON f.conv_id = p.conv_id AND f.i = p.i + 1 JOIN given g ON g.a = p.state
+    JOIN (SELECT a, b, token, 0 AS cost, 'K' AS audit, NULL AS role FROM edge
+          UNION ALL SELECT a, b, NULL, 1, 'R', role FROM edge JOIN name USING (token)
+          UNION ALL SELECT a, a, NULL, 2, 'D', NULL FROM (SELECT unnest(range(4)) AS a)) k ON k.a = g.b
+    JOIN (SELECT 0 AS truncated UNION ALL SELECT 1) t ON t.truncated = CAST(f.fault = 'truncated' AND k.audit <> 'D' AS INTEGER),
+    LATERAL (SELECT k.b, k.cost + 5 * t.truncated AS cost, k.audit, k.role) m
+    WHERE (k.audit = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (k.token IS NULL OR k.token = left(f.role, 1))) x
+  GROUP BY conv_id, i, state),
+done AS (
+  SELECT p.conv_id, min({'cost': p.best.cost + g.cost, 'audit': p.best.audit || g.audit, 'lines': p.best.lines || g.lines}) AS best
+  FROM path p JOIN report r ON r.conv_id = p.conv_id AND r.n = p.i JOIN given g ON g.a = p.state
+  WHERE g.b IN (0, 3) GROUP BY p.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(d.best.cost, 0) AS cost,
+       coalesce(d.best.audit, '') AS audit, sha256(coalesce(substr(d.best.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) c
+LEFT JOIN report r ON r.conv_id = c.conv_id LEFT JOIN done d ON d.conv_id = c.conv_id""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(rows)))
+    ids = rows.where("conv_id is not null").select("conv_id").distinct()
+    filled = ids.join(found, "conv_id", "left").fillna(0, conversation_repair.COUNTS)
+    return filled.fillna({"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()})
