@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (conversation_repair, lattice_lm, line_dedup, packing, piece_model, pu_classifier, quality_rules, simhash,
-               token_alignment, topk, url_filter, warc)
+               token_alignment, topk, toxicity, url_filter, warc)
 from .common import fold, save, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -141,6 +141,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.classify(docs, labels, train=fold(F.col("doc_id")) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 @query()
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
