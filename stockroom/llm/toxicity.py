@@ -286,6 +286,8 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) ->
     counted = made.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         F.count_if(F.col("toxic").isNull()).alias("unknown"), F.count_if(F.col("toxic") == F.lit(False)).alias("clean"),
         F.count_if("toxic").alias("toxic")).orderBy("votes").collect()
+    if not counted:
+        return made.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     columns = [np.array([r[c] for r in counted], np.int64) for c in ("votes", "unknown", "clean", "toxic")]
     model = LabelModel(*columns)
     posterior = docs.sparkSession.createDataFrame(
@@ -300,8 +302,6 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) ->
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("posterior")).alias("weight")),
                              F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("posterior"))).alias("weight"))))
     rows = save(sets.select("features", both.alias("x")).select("features", "x.*").where("weight > 0"))
-    if rows.isEmpty():
-        return made.select("doc_id", F.lit(model.prior).alias("score"), F.lit(0).alias("predicted"))
     fitted = LogisticRegression(featuresCol="vector", weightCol="weight", regParam=1e-4, standardization=False, maxIter=60).fit(
         vectors(rows))
     score = vector_to_array("probability")[1].alias("score")
