@@ -203,7 +203,8 @@ class LabelModel:
         if toxic.sum():
             q = np.zeros(len(patterns))
             start = [clean + 0.0, toxic + 0.0]
-        else:  # nothing to go by but the fixed voters
+        else:  # nothing to go by but the fixed voters, whose word is taken for the labels'
+            rounds = 0
             q = np.where(self.x[:, :6].any(axis=1), 0.9, 0.02)
             start = [(1 - q) * (clean + unknown), q * unknown]
         self._fit(start)
