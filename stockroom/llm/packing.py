@@ -19,16 +19,15 @@ length that a third of all pieces share is spread over ``SALTS`` tasks.
 Defined cases: a null text is empty, and an empty text is the end id alone;
 rows with a null doc_id are left out; rows that repeat a doc_id are packed
 each; an empty table gives no pieces. The strings of special tokens in a text
-are ordinary text.
+are ordinary text. Texts are encoded whole, whatever their script; between the
+steps ids take two bytes where the vocabulary allows.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import byte_tokenizer
 from .common import save
 
 SALTS = 256
-BATCH_CHARS = 1 << 20  # text encoded at once
-CACHED = 400_000  # parts of texts whose ids a task remembers
-JOINED = 1000  # new parts encoded as one text
-
-# A token has a blank at its start only, so one ends before any blank that
-# follows another visible character. Parts cut there encode as the whole does.
-# The class holds only characters that are white space under no rule.
-_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?= )")
-
 
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
@@ -58,73 +49,34 @@ def load_tokenizer(path: str):
     return t
 
 
-def parts(text: str) -> list[str]:
-    return _CUT.split(text) if text else []
-
-
-class Encoder:
-    """Ids of texts, encoded part by part; parts (words, mostly) that come again are not encoded again.
-
-    New parts are encoded many at a time, joined where a cut would be anyway;
-    the bytes that each id stands for tell where a part's ids end."""
-
-    def __init__(self, tokenizer, end_id: int):
-        self.tokenizer, self.end = tokenizer, np.uint32(end_id).tobytes()
-        self.known: dict[str, bytes] = {}  # a part's 32-bit ids
-        # in a byte-level vocabulary each character stands for one byte
-        vocabulary = tokenizer.get_vocab()
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
-        cut = [parts(t) for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        # an inner part begins with a blank and ends in a visible character: they may follow each other in any order
-        inner = list(set(chain.from_iterable(own[1:-1] for own in cut)).difference(self.known))
-        self._learn([inner[i:i + JOINED] for i in range(0, len(inner), JOINED)])
-        edges = {p for own in cut if own for p in (own[0], own[-1])}.difference(self.known)
-        self._learn([[p] for p in edges])
-        find = self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(find, own), self.end]), np.uint32) for own in cut]
-
-    def _learn(self, groups: list[list[str]]) -> None:
-        for i in range(0, len(groups), 100):
-            some = groups[i:i + 100]
-            got = self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)
-            for group, encoded in zip(some, got):
-                ids = np.array(encoded.ids, np.uint32)
-                ends = np.cumsum([len(p.encode()) for p in group])
-                at = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 4).tolist()
-                raw = ids.tobytes()
-                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *at], at)]))
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """The smallest type for the ids: two bytes do for most vocabularies."""
+    return "<u2" if max(len(byte_tokenizer.load(tokenizer_path).tokens), end_id + 1) <= 1 << 16 else "<u4"
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
-                    with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece, ids being little-endian 32-bit numbers."""
+                    with_ids: bool = True, kind: str = "<u4") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece, ids being little-endian numbers of ``kind``.
+
+    ids_crc32 is that of 32-bit numbers, whatever ``kind`` is."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:None if with_ids else -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = Encoder(load_tokenizer(tokenizer_path), end_id)
+        tokenizer = byte_tokenizer.load(tokenizer_path)
         for b in batches:
-            own = b.column(0).to_pylist()
-            texts = ((v.as_py() or "") for v in b.column(1))
             rows: list[tuple] = []
             held = 0
-            for doc, ids in zip(own, _in_groups(texts, encoder)):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = np.append(tokenizer.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or min(len(ids), capacity)
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                     got = ids[start:first if not start else start + capacity]
-                    raw = got.astype("<u4").tobytes()
-                    rows.append((doc, piece, start, len(got), zlib.crc32(raw), raw))
+                    raw = got.tobytes()
+                    rows.append((doc, piece, start, len(got), zlib.crc32(raw), raw if kind == "<u4" else got.astype(kind).tobytes()))
                     held += len(got)
-                if held > 1 << 20 or len(rows) > 20_000:
-                    yield _pieces(rows, names)
-                    rows, held = [], 0
+                    if held > 1 << 20 or len(rows) > 20_000:
+                        yield _pieces(rows, names)
+                        rows, held = [], 0
             if rows:
                 yield _pieces(rows, names)
 
@@ -133,17 +85,6 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         run, schema)
 
 
-def _in_groups(texts: Iterator[str], encoder: Encoder) -> Iterator[np.ndarray]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size > BATCH_CHARS:
-            yield from encoder.encode(group)
-            group, size = [], 0
-    yield from encoder.encode(group)
-
-
 def _pieces(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.record_batch([pa.array(list(c), t) for c, t, _ in zip(zip(*rows), types, names)], names=names)
@@ -244,29 +185,36 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids.
+def _placed(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> tuple[DataFrame, str]:
+    """Every piece with its place and, last, its ids as bytes, and their type.
 
-    ``ids`` are bytes, little-endian 32-bit numbers. They are not sorted: pieces are placed without them, and
-    the places meet the saved ids by the number of the piece's row, as a doc_id may come more than once."""
-    pieces = save(tokenize_pieces(docs, tokenizer_path, capacity, end_id).withColumn("__row", F.monotonically_increasing_id()))
+    Ids are not sorted: pieces are placed without them, and the places meet the saved ids by the number of the
+    piece's row, as a doc_id may come more than once."""
+    kind = id_type(tokenizer_path, end_id)
+    pieces = save(tokenize_pieces(docs, tokenizer_path, capacity, end_id, kind=kind).withColumn(
+        "__row", F.monotonically_increasing_id()), "zstd")
     placed = place(pieces.drop("ids"), capacity)
     # The places are the small side of each partition; hashing them spares a sort of the ids.
     return pieces.select("__row", "ids").join(placed.hint("shuffle_hash"), "__row").select(
-        *[c for c in placed.columns if c != "__row"], "ids")
+        *[c for c in placed.columns if c != "__row"], "ids"), kind
 
 
-def ids_as_arrays(packed: DataFrame) -> DataFrame:
-    """``packed`` with its last column, ``ids``, as array<int>."""
+def _with_ids(packed: DataFrame, example, convert) -> DataFrame:
+    """``packed`` with its last column, ids as bytes, converted: ``convert`` takes a list of bytes and gives an array."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
             raw = [v.as_py() for v in b.column(b.num_columns - 1)]
-            ends = np.cumsum([0, *map(len, raw)]) // 4
-            ids = pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())
-            yield pa.record_batch([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)],
-                                  names=b.schema.names)
+            yield pa.record_batch([*b.columns[:-1], convert(raw)], names=b.schema.names)
 
-    return packed.mapInArrow(run, packed.drop("ids").select("*", F.array(F.lit(0)).alias("ids")).schema)
+    return packed.mapInArrow(run, packed.drop("ids").select("*", example.alias("ids")).schema)
+
+
+def pack_bytes(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids.
+
+    ``ids`` are bytes, little-endian 32-bit numbers."""
+    packed, kind = _placed(docs, tokenizer_path, capacity, end_id)
+    return _with_ids(packed, F.lit(b""), lambda raw: pa.array([np.frombuffer(r, kind).astype("<u4").tobytes() for r in raw], pa.binary()))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
@@ -275,5 +223,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     ``ids`` is array<int>."""
     if with_ids:
-        return ids_as_arrays(pack_bytes(docs, tokenizer_path, capacity, end_id))
+        packed, kind = _placed(docs, tokenizer_path, capacity, end_id)
+
+        def lists(raw: list[bytes]) -> pa.Array:
+            ids = np.frombuffer(b"".join(raw), kind).astype(np.int32)
+            ends = np.cumsum([0, *map(len, raw)]) // np.dtype(kind).itemsize
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+        return _with_ids(packed, F.array(F.lit(0)), lists)
     return place(save(tokenize_pieces(docs, tokenizer_path, capacity, end_id, with_ids)), capacity)

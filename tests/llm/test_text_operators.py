@@ -323,19 +323,18 @@ def test_pieces_hold_all_ids(docs_of, odd):
     assert packing.pack_documents(odd.limit(0), BYTE_BPE).count() == 0
 
 
-def test_parts_encode_as_the_whole(monkeypatch):
+@pytest.mark.parametrize("end_id", [0, 70_000])
+def test_ids_of_two_or_four_bytes(docs_of, end_id):
     tokenizer = packing.load_tokenizer(BYTE_BPE)
     r = random.Random(8)
     bits = ["word", " ", "  ", "\n", "9", "é", "'s", "!", "\u3000", "\x1c", "\x85", "\xa0", "\u200b", "漢", "\t", "<|endoftext|>"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 300))) for _ in range(400)] + ["x y " * 50_000, "", " "]
-    monkeypatch.setattr(packing, "CACHED", 50)
-    monkeypatch.setattr(packing, "JOINED", 7)
-    encoder = packing.Encoder(tokenizer, 0)
-    for i in range(0, len(texts), 40):
-        some = texts[i:i + 40]
-        assert ["".join(packing.parts(t)) for t in some] == some
-        assert [g.tolist() for g in encoder.encode(some)] == [
-            tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in some]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 300)))) for i in range(100)] + [(100, "x y " * 50_000), (101, " ")]
+    assert packing.id_type(BYTE_BPE, end_id) == ("<u4" if end_id else "<u2")
+    own = defaultdict(list)
+    for p in sorted(packing.pack_bytes(docs_of(rows), BYTE_BPE, 128, end_id).collect(), key=lambda p: p.piece):
+        assert p.ids_crc32 == zlib.crc32(p.ids) and len(p.ids) == 4 * p.length
+        own[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert own == {i: tokenizer.encode(t, add_special_tokens=False).ids + [end_id] for i, t in rows}
 
 
 def test_digest_of_kept_text(docs_of):
