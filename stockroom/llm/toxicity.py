@@ -281,8 +281,8 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) ->
     train = fold(F.col("doc_id")) != 0 if train is None else train
     known = save(training_labels(labels, train))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # the labels are the small side of each partition; hashing them spares a sort of the texts
-    lexicon = learn_lexicon(texts.join(sample(known).hint("shuffle_hash"), "doc_id"))
+    # the sample's size is bounded, so its ids may go to every task and no text is shuffled
+    lexicon = learn_lexicon(texts.join(F.broadcast(sample(known)), "doc_id"))
     made = save(featurize(docs, lexicon))
     counted = made.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         F.count_if(F.col("toxic").isNull()).alias("unknown"), F.count_if(F.col("toxic") == F.lit(False)).alias("clean"),
