@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,8 +179,8 @@ def scorer(model: dict | None, prior: float):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
-    """(doc_id, score, predicted) for every row of ``docs``, learnt from the labels that ``train`` (a condition
+def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> tuple[DataFrame, dict | None, float]:
+    """The features of ``docs``, saved, and the model and class prior learnt from the labels that ``train`` (a condition
     on doc_id) admits; by default those whose crc32 of the id is not a multiple of five."""
     train = fold(F.col("doc_id")) != 0 if train is None else train
     made = save(featurize(docs))
@@ -189,5 +190,28 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) ->
     prior = (n["good"] + 1) / (n["n"] + 2)
     good = known.where("quality = 1").select("doc_id", F.lit(True).alias("positive"))
     rows = save(made.join(good, "doc_id", "left").select("f", F.coalesce("positive", F.lit(False)).alias("positive")))
-    model = fit(rows, prior)
+    return made, fit(rows, prior), prior
+
+
+def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
+    """(doc_id, score, predicted) for every row of ``docs``, learnt as in ``learn``."""
+    made, model, prior = learn(docs, labels, train)
     return made.mapInArrow(scorer(model, prior), "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good, with all their columns.
+
+    Rows are scored again as they are read, so no text is shuffled or saved to meet its score."""
+    _, model, prior = learn(docs, labels, train)
+    rows, score = docs.where("doc_id is not null"), scorer(model, prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).cast(pa.large_string()).cast(pa.large_binary())
+            f = pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
+            for scored in score(iter([pa.record_batch([f], names=["f"])])):
+                yield b.filter(pa.compute.equal(scored.column(1), 1))
+
+    at = rows.columns.index("text")
+    return rows.mapInArrow(run, rows.schema)

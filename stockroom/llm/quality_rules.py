@@ -146,17 +146,18 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
 
 def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02,
-          delta: float = 0.05) -> DataFrame:
+          delta: float = 0.05, rows: DataFrame | None = None) -> DataFrame:
     """``measured`` with ``kept``. Measured rows are read twice: save them first.
 
-    The cutoffs travel as one map in a scalar subquery. Its size is bounded: a
+    ``rows`` are judged in their place where given: the same rows measured again, with columns
+    that are dearer to save than to measure. The cutoffs travel as one map in a scalar subquery. Its size is bounded: a
     stratum has entries only if it holds some hundreds of labelled good documents.
     """
     chosen = cutoffs(measured, labels, stratum, alpha, delta)
     key = F.concat_ws("\x00", F.col("rule"), F.col("stratum"))
     book = chosen.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("cutoff")))).alias("m")).scalar()
     own = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    base = measured.drop("kept").withColumn("__cut", book)
+    base = (measured if rows is None else rows).drop("kept").withColumn("__cut", book)
     rejected = F.lit(False)
     for rule in RULES:
         cut = F.try_element_at(F.col("__cut"), F.concat_ws("\x00", F.lit(rule), own))

@@ -447,7 +447,22 @@ def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd, tmp_path):
         {c for c in brute_components([brute_fingerprint(t) for i, t in ODD if i], [i for i, _ in ODD if i])})
 
 
+def test_columns_of_documents_may_have_the_operators_names(spark, docs_of):
+    docs = table(spark, SF, "documents")
+    for c in ("n_words", "kept", "__h", "__n", "n_lines", "n_dropped", "f", "score", "predicted", "base_failed", "component_id", "fp",
+              "key", "__w", "lines"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = save(stage(spark, rows, SF))
+        assert rows.columns == docs.columns, name
+        bad = F.lit(False)
+        for c in docs.columns[5:]:
+            bad = bad | ~F.col(c).eqNullSafe(F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+        assert rows.where(bad).count() == 0 and rows.count() > 500, name
+
+
 def test_registry_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert simhash.hex_fingerprint is not None
