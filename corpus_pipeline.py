@@ -11,8 +11,9 @@ last return the columns of documents:
 5. best-fit packing: the pieces of each document, their places and token ids
 
 Rows with a null doc_id go in the first stage. Rows that repeat a doc_id are
-judged apart by the rules, kept together by the classifier if any of them is
-kept, and reduced to one by near-dedup.
+judged apart by the first two stages and reduced to one by near-dedup. Columns
+of documents may have any name, those of the operators included: they are
+passed on in a struct.
 """
 
 from __future__ import annotations
@@ -26,23 +27,31 @@ from stockroom.llm.common import row_key, save, table
 from stockroom.llm.queries import BYTE_BPE
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    measured = save(quality_rules.measure(docs))
-    return quality_rules.judge(measured, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with the columns that an operator uses, and all columns in a struct that it passes on.
 
+    So the operator's own columns never meet those of documents."""
+    return docs.where("doc_id is not null").select(*used, F.struct(*docs.columns).alias("__document"))
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    # The ids are the small side of each partition; hashing them spares a sort of the texts.
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # Texts are measured twice, once for the cutoffs and once to apply them: that is cheaper than to save them.
+    used = docs.where("doc_id is not null").select("doc_id", "lang", "text")
+    measured = save(quality_rules.measure(used).drop("text"))
+    # A row number keeps the planner from moving the filter before the measures, which would spell each out many times.
+    rows = quality_rules.measure(_apart(docs, "doc_id", "lang", "text")).withColumn("__at", F.monotonically_increasing_id())
+    judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"), rows=rows)
+    return judged.where(F.col("kept") & (F.col("__at") >= 0)).select("__document.*")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = pu_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("predicted = 1").select("doc_id"))
+    return pu_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    used = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *others).alias("__others"))
+    cleaned = line_dedup.dedup_lines(used).select("doc_id", "text", "__others.*")
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(docs.columns)
@@ -50,8 +59,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = simhash.near_duplicates(docs, shingle=3).where("doc_id = component_id").select("doc_id")
+    # The ids are the small side of each partition; hashing them spares a sort of the texts.
+    kept = _apart(docs, "doc_id", "text").join(first.hint("shuffle_hash"), "doc_id", "left_semi")
     once = Window.partitionBy("doc_id").orderBy(row_key(F.col("text")))
-    return _only(docs, first).withColumn("__n", F.row_number().over(once)).where("__n = 1").select(docs.columns)
+    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select("__document.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
