@@ -88,7 +88,8 @@ def merge_duplicates(df: DataFrame, keys: list[str], policy: str = "sum", value:
                      order_col: str | None = None) -> DataFrame:
     """One row per key.
 
-    - ``sum``: add the values;
+    - ``sum``: add the values; other columns are those of the first row by
+      ``order_col``, or each the smallest where none is given;
     - ``exact_then_sum``: drop identical rows first, then add;
     - ``last`` / ``first``: keep the whole row that is last / first by
       ``order_col`` (required: input order is not defined in Spark);
@@ -100,7 +101,8 @@ def merge_duplicates(df: DataFrame, keys: list[str], policy: str = "sum", value:
     if policy in ("sum", "exact_then_sum"):
         src = df.dropDuplicates() if policy == "exact_then_sum" else df
         others = [c for c in df.columns if c not in keys and c != value]
-        aggs = [F.sum(value).cast("bigint").alias(value)] + [F.first(c, ignorenulls=True).alias(c) for c in others]
+        aggs = [F.sum(value).cast("bigint").alias(value)] + [
+            (F.min_by(c, order_col) if order_col else F.min(c)).alias(c) for c in others]
         return src.groupBy(*keys).agg(*aggs).select(*df.columns)
     if order_col is None:
         raise ValueError(f"policy {policy!r} needs an explicit order_col")

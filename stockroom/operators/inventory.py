@@ -376,6 +376,42 @@ def snapshot(balances: DataFrame, day, keys: list[str] | None = None, date_col:
     return out
 
 
+def validity(balances: DataFrame, keys: list[str] | None = None, date_col: str = "Date", opening: DataFrame | None = None) -> DataFrame:
+    """Intervals (keys, valid_from, valid_to, Qty): the stock of a product from one movement day until the next.
+
+    ``valid_to`` is the day after the last valid one, null for the present. With ``opening`` each of its products has its
+    opening stock before its first movement (``valid_from`` null)."""
+    keys = keys or PRODUCT
+    days = balances.select(*keys, F.col(date_col).alias("valid_from"), F.col("Closing_Qty").cast("bigint").alias("Qty"))
+    if opening is not None:
+        days = days.unionByName(_qty_total(opening, keys).select(*keys, F.lit(None).cast("date").alias("valid_from"), F.col("Qty").cast("bigint")))
+    after = Window.partitionBy(*keys).orderBy(F.col("valid_from").asc_nulls_first())
+    return days.withColumn("valid_to", F.lead("valid_from").over(after)).select(*keys, "valid_from", "valid_to", "Qty")
+
+
+def stock_on_dates(balances: DataFrame, dates: DataFrame, keys: list[str] | None = None, date_col: str = "Date",
+                   opening: DataFrame | None = None) -> DataFrame:
+    """The stock of every product on every one of ``dates`` (a column ``date_col``), in one plan.
+
+    A range join of the intervals of ``validity`` with the dates, made an equi-join by months: an interval takes part once
+    for each month that it covers, which the calendar bounds, and a date in its own month. The months run from the first
+    to the last of the dates, so intervals without end do not grow beyond them."""
+    keys = keys or PRODUCT
+    asked = dates.select(F.col(date_col).cast("date").alias("_day")).where("_day is not null").distinct().withColumn(
+        "_month", F.trunc("_day", "month"))
+    span = asked.agg(F.min("_month").alias("low"), F.max("_month").alias("high")).withColumn(
+        "span", F.struct("low", "high")).select("span").scalar()
+    spans = validity(balances, keys, date_col, opening).withColumn("_span", span)
+    first = F.greatest(F.trunc(F.coalesce("valid_from", F.col("_span.low")), "month"), F.col("_span.low"))
+    last = F.least(F.trunc(F.date_sub(F.coalesce("valid_to", F.date_add(F.last_day(F.col("_span.high")), 1)), 1), "month"), F.col("_span.high"))
+    spans = spans.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    by_month = spans.withColumn("_month", F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))))
+    valid = (F.col("valid_from").isNull() | (F.col("_day") >= F.col("valid_from"))) & (
+        F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))
+    out = by_month.join(asked, "_month").where(valid).select(*keys, F.col("_day").alias(date_col), "Qty")
+    return out.withColumn("LookColumn", look_column(*PRODUCT)) if keys == PRODUCT else out
+
+
 # ---------------------------------------------------------------------------
 # date-keyed inventory operators
 # ---------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """End-to-end jobs: daily sales files to tables, and the multi-day
 inventory run. Both follow one order: read -> clean (good, bad) ->
-aggregate -> check -> versioned write -> log, so a crash at any point leaves
-the previous table version current and the input files unregistered.
+aggregate -> check -> write, so a crash at any point leaves what was there
+before, and the same job run again completes it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
 from ..operators.clean import merge_duplicates, standardize, validate
-from ..sinks.tables import TableStore, upsert, upsert_counts
+from ..session import cut_lineage
+from ..sinks.tables import FILES, MONTH, month_of, processed, read_table, upsert_counts, upsert_months, write_run
 from ..sources import csv as csvsrc
 from ..sources import files
 
@@ -21,56 +22,50 @@ PRODUCT = ["Brand_Category", "Brand", "Size_ML"]
 SALES_COLUMNS = ["Date", *PRODUCT, "Qty"]
 
 
-def load_sales_folder(spark: SparkSession, folder: str, store: TableStore, run_ts, table: str = "daily_sales",
-                      min_qty: int = 0, dedupe: str = "sum", mode: str = "set") -> dict[str, DataFrame]:
-    """Daily sales CSV folder -> keyed table.
+def load_sales_folder(spark: SparkSession, folder: str, base: str, run_ts, table: str = "daily_sales",
+                      min_qty: int = 0, dedupe: str = "sum", mode: str = "set") -> dict[str, DataFrame | list[str]]:
+    """Daily sales CSV folder -> keyed table ``{base}/{table}``, partitioned by month.
 
-    Files already in the ``processed_files`` log are skipped (S12); files
+    Rows of files that a month of the table already has are skipped (S12); files
     missing a column are reported ``failed`` (S2); bad rows are quarantined
-    (D6); duplicates per key are merged (D5); the batch is upserted (K1 /
-    K2) into a new table version. Rows and file log are one commit, so a
-    crash leaves both or neither and a retry adds nothing twice.
-    Returns the file report, the bad rows and the upsert counts (K6).
+    (D6); duplicates per key are merged (D5); the batch is upserted (K1 / K2)
+    and rewrites only the months it has rows of. A retry adds nothing.
+    Returns the file report, the bad rows, the upsert counts (K6) and the months.
     """
-    hashes = files.file_hashes(spark, folder, "*.csv")
-    log = store.read("processed_files") if store.exists("processed_files") else None
-    todo = files.unprocessed(hashes, log)
+    path, keys = f"{base.rstrip('/')}/{table}", ["Date", *PRODUCT]
+    hashes = files.file_hashes(spark, folder, "*.csv").select(F.col("file_path").alias("_file"), "file_hash")
     rows, report = csvsrc.load_folder(spark, folder, SALES_COLUMNS)
-    rows = rows.join(todo.select(F.col("file_path").alias("_file")), "_file", "left_semi")
-    good, bad = validate(standardize(rows), min_qty=min_qty)
-    batch = merge_duplicates(good.select(*SALES_COLUMNS), ["Date", *PRODUCT], dedupe)
-    current = store.read(table) if store.exists(table) else batch.limit(0)
-    # the counts read the version that was current before this write; that
-    # version directory is never modified, so they stay valid afterwards
-    counts = upsert_counts(current.select(*SALES_COLUMNS), batch, ["Date", *PRODUCT], ["Qty"])
-    ok_files = report.filter(F.col("status") == "ok").select("file_path")
-    store.write_all({
-        table: (upsert(current, batch, ["Date", *PRODUCT], mode, run_ts=run_ts), "full"),
-        "processed_files": (files.log_rows(todo.join(ok_files, "file_path", "left_semi"), run_ts), "append")},
-        run_ts=run_ts)
-    return {"files": report, "bad_rows": bad, "counts": counts}
+    good, bad = validate(standardize(rows.join(hashes, "_file")), min_qty=min_qty)
+    current = read_table(spark, path)
+    fresh = cut_lineage(processed(current, good.select(*SALES_COLUMNS, "file_hash").withColumn(MONTH, month_of("Date"))))
+    files_of = fresh.groupBy(*keys).agg(F.array_sort(F.collect_set("file_hash")).alias(FILES))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys])
+    merged = merge_duplicates(fresh.select(*SALES_COLUMNS), keys, dedupe)
+    batch = merged.alias("b").join(files_of.alias("f"), same).select("b.*", f"f.{FILES}")
+    # counted before the months change
+    old = batch.limit(0) if current is None else current.join(fresh.select(MONTH).distinct(), MONTH, "left_semi")
+    counts = cut_lineage(upsert_counts(old.select(*SALES_COLUMNS), merged, keys, ["Qty"]))
+    months = upsert_months(spark, path, batch, keys, "Date", mode, run_ts)
+    return {"files": report, "bad_rows": bad, "counts": counts, "months": months}
 
 
-def run_inventory_days(store: TableStore, initial: DataFrame, incoming: DataFrame, sales: DataFrame, run_ts,
+def run_inventory_days(base: str, initial: DataFrame, incoming: DataFrame, sales: DataFrame, run_ts,
                        on_negative: str = "fail", snapshot_dates: list | None = None) -> dict[str, DataFrame]:
     """The multi-day run as one job: closed-form balances, the
-    failure check, then versioned outputs: balances per movement day, the
-    final inventory, the cleaned inputs, the daily summary, and the as-of
-    stock of every product for each of ``snapshot_dates``. The balances are
-    written first and the snapshots derived from the written rows."""
+    failure check, then the tables of the run, which become visible together: balances
+    per movement day, the final inventory, the cleaned inputs, the daily summary, and
+    the stock of every product on each of ``snapshot_dates`` (one plan for all dates)."""
+    spark = initial.sparkSession
     r = inv.multi_day_inventory(initial, incoming, sales)
     if on_negative == "fail" and not r["violations"].isEmpty():
         raise inv.NegativeStockError("sales exceed stock on hand", r["violations"])
-    store.write("inventory_balances", r["balances"], partition_by=["Date"], run_ts=run_ts)
-    store.write("final_inventory", r["final"].withColumn("updated_at", F.lit(run_ts).cast("timestamp")),
-                run_ts=run_ts)
-    store.write("daily_processing_summary", r["summary"], run_ts=run_ts)
-    store.write("ignored_sales", r["ignored_sales"], run_ts=run_ts)
-    store.write("cleaned_incoming", incoming, run_ts=run_ts)
-    store.write("cleaned_sales", sales, run_ts=run_ts)
+    balances = cut_lineage(r["balances"])
+    tables = {"inventory_balances": balances,
+              "final_inventory": r["final"].withColumn("updated_at", F.lit(run_ts).cast("timestamp")),
+              "daily_processing_summary": r["summary"], "ignored_sales": r["ignored_sales"],
+              "cleaned_incoming": incoming, "cleaned_sales": sales}
     if snapshot_dates:
-        balances = store.read("inventory_balances")
-        days = [inv.snapshot(balances, day, opening=initial) for day in snapshot_dates]
-        store.write("inventory_snapshots", functools.reduce(DataFrame.unionByName, days), partition_by=["Date"],
-                    run_ts=run_ts)
+        dates = spark.createDataFrame([(d,) for d in snapshot_dates], "Date date")
+        tables["inventory_snapshots"] = inv.stock_on_dates(balances, dates, opening=initial)
+    write_run(base, run_ts, tables)
     return r

@@ -254,6 +254,21 @@ def w07(d):
     return _run(d)["balances"]
 
 
+@register("w07_product_date_grid", _with(f"""
+SELECT {P}, Date, Qty, '(' || Brand_Category || ') - ' || Brand || ' - ' || CAST(Size_ML AS VARCHAR) || ' ML' AS LookColumn FROM (
+  SELECT {P}, d.Date AS Date, v.Qty AS Qty FROM (
+    SELECT {P}, valid_from, Qty, LEAD(valid_from) OVER (PARTITION BY {P} ORDER BY valid_from NULLS FIRST) AS valid_to FROM (
+      SELECT {P}, Date AS valid_from, CAST(Closing_Qty AS BIGINT) AS Qty FROM i3_bal
+      UNION ALL SELECT {P}, CAST(NULL AS DATE), CAST(SUM(Qty) AS BIGINT) FROM monthly_stock GROUP BY {P}) x) v
+  JOIN (SELECT DISTINCT LAST_DAY(Date) AS Date FROM i3_bal) d
+    ON (v.valid_from IS NULL OR d.Date >= v.valid_from) AND (v.valid_to IS NULL OR d.Date < v.valid_to)) g""",
+    I3_SQL, *I3_NAMES))
+def w07_grid(d):
+    """The stock of every product at the end of every month, by one range join of intervals with dates."""
+    balances = _run(d)["balances"]
+    return inv.stock_on_dates(balances, balances.select(F.last_day("Date").alias("Date")), opening=d.monthly_stock())
+
+
 @register("i04_daily_summary", _with("""
 SELECT Date, CAST(SUM(i) AS BIGINT) AS Total_Incoming_Qty, CAST(SUM(o) AS BIGINT) AS Total_Sold_Qty
 FROM (SELECT Date, Qty AS i, 0 AS o FROM i3_inc UNION ALL SELECT Date, 0, Qty FROM i3_sal) u GROUP BY Date""",

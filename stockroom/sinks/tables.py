@@ -1,12 +1,11 @@
 """Keyed table writes on plain Parquet.
 
 Parquet has no MERGE, so an upsert is computed as a DataFrame (full outer
-join on the business key, one shuffle) and written as a **new version
-directory**; the version becomes current only when a row is appended to the
-table's small commit log afterwards. A job that dies mid-write leaves an
-unreferenced directory and the previous version stays current, so a retry
-(or a lost executor) never exposes half a table. Data first, then the commit
-row, then the processed-file log: the order the reference got wrong (S12).
+join on the business key, one shuffle). Tables of dated rows are partitioned by
+month, and Spark's dynamic partition overwrite replaces only the months that a
+batch touches. The hashes of the files that a row comes from stand in the row,
+so the processed-file guard is an anti-join with the table itself and a batch
+that is run again adds nothing.
 
 The upsert functions are pure (``DataFrame -> DataFrame``) and take a
 ``run_ts`` so that results are reproducible.
@@ -16,10 +15,12 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 CREATED, UPDATED = "created_at", "updated_at"
@@ -117,107 +118,108 @@ def upsert_counts(existing: DataFrame, incoming: DataFrame, keys: list[str], com
     has_old, has_new = F.col("o._o").isNotNull(), F.col("n._n").isNotNull()
     differs = functools.reduce(lambda a, b: a | b,
                                [~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in compare])
-    return j.agg(F.sum((has_old & has_new).cast("int")).cast("bigint").alias("matched_count"),
-                 F.sum((has_old & has_new & differs).cast("int")).cast("bigint").alias("modified_count"),
-                 F.sum((~has_old & has_new).cast("int")).cast("bigint").alias("upserted_count"))
-
-
-class TableStore:
-    """Versioned Parquet tables under ``base`` (a shared, cluster-wide path).
-
-    Every write goes to a fresh directory ``{base}/{name}/v={n}`` and becomes
-    visible only when one row is appended to ``{base}/_commits`` afterwards.
-    A ``full`` version replaces the table; an ``append`` version adds rows
-    (only the new rows are written). ``read`` unions the latest full version
-    with the appends after it. A ``batch_id`` (e.g. a streaming epoch) makes
-    a write idempotent: a replayed batch that was already committed is
-    skipped.
-    """
-
-    LOG_SCHEMA = "table_name string, version int, mode string, batch_id long, committed_at timestamp"
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark = spark
-        self.base = base.rstrip("/")
-
-    @property
-    def _log(self) -> str:
-        return f"{self.base}/_commits"
-
-    def _commits(self, name: str) -> list:
-        try:
-            log = self.spark.read.schema(self.LOG_SCHEMA).parquet(self._log)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []  # nothing committed yet
-        # the log holds one small row per commit of this table
-        return sorted(log.filter(F.col("table_name") == name).select("version", "mode", "batch_id").collect(),
-                      key=lambda r: r["version"])
-
-    def current_version(self, name: str) -> int | None:
-        c = self._commits(name)
-        return c[-1]["version"] if c else None
-
-    def exists(self, name: str) -> bool:
-        return bool(self._commits(name))
-
-    def read(self, name: str) -> DataFrame:
-        c = self._commits(name)
-        if not c:
-            raise FileNotFoundError(f"table {name!r} has no committed version under {self.base}")
-        fulls = [i for i, r in enumerate(c) if r["mode"] == "full"]
-        live = c[fulls[-1]:] if fulls else c
-        return self.spark.read.parquet(*[f"{self.base}/{name}/v={r['version']}" for r in live])
-
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, run_ts=None,
-              mode: str = "full", batch_id: int | None = None) -> int | None:
-        """Write a new version and commit it; returns the version number
-        (None when ``batch_id`` was already committed)."""
-        return self.write_all({name: (df, mode)}, partition_by, run_ts, batch_id)[name]
-
-    def write_all(self, tables: dict[str, tuple[DataFrame, str]], partition_by: list[str] | None = None, run_ts=None,
-                  batch_id: int | None = None) -> dict[str, int | None]:
-        """Write new versions of several tables (name -> rows, mode) and
-        commit them together: one log file, so all become visible or none."""
-        versions: dict[str, int | None] = {}
-        rows = []
-        for name, (df, mode) in tables.items():
-            c = self._commits(name)
-            if batch_id is not None and any(r["batch_id"] == batch_id for r in c):
-                versions[name] = None
-                continue
-            v = versions[name] = (c[-1]["version"] if c else 0) + 1
-            w = df.write.mode("overwrite")
-            if partition_by:
-                w = w.partitionBy(*partition_by)
-            w.parquet(f"{self.base}/{name}/v={v}")
-            rows.append((name, v, mode, batch_id, run_ts or dt.datetime(1970, 1, 1)))
-        if rows:
-            self._commit(rows)
-        return versions
-
-    def _commit(self, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, self.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self._log)
-
-    def append(self, name: str, df: DataFrame, run_ts=None, batch_id: int | None = None) -> int | None:
-        """Append rows (only the new rows are written)."""
-        return self.write(name, df, run_ts=run_ts, mode="append", batch_id=batch_id)
-
-    def upsert(self, name: str, incoming: DataFrame, keys: list[str], mode: str = "set", run_ts=None,
-               batch_id: int | None = None, **kw) -> int | None:
-        """K1-K5 against the current table (empty when absent)."""
-        cur = self.read(name) if self.exists(name) else incoming.limit(0)
-        return self.write(name, upsert(cur, incoming, keys, mode, run_ts, **kw), run_ts=run_ts, batch_id=batch_id)
-
-    def snapshot_all(self, names: list[str], target: str, snapshot_date: str) -> DataFrame:
-        """K8: copy every table's current rows to
-        ``{target}/{table}/snapshot_date=...`` (overwrite) and return the row
-        count per table, counted by Spark from the written copies."""
-        counts = []
-        for name in names:
-            path = f"{target.rstrip('/')}/{name}/snapshot_date={snapshot_date}"
-            self.read(name).write.mode("overwrite").parquet(path)
-            counts.append(self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("records"))
-                          .select(F.lit(name).alias("table_name"), "records"))
-        return functools.reduce(lambda a, b: a.unionByName(b), counts)
+    return j.agg(F.count_if(has_old & has_new).alias("matched_count"),
+                 F.count_if(has_old & has_new & differs).alias("modified_count"),
+                 F.count_if(~has_old & has_new).alias("upserted_count"))
+
+
+MONTH, FILES = "month", "files"
+
+
+def dynamic_overwrite(df: DataFrame, path: str, by: str) -> None:
+    """Write ``df`` as Parquet partitioned by ``by``; only the partitions that it has rows of are replaced.
+
+    Spark stages all files and moves them on commit, so ``df`` may read the table it is written to. Rows are
+    rebalanced by partition: small ones become one file, AQE splits large ones over tasks."""
+    df.hint("rebalance", F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing was written yet. Any other failure to read is raised."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def month_of(date_col: str) -> Column:
+    return F.date_format(F.col(date_col), "yyyy-MM")
+
+
+def processed(table: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows`` (with file_hash and month) whose file is not in the table's month yet.
+
+    The files of a row stand in the row itself, so data and processed-file guard cannot part: a month
+    either has a file's rows and its hash, or neither."""
+    if table is None:
+        return rows
+    done = table.select(MONTH, F.explode(FILES).alias("file_hash")).distinct()
+    return rows.join(done, [MONTH, "file_hash"], "left_anti")
+
+
+def upsert_months(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], date_col: str = "Date",
+                  mode: str = "set", run_ts=None, **kw) -> list[str]:
+    """K1-K5 on a table partitioned by month; returns the months that were rewritten.
+
+    ``incoming`` has ``keys``, the values and ``files`` (the hashes of the files that each row comes from). Only the
+    months it has rows of are read and replaced. A crash between two months is mended by running the batch
+    again: ``processed`` leaves out what the finished ones have. The month list is bounded by the calendar."""
+    batch = incoming.withColumn(MONTH, month_of(date_col))
+    months = sorted(r[0] for r in batch.select(MONTH).distinct().collect())
+    if not months:
+        return []
+    table = read_table(spark, path)
+    if table is None:
+        table = batch.limit(0)
+    old = table.where(F.col(MONTH).isin(months))
+    rows = upsert(old.drop(FILES), batch.drop(FILES), [*keys, MONTH], mode, run_ts, **kw)
+    both = old.select(*keys, MONTH, FILES).unionByName(batch.select(*keys, MONTH, FILES))
+    files = both.groupBy(*keys, MONTH).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(FILES)))).alias(FILES))
+    match = functools.reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in [*keys, MONTH]])
+    found = rows.alias("r").join(files.alias("f"), match).select("r.*", f"f.{FILES}")
+    dynamic_overwrite(found, path, MONTH)
+    return months
+
+
+def append_batch(df: DataFrame, path: str, batch) -> None:
+    """Add ``df`` as one batch. Written again under the same name, a batch replaces itself: no row comes twice."""
+    dynamic_overwrite(df.withColumn("batch", F.lit(str(batch))), path, "batch")
+
+
+def write_run(base: str, run, tables: dict[str, DataFrame]) -> None:
+    """Write all tables of a run, each partitioned by run, then list the run.
+
+    Readers take the latest listed run, so the tables of a run become visible together or not at all."""
+    for name, df in tables.items():
+        dynamic_overwrite(df.withColumn("run", F.lit(str(run))), f"{base}/{name}", "run")
+    spark = next(iter(tables.values())).sparkSession
+    listed = [(str(run), name, df.schema.json()) for name, df in tables.items()]
+    dynamic_overwrite(spark.createDataFrame(listed, "run string, name string, columns string").coalesce(1), f"{base}/runs", "run")
+
+
+def read_run(spark: SparkSession, base: str, name: str, run=None) -> DataFrame | None:
+    """A table as the latest listed run (or the given one) wrote it; None where no such run is listed."""
+    listed = read_table(spark, f"{base}/runs")
+    if listed is None:
+        return None
+    listed = listed.select(F.col("run").cast("string").alias("run"), "name", "columns").where(F.col("name") == name)
+    found = (listed if run is None else listed.where(F.col("run") == str(run))).orderBy(F.desc("run")).first()
+    if found is None:
+        return None
+    columns = T.StructType.fromJson(json.loads(found["columns"]))
+    rows = spark.read.schema(T.StructType([*columns.fields, T.StructField("run", T.StringType())])).parquet(f"{base}/{name}")
+    return rows.where(F.col("run") == found["run"]).drop("run")
+
+
+def snapshot_all(tables: dict[str, DataFrame], target: str, snapshot_date: str) -> DataFrame:
+    """K8: copy the rows of every table to ``{target}/{table}/snapshot_date=...``, replacing that date's copy only,
+    and return the row count per table, counted by Spark from the written copies."""
+    counts = []
+    for name, df in tables.items():
+        path = f"{target.rstrip('/')}/{name}"
+        dynamic_overwrite(df.withColumn("snapshot_date", F.lit(snapshot_date)), path, "snapshot_date")
+        counts.append(df.sparkSession.read.parquet(f"{path}/snapshot_date={snapshot_date}").agg(
+            F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("table_name"), "records"))
+    return functools.reduce(lambda a, b: a.unionByName(b), counts)

@@ -1,10 +1,14 @@
 import datetime as dt
+import glob
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stockroom.operators.clean import merge_duplicates, validate, standardize
-from stockroom.sinks.tables import TableStore, upsert, upsert_counts
+from stockroom.sinks import tables
+from stockroom.sinks.tables import upsert, upsert_counts
 
 KEYS = ["k"]
 TS = dt.datetime(2026, 4, 7)
@@ -39,7 +43,7 @@ def test_repeated_keys_are_one_row(spark):
 
 def test_a_read_failure_is_not_an_empty_table(spark):
     with pytest.raises(Exception, match="(?i)filesystem|scheme|nosuch"):
-        TableStore(spark, "nosuch://store/base").exists("t")
+        tables.read_table(spark, "nosuch://store/base/t")
 
 
 def test_null_keys_are_equal(spark):
@@ -55,18 +59,66 @@ def test_price_shift(spark):
     assert got == [("a", 12.0, 10.0), ("b", 5.0, 4.0)]
 
 
-def test_table_store_versions_and_batches(spark, tmp):
-    store = TableStore(spark, tmp + "/store")
-    df = spark.createDataFrame([("a", 1)], "k string, Qty int")
-    assert store.write("t", df) == 1
-    assert store.upsert("t", spark.createDataFrame([("a", 3)], "k string, Qty int"), KEYS, "set", stamps=False) == 2
-    assert rows(store.read("t"), ["k", "Qty"]) == [("a", 3)]
-    assert store.append("log", df, batch_id=0) == 1
-    assert store.append("log", df, batch_id=0) is None  # replayed batch is skipped
-    store.append("log", spark.createDataFrame([("b", 2)], "k string, Qty int"), batch_id=1)
-    assert rows(store.read("log"), ["k", "Qty"]) == [("a", 1), ("b", 2)]
-    snap = store.snapshot_all(["t", "log"], tmp + "/backup", "2026-04-07")
-    assert rows(snap, ["table_name", "records"]) == [("log", 2), ("t", 1)]
+def files_of(path):
+    """Data files with their times, by partition folder."""
+    out = {}
+    for f in glob.glob(f"{path}/*/part-*"):
+        out.setdefault(os.path.basename(os.path.dirname(f)), set()).add((os.path.basename(f), os.stat(f).st_mtime_ns))
+    return out
+
+
+DATED = "Date date, k string, Qty long, files array<string>"
+
+
+def test_a_batch_rewrites_only_its_months(spark, tmp):
+    path = tmp + "/t"
+    first = [(dt.date(2026, m, d), k, m, ["f1"]) for m in (1, 2, 3) for d in (1, 9) for k in "ab"]
+    assert tables.upsert_months(spark, path, spark.createDataFrame(first, DATED), ["Date", "k"], run_ts=TS) == [
+        "2026-01", "2026-02", "2026-03"]
+    before = files_of(path)
+    day = [(dt.date(2026, 2, 9), "a", 50, ["f2"]), (dt.date(2026, 2, 10), None, 7, ["f2"])]
+    assert tables.upsert_months(spark, path, spark.createDataFrame(day, DATED), ["Date", "k"], run_ts=TS) == ["2026-02"]
+    after = files_of(path)
+    assert {m for m in before if before[m] != after[m]} == {"month=2026-02"} and before.keys() == after.keys()
+    got = {(r.Date, r.k): (r.Qty, r.files) for r in tables.read_table(spark, path).collect()}
+    want = {(d, k): (q, f) for d, k, q, f in first} | {(dt.date(2026, 2, 9), "a"): (50, ["f1", "f2"]), (dt.date(2026, 2, 10), None): (7, ["f2"])}
+    assert got == want
+    assert tables.upsert_months(spark, path, spark.createDataFrame([], DATED), ["Date", "k"]) == [] and files_of(path) == after
+
+
+@pytest.mark.parametrize("mode", ["set", "inc", "insert_only"])
+def test_months_equal_the_plain_upsert(spark, tmp, mode):
+    r, have = random.Random(mode), None
+    for batch in range(4):
+        rows_ = [(dt.date(2026, r.randint(1, 5), 1 + r.randint(0, 2)), r.choice("abc"), r.randint(0, 9), [f"f{batch}"]) for _ in range(12)]
+        new = spark.createDataFrame(rows_, DATED)
+        plain = new.drop("files")
+        have = upsert(plain.limit(0) if have is None else spark.createDataFrame(have, "Date date, k string, Qty long"), plain, ["Date", "k"],
+                      mode, stamps=False)
+        have = [tuple(x) for x in have.select("Date", "k", "Qty").collect()]
+        tables.upsert_months(spark, tmp + "/t", new, ["Date", "k"], mode=mode, run_ts=TS)
+    assert rows(tables.read_table(spark, tmp + "/t"), ["Date", "k", "Qty"]) == sorted(have)
+
+
+def test_batches_runs_and_snapshots(spark, tmp):
+    a, b = (spark.createDataFrame([x], "k string, Qty int") for x in (("a", 1), ("b", 2)))
+    for _ in range(2):  # a replayed batch replaces itself
+        tables.append_batch(a, tmp + "/log", 0)
+    tables.append_batch(b, tmp + "/log", 1)
+    log = spark.read.parquet(tmp + "/log")
+    assert rows(log, ["k", "Qty"]) == [("a", 1), ("b", 2)]
+    assert tables.read_run(spark, tmp + "/runs", "t") is None
+    tables.write_run(tmp + "/runs", TS, {"t": a, "u": a})
+    # a run that is not listed, as after a crash, is not seen
+    tables.dynamic_overwrite(b.withColumn("run", F.lit("2026-04-08 00:00:00")), tmp + "/runs/t", "run")
+    assert rows(tables.read_run(spark, tmp + "/runs", "t"), ["k"]) == [("a",)]
+    tables.write_run(tmp + "/runs", dt.datetime(2026, 4, 8), {"t": b, "u": b})
+    assert [rows(tables.read_run(spark, tmp + "/runs", t), ["k"]) for t in "tu"] == [[("b",)], [("b",)]]
+    assert rows(tables.read_run(spark, tmp + "/runs", "t", TS), ["k"]) == [("a",)]
+    for day, df in (("2026-04-07", a), ("2026-04-08", log), ("2026-04-08", log)):
+        snap = tables.snapshot_all({"t": df.select("k"), "log": log}, tmp + "/backup", day)
+    assert rows(snap, ["table_name", "records"]) == [("log", 2), ("t", 2)]
+    assert rows(spark.read.parquet(tmp + "/backup/t").groupBy("snapshot_date").count(), ["count"]) == [(1,), (2,)]
 
 
 def test_validate_and_duplicate_policies(spark):
