@@ -1,16 +1,16 @@
 """Accounting XML exports.
 
 Exports come as UTF-16 (with or without BOM) or UTF-8, sometimes with
-character references that XML forbids (``&#4;``). Plan per file: read the
-bytes (``binaryFile``), ``decode`` with the declared charset, strip invalid
-references (S10), cut the document into its repeated elements with
-``regexp_extract_all`` and parse each element with ``from_xml`` and an
-all-text schema (numbers are parsed by our own rules afterwards). After the
-split, elements are independent rows, so parsing and everything after it
-run in parallel.
-
-``from_xml`` returns NULL fields instead of failing on broken markup, so
-every reader also reports how many elements did not parse.
+character references that XML forbids (``&#4;``). ``split_elements`` reads them
+with Spark's text source, whose records end at the repeated element's end tag
+instead of at a line end: a file is cut into as many splits as any text file, and
+a record is as large as one element, however large the file. Records are decoded with the
+declared charset, stripped of invalid references (S10) and parsed one by one with
+``from_xml`` and an all-text schema (numbers are parsed by our own rules afterwards).
+
+Elements that do not parse, or are never closed, are no lines of any reader:
+``rejects`` returns them with their place and the reason. The stock summary (S7) pairs
+two lists by position and so takes whole documents (``read_documents``).
 """
 
 from __future__ import annotations
@@ -48,13 +48,56 @@ def clean_xml_text(c) -> Column:
     return F.regexp_replace(c if isinstance(c, Column) else F.col(c), INVALID_CHAR_REF, "")
 
 
+# an attribute value may hold '>' or '/'; a self-closing element ends at its own '/>'
+ATTRIBUTES = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?"""
+
+
+def _elements(text: Column, tag: str) -> Column:
+    """The elements of a text as an array: each from its opening tag up to its end, or to the next opening tag."""
+    whole = rf"<{tag}{ATTRIBUTES}/>|<{tag}{ATTRIBUTES}>(?:(?!<{tag}[\s/>]).)*?(?:</{tag}>|(?=<{tag}[\s/>])|\z)"
+    return F.regexp_extract_all(text, F.lit("(?s)" + whole), 0)
+
+
 def elements(docs: DataFrame, tag: str) -> DataFrame:
     """Every ``<tag ...>...</tag>`` element of the documents, one per row,
     with its position in the file."""
-    # an attribute value may hold '>' or '/'; a self-closing element ends at its own '/>'
-    attrs = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?"""
-    pat = rf"(?s)<{tag}{attrs}/>|<{tag}{attrs}>.*?</{tag}>"
-    return docs.select("file_path", F.posexplode(F.regexp_extract_all("doc", F.lit(pat), 0)).alias("pos", "xml"))
+    return docs.select("file_path", F.posexplode(_elements(F.col("doc"), tag)).alias("pos", "xml"))
+
+
+def split_elements(spark: SparkSession, path: str, tag: str, encoding: str = "UTF-16LE", pattern: str | None = None) -> DataFrame:
+    """(file_path, pos, xml): the elements of files of any size, read in splits.
+
+    ``pos`` rises in file order and is unique in a file: the split's first byte plus a row number, which is below the
+    split's size. UTF-16 without a named byte order is little-endian, as the exports are."""
+    charset = "UTF-16LE" if encoding.upper() == "UTF-16" else encoding
+    r = spark.read.option("lineSep", f"</{tag}>").option("encoding", charset)
+    if pattern:
+        r = r.option("pathGlobFilter", pattern)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    chunks = r.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), (F.col("_metadata.file_block_start") + row).alias("pos"),
+        F.concat(F.decode(F.col("value").cast("binary"), charset), F.lit(f"</{tag}>")).alias("text"))
+    # a record may also hold self-closing and unclosed elements before its own: they share its place
+    return chunks.select("file_path", "pos", F.explode(_elements(clean_xml_text("text"), tag)).alias("xml"))
+
+
+def _parsed(source: DataFrame, tag: str, schema: str) -> DataFrame:
+    """(file_path, pos, xml, v, reason): ``source`` has elements (``xml``) or documents (``doc``)."""
+    e = elements(source, tag) if "doc" in source.columns else source
+    read = e.withColumn("v", F.from_xml("xml", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+    closed = F.rlike("xml", F.lit(rf"(?s)(</{tag}>|^<{tag}{ATTRIBUTES}/>)$"))
+    reason = F.when(~closed, "not closed").when(F.col("v").isNull() | F.col("v._broken").isNotNull(), "not well-formed")
+    return read.withColumn("reason", reason)
+
+
+def _good(source: DataFrame, tag: str, schema: str) -> DataFrame:
+    return _parsed(source, tag, schema).where("reason is null").drop("reason", "xml")
+
+
+def rejects(source: DataFrame, tag: str = "VOUCHER") -> DataFrame:
+    """(file_path, pos, xml, reason) of the elements that no reader gives lines of because they do not parse."""
+    return _parsed(source, tag, VOUCHER_SCHEMA if tag == "VOUCHER" else PRICE_SCHEMA).where("reason is not null").select(
+        "file_path", "pos", "xml", "reason")
 
 
 ITEM_FIELDS = "STOCKITEMNAME string, ACTUALQTY string, BILLEDQTY string, RATE string, AMOUNT string"
@@ -90,9 +133,7 @@ def voucher_lines(docs: DataFrame, kind: str = "sales") -> DataFrame:
       from the first batch allocation;
     - ``purchase`` (S6): supplier = party, ``amount = abs(amount)``.
     """
-    v = elements(docs, "VOUCHER").select("file_path", "pos",
-                                         F.from_xml("xml", VOUCHER_SCHEMA).alias("v"))
-    v = v.select("file_path", F.col("pos").alias("voucher_pos"), "v.*")
+    v = _good(docs, "VOUCHER", VOUCHER_SCHEMA).select("file_path", F.col("pos").alias("voucher_pos"), "v.*")
     if kind == "daybook":
         v = v.filter(F.lower(_t("VOUCHERTYPENAME")) == "sales")
     items = v.select("*", F.posexplode_outer(F.col("`ALLINVENTORYENTRIES.LIST`")).alias("line_no", "it"))
@@ -164,7 +205,7 @@ def stock_summary(docs: DataFrame, balance: str = "closing") -> DataFrame:
 def price_list(docs: DataFrame) -> DataFrame:
     """Item x price list, first level entry of each list; items without
     a name or without a level list are skipped."""
-    it = elements(docs, "STOCKITEM").select("file_path", F.from_xml("xml", PRICE_SCHEMA).alias("s"))
+    it = _good(docs, "STOCKITEM", PRICE_SCHEMA).select("file_path", F.col("v").alias("s"))
     name = F.trim(F.coalesce(F.col("s._NAME"), F.lit("")))
     it = it.filter(name != "").select("file_path", name.alias("stock_item_name"),
                                       F.explode(F.col("s.FULLPRICELIST")).alias("fp"))
@@ -186,9 +227,9 @@ def price_list(docs: DataFrame) -> DataFrame:
 def stock_journal(docs: DataFrame, first_only: bool = False) -> DataFrame:
     """S9: "in" entries of stock-journal vouchers (the reference read the
     first voucher only; ``first_only=True`` keeps that)."""
-    v = elements(docs, "VOUCHER").select("file_path", "pos", F.from_xml("xml", JOURNAL_SCHEMA).alias("v"))
+    v = _good(docs, "VOUCHER", JOURNAL_SCHEMA)
     if first_only:
-        v = v.filter(F.col("pos") == 0)
+        v = v.join(v.groupBy("file_path").agg(F.min("pos").alias("pos")), ["file_path", "pos"], "left_semi")
     e = v.select("file_path", F.col("pos").alias("voucher_pos"), "v.*",
                  F.posexplode(F.col("v.`INVENTORYENTRIESIN.LIST`")).alias("line_no", "it"))
     batch = F.get(F.col("it.`BATCHALLOCATIONS.LIST`"), 0)
@@ -206,10 +247,3 @@ def stock_journal(docs: DataFrame, first_only: bool = False) -> DataFrame:
                     F.coalesce(F.trim(F.col("it.AMOUNT")).try_cast("double"), F.lit(0.0)).alias("amount"),
                     F.coalesce(F.trim(batch["GODOWNNAME"]), F.lit("")).alias("godown"),
                     F.coalesce(F.trim(batch["BATCHNAME"]), F.lit("")).alias("batch_name"))
-
-
-def unparsed_count(docs: DataFrame, tag: str = "VOUCHER") -> DataFrame:
-    """Elements whose parse came back empty (``from_xml`` does not raise)."""
-    e = elements(docs, tag).select(F.from_xml("xml", VOUCHER_SCHEMA if tag == "VOUCHER" else PRICE_SCHEMA)
-                                   .alias("v"))
-    return e.agg(F.sum(F.when(F.to_json("v") == "{}", 1).otherwise(0)).alias("unparsed"))

@@ -106,6 +106,44 @@ def test_daybook_and_purchases_utf16_bom(spark, tmp):
     assert "supplier_name" in pur.columns
 
 
+def test_files_are_read_in_splits(spark, tmp):
+    one = VOUCHERS[VOUCHERS.index("<VOUCHER"):VOUCHERS.index("</DATA>")]
+    many = "".join(one.replace("<VOUCHERNUMBER>1<", f"<VOUCHERNUMBER>{10 + n}<") for n in range(400))
+    doc = VOUCHERS.replace(one, many)
+    for codec, charset, bom in (("utf-16-le", "UTF-16", True), ("utf-8", "UTF-8", False), ("utf-16-be", "UTF-16BE", False)):
+        p = os.path.join(tmp, codec + ".xml")
+        write(p, doc, encoding=codec, bom=bom)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        try:
+            got = xml.split_elements(spark, p, "VOUCHER", charset)
+            whole = xml.elements(xml.read_documents(spark, p, charset), "VOUCHER")
+            assert got.rdd.getNumPartitions() > 4
+            rows = sorted((r["pos"], r["xml"]) for r in got.collect())
+            assert [x for _, x in rows] == [r["xml"] for r in whole.orderBy("pos").collect()] and len({p for p, _ in rows}) == len(rows) == 800
+            lines = xml.voucher_lines(got, "sales")
+            plain = lambda df: sorted(tuple(r)[3:] for r in df.collect())
+            assert plain(lines) == plain(xml.voucher_lines(whole, "sales")) and lines.count() == 1200
+            assert xml.stock_journal(got.withColumn("xml", F.regexp_replace("xml", "ALLINVENTORYENTRIES", "INVENTORYENTRIESIN")),
+                                     first_only=True).select("voucher_number").distinct().collect() == [("10",)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_broken_vouchers_are_reported(spark, tmp):
+    good = "<VOUCHER><DATE>20260407</DATE><VOUCHERNUMBER>{}</VOUCHERNUMBER><ALLINVENTORYENTRIES.LIST><STOCKITEMNAME>A" \
+           "</STOCKITEMNAME></ALLINVENTORYENTRIES.LIST></VOUCHER>"
+    broken = "<VOUCHER><DATE>20260407<VOUCHERNUMBER>2</VOUCHERNUMBER></VOUCHER>"
+    unclosed = "<VOUCHER><VOUCHERNUMBER>3</VOUCHERNUMBER>"
+    p = os.path.join(tmp, "v.xml")
+    write(p, "<E>" + good.format(1) + broken + good.format(4) + unclosed + good.format(5) + "<VOUCHER/>" + unclosed + "</E>")
+    for source in (xml.split_elements(spark, p, "VOUCHER", "UTF-8"), xml.read_documents(spark, p, "UTF-8")):
+        assert sorted(r["voucher_number"] for r in xml.voucher_lines(source).collect()) == ["1", "4", "5"]
+        bad = sorted((r["reason"], r["xml"][:30]) for r in xml.rejects(source).collect())
+        assert [r for r, _ in bad] == ["not closed", "not well-formed", "not well-formed"] or [r for r, _ in bad] == [
+            "not closed", "not closed", "not well-formed"]
+        assert all(x.startswith("<VOUCHER>") for _, x in bad)
+
+
 def test_stock_summary_positional_pairs(spark, tmp):
     doc = ("<ENVELOPE><DSPACCNAME><DSPDISPNAME>ROYAL STAG 750 - ML</DSPDISPNAME></DSPACCNAME>"
            "<DSPSTKINFO><DSPSTKCL><DSPCLQTY>12 NOS</DSPCLQTY><DSPCLRATE>1,000.00</DSPCLRATE>"
