@@ -92,13 +92,13 @@ def z12e(d):
 
 @register("z12_brand_next_day")
 def z12(d):
-    """Next-day forecast per eligible brand from one pooled model
+    """Next-day forecast per eligible brand, each from a model of its own, all in one job
     (the reference trained one model per brand in a driver loop)."""
     s, table = _brand_tables(d)
     ok = forecast.eligible_series(d.daily_sales(), table, "Brand").select("Brand")
     table = table.join(ok, "Brand", "left_semi")
-    model = forecast.train_forest(table, **forecast.BRAND_FOREST)
-    return forecast.recursive_forecast(s.join(ok, "Brand", "left_semi"), model, 1, keys=["Brand"]).drop("step")
+    models = forecast.brand_models(table, ["Brand"])
+    return forecast.brand_forecast(s.join(ok, "Brand", "left_semi"), models, 1, ["Brand"]).drop("step")
 
 
 @register("z13_yearly_projection")
