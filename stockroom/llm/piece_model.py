@@ -5,13 +5,14 @@ and trainer settings are read from the wire format directly and a tokenizer is
 rebuilt from them: the normaliser (its character map, white-space rules, and
 the metaspace marker for blanks and the dummy prefix), the model (unigram
 scores, or merges in order of score for a BPE model) with byte fallback.
-Decoding joins the bytes that the pieces stand for. Batches are encoded by several threads. Parity is verified for
-every text against the sentencepiece library; where the two ever differ the
-row is marked and has the library's ids, so ids are always the model's own.
+Decoding joins the bytes that the pieces stand for. Batches are encoded by several threads.
 
 A piece never has the marker after another character (this is checked), so
-ids do not depend on what lies beyond such a boundary, and long texts are
-encoded in parts cut there: memory is bounded by a part, not by a text.
+no piece spans two words (each a run of markers and what follows), and a text's ids are its
+words' ids. Words are encoded once and remembered, up to a bound in characters. Parity
+is verified for every word of every text against the sentencepiece library; ids
+are the rebuilt tokenizer's. Where the two ever differ the row is marked and has the
+library's ids, so ids are always the model's own.
 
 Defined cases: a null text is empty; an empty text has no ids; rows with a
 null doc_id are left out; repeated rows are encoded each; an empty table gives
@@ -41,8 +42,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-PART = 1 << 15
 BATCH = 1 << 19
+CACHED_CHARS = 1 << 22  # characters of words that a task remembers
+LONG = 64  # words above so many characters are not remembered
+JOINED = 500  # new words encoded as one text
 THREADS = 2
 
 
@@ -148,7 +151,7 @@ class Pieces:
         if m.collapse_blanks:
             steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ | $"), "")]
         self.normaliser = normalizers.Sequence(steps)
-        self._cut = re.compile(f"[^{MARK}](?={MARK})")
+        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall  # as the tokenizer cuts
         self._steps = bool(steps)
         self._bytes = [self._of(p, t) for p, t in zip(m.pieces, m.types)]
 
@@ -161,27 +164,11 @@ class Pieces:
             text = " " + text
         return text.replace(" ", MARK) if self.model.mark_blanks else text
 
-    def _parts(self, text: str) -> list[str]:
-        out, at = [], 0
-        while len(text) - at > PART:
-            m = self._cut.search(text, at + PART)
-            if m is None:
-                break
-            out.append(text[at:m.end()])
-            at = m.end()
-        return [*out, text[at:]] if text else []
-
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self._parts(self.normalise(t)) for t in texts]
-        flat, ids = [p for own in parts for p in own], []
-        for i in range(0, len(flat), 64):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(flat[i:i + 64], add_special_tokens=False)]
-        out, at = [], 0
-        for own in parts:
-            got = ids[at:at + len(own)]
-            out.append(got[0] if len(got) == 1 else [*chain.from_iterable(got)])
-            at += len(own)
-        return out
+        return self.encode_words([self.normalise(t) for t in texts])
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     @staticmethod
     def _of(piece: str, kind: int) -> bytes:
@@ -198,6 +185,74 @@ class Pieces:
         return b"".join(map(self._bytes.__getitem__, ids)).decode(errors="one-byte")[skip:]
 
 
+class WordCache:
+    """Encodes texts word by word; words that come again are not encoded again.
+
+    A word that was not met yet is encoded by the rebuilt tokenizer and by the library, and its ids
+    are compared. No piece spans two words, so texts whose words agree agree as a whole."""
+
+    def __init__(self, pieces: Pieces, library, threads: int = THREADS):
+        self.pieces, self.library, self.threads = pieces, library, threads
+        self.known: dict[str, bytes] = {}  # a word's ids as 32-bit numbers
+        self.size = 0
+        self.differ: set[str] = set()
+        self.unknown = pieces.model.unknown
+        self.lengths = np.array([len(b) for b in pieces._bytes], np.int64)
+        self.simple = re.compile(f"{MARK}[^{MARK}]+").fullmatch
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """(ids, parity) of each text: the rebuilt tokenizer's ids, but the library's where the two differ."""
+        cut = [self.pieces.words(self.pieces.normalise(t)) for t in texts]
+        if self.size > CACHED_CHARS:
+            self.known, self.size, self.differ = {}, 0, set()
+        seen = set(chain.from_iterable(cut))
+        new = list(seen.difference(self.known))
+        self._learn([w for w in new if len(w) <= LONG and self.simple(w)], [w for w in new if len(w) > LONG or not self.simple(w)])
+        find = self.known.__getitem__
+        out = []
+        for text, words in zip(texts, cut):
+            good = not self.differ or self.differ.isdisjoint(words)
+            ids = b"".join(map(find, words)) if good else np.array(self.library.encode(text), "<i4").tobytes()
+            out.append((ids, good))
+        for w in new:
+            if len(w) > LONG:  # hardly comes again
+                del self.known[w]
+                self.differ.discard(w)
+            else:
+                self.size += len(w)
+        return out
+
+    def _library(self, words: list[str]) -> list[list[int]]:
+        """The library's ids; it puts the first marker itself, but none before nothing: runs of markers follow an x."""
+        drop = 1 if self.pieces.model.dummy_prefix else 0
+        bare = [not w.strip(MARK) for w in words]
+        texts = ["x" * b + w.replace(MARK, " ")[0 if b else drop:] for w, b in zip(words, bare)]
+        before = len(self.library.encode("x")) if any(bare) else 0
+        return [ids[before * b:] for ids, b in zip(self.library.encode(texts, num_threads=self.threads), bare)]
+
+    def _learn(self, simple: list[str], others: list[str]) -> None:
+        # words of one marker and text may stand next to each other in any order: many are encoded as one text
+        groups = [simple[i:i + JOINED] for i in range(0, len(simple), JOINED)]
+        for at in range(0, len(groups), 16):
+            some = groups[at:at + 16]
+            joined = ["".join(g) for g in some]
+            for group, own, want in zip(some, self.pieces.encode_words(joined), self._library(joined)):
+                ids = np.array(own, "<i4")
+                ends = np.cumsum([len(w.encode()) - 2 for w in group])  # a marker stands for one byte
+                total = np.cumsum(self.lengths[ids])
+                if own != want or self.unknown in own or total[-1] != ends[-1]:  # one by one
+                    others = others + group
+                    continue
+                stops = (4 * np.searchsorted(total, ends) + 4).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        if others:
+            for w, own, want in zip(others, self.pieces.encode_words(others), self._library(others)):
+                self.known[w] = np.array(own, "<i4").tobytes()
+                if own != want:
+                    self.differ.add(w)
+
+
 # As the library does, each byte that is no text becomes one replacement character.
 codecs.register_error("one-byte", lambda e: ("\ufffd", e.start + 1))
 
@@ -226,25 +281,17 @@ def _groups(texts: Iterator[str]) -> Iterator[list[str]]:
         yield group
 
 
-def _int_lists(ids: list[list[int]]) -> tuple[pa.Array, list[int]]:
-    """The lists as one array, and the crc32 of each."""
-    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-    values = np.fromiter(chain.from_iterable(ids), "<i4", offsets[-1])
-    crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), crc
-
-
 def encode(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
     """(doc_id, ids, ids_crc32, parity); crc32 is over little-endian 32-bit ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, own = load(model_path, threads), library(model_path)
+        cache = WordCache(load(model_path, threads), library(model_path), threads)
         for b in batches:
             at = 0
             for group in _groups((v.as_py() or "") for v in b.column(1)):
-                got, want = pieces.encode(group), own.encode(group, num_threads=threads)
-                parity = [g == w for g, w in zip(got, want)]
-                ids, crc = _int_lists(want)
-                yield pa.record_batch([b.column(0).slice(at, len(group)), ids, pa.array(crc, pa.int64()),
+                raw, parity = zip(*cache.encode(group))
+                offsets = np.cumsum([0, *map(len, raw)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                yield pa.record_batch([b.column(0).slice(at, len(group)), ids, pa.array([*map(zlib.crc32, raw)], pa.int64()),
                                        pa.array(parity)], names=["doc_id", "ids", "ids_crc32", "parity"])
                 at += len(group)
 

@@ -109,6 +109,34 @@ def brute_top(rows, is_query, k):
     return sorted(out)
 
 
+def test_words_encode_as_the_whole(monkeypatch):
+    own = piece_model.library(PIECES)
+    monkeypatch.setattr(piece_model, "CACHED_CHARS", 300)
+    monkeypatch.setattr(piece_model, "JOINED", 7)
+    cache = piece_model.WordCache(piece_model.load(PIECES), own)
+    r = random.Random(1)
+    bits = ["the", " ", "  ", "▁", "▁▁", "中", "é", "\n", "\t", "<0x41>", "<s>", "x" * 70, "\x00", "a▁", " ▁b", "", "ﬁ", "Ａ", "\u3000", "\xa0"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(1000)] + ["x" * 300_000, "中" * 100_000]
+    for i in range(0, len(texts), 50):
+        some = texts[i:i + 50]
+        assert [(np.frombuffer(a, "<i4").tolist(), good) for a, good in cache.encode(some)] == [(ids, True) for ids in own.encode(some)]
+        assert not any(len(w) > piece_model.LONG for w in cache.known)
+
+
+def test_a_word_that_differs_marks_its_texts():
+    own, cache = piece_model.library(PIECES), None
+
+    class Other(piece_model.Pieces):
+        def encode_words(self, words):
+            return [[5 if i == ids[-1] and "wrong" in w else i for i in ids] for w, ids in zip(words, super().encode_words(words))]
+
+    cache = piece_model.WordCache(Other(PIECES), own)
+    texts = ["all right", "this is wrong here", "right again"]
+    got = cache.encode(texts)
+    assert [good for _, good in got] == [True, False, True]
+    assert [np.frombuffer(a, "<i4").tolist() for a, _ in got] == own.encode(texts)
+
+
 @pytest.mark.parametrize("kind", ["dense", "sparse", "ties", "huge", "few"])
 def test_top_k_equals_brute_force(spark, monkeypatch, kind):
     r = random.Random(kind)
