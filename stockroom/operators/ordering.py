@@ -9,7 +9,7 @@ result is deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,14 +51,48 @@ def most_frequent(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return top_k(g, "count", k, [column])
 
 
-def page(df: DataFrame, page_no: int, page_size: int, order: list[str]) -> DataFrame:
+HEAP = 10_000  # rows that a top-k may keep to find a page
+RANGES = 256
+
+
+def _ranges(df: DataFrame, key: Column, n: int, ranges: int) -> list[tuple]:
+    """(range number, rows) of ``df`` cut into about ``ranges`` ranges of ``key`` by a sample, and the condition of a range.
+
+    The sample only places the cuts: rows are counted exactly, and equal keys never part."""
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    some = df.select(key.alias("k")).sample(min(1.0, 20 * ranges / n), seed=7).distinct().orderBy("k")
+    cuts = [r["k"] for r in some.collect()]
+    cuts = cuts[::max(1, len(cuts) // ranges)]
+    at = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(kind.fields, c)]) for c in cuts])
+    number = F.size(F.filter(at, lambda cut: cut <= key)) if cuts else F.lit(0)
+    counts = {r["i"]: r["n"] for r in df.groupBy(number.alias("i")).agg(F.count("*").alias("n")).collect()}
+    return [(number == i, counts[i]) for i in sorted(counts)]
+
+
+def page(df: DataFrame, page_no: int, page_size: int, order: list[str], heap: int = HEAP, ranges: int = RANGES) -> DataFrame:
     """T5: page ``page_no`` (1-based) of a totally ordered result, with the
-    total page count ``max(1, ceil(rows / size))`` as a scalar subquery."""
+    total page count ``max(1, ceil(rows / size))`` as a scalar subquery.
+
+    Up to ``heap`` rows are found by a top-k. A deeper page would need a heap of all rows before it; there, the rows are
+    cut into ranges of the order's keys and counted by range, and only the ranges that the page lies in are kept, again
+    and again until few rows are left before the page. Each round is one counting pass; nothing is sorted but the rest."""
     if page_no < 1 or page_size < 1:
         raise ValueError("page and size start at 1")
     total = df.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(page_size))).cast("int")).scalar()
-    return (df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
-            .withColumn("total_pages", total).withColumn("page", F.lit(page_no)))
+    skip, left, key = (page_no - 1) * page_size, df, F.struct(*order)
+    n = df.count() if skip + page_size > heap else 0
+    while skip + page_size > heap and skip < n:
+        before, kept, cond, first = 0, 0, F.lit(False), None
+        for own, rows in _ranges(left, key, n, ranges):
+            if before + rows > skip and before < skip + page_size:
+                first = before if first is None else first
+                cond, kept = cond | own, kept + rows
+            before += rows
+        if kept == n:  # one key holds more rows than a heap: they are in one range and tie
+            break
+        left, n, skip = left.where(cond), kept, skip - first
+    rows = left.limit(0) if n and skip >= n else left.orderBy(*order).offset(skip).limit(page_size)
+    return rows.withColumn("total_pages", total).withColumn("page", F.lit(page_no))
 
 
 def newest_first(df: DataFrame, date_col: str = "Date", tie_break: list[str] | None = None) -> DataFrame:

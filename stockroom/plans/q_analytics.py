@@ -18,6 +18,7 @@ BRAND, CATEGORY, SIZE = "Brand#13", "PROMO", 11
 RANGE_START, RANGE_END = "1996-01-01", "1996-12-31"
 LOW_STOCK_LEVEL = 60
 PAGE_NO, PAGE_SIZE = 3, 25
+DEEP_PAGE, DEEP_SIZE = 2500, 20
 TREND_DAYS = 30
 
 
@@ -259,6 +260,18 @@ def t05(d):
     return ordering.page(d.price_list(), PAGE_NO, PAGE_SIZE, ["Sl_No"])
 
 
+@register("t05_deep_page", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity,
+       CAST(GREATEST(1, CEIL((SELECT COUNT(*) FROM lineitem) / {DEEP_SIZE}.0)) AS INTEGER) AS total_pages, {DEEP_PAGE} AS page
+FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
+LIMIT {DEEP_SIZE} OFFSET {(DEEP_PAGE - 1) * DEEP_SIZE}""")
+def t05_deep(d):
+    """T5: a page far behind the first rows of the line items."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    rows = d.table("lineitem").select(*order[:-1], F.col("l_quantity").cast("double").alias("l_quantity"))
+    return ordering.page(rows, DEEP_PAGE, DEEP_SIZE, order)
+
+
 @register("t06_newest_first", with_ctes(f"""
 SELECT Date, CAST(SUM(Qty) AS BIGINT) AS total_qty FROM daily_sales GROUP BY Date""", "daily_sales"))
 def t06(d):

@@ -364,7 +364,27 @@ def i08(d):
     return inv.check_sales_file(d.date_keyed_stock(), d.daily_sales())
 
 
-@register("i09_sale_admission")
+# One step of the recursion admits or refuses the n-th row of every (product, date).
+@register("i09_sale_admission", with_ctes(f"""
+SELECT "row", Date, {P}, Qty, Available_Qty, status, reason, available_before, remaining_after FROM (
+  WITH RECURSIVE req AS (
+    SELECT CAST(l_shipdate AS DATE) AS Date, p_type AS Brand_Category, p_brand AS Brand, p_size AS Size_ML, CAST(l_quantity AS INT) AS Qty,
+           ROW_NUMBER() OVER (PARTITION BY l_shipdate, p_type, p_brand, p_size ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity,
+                              l_extendedprice, l_discount, l_tax) AS "row"
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F'),
+  asked AS (
+    SELECT r.*, CAST(COALESCE(op.b0, 0) + COALESCE(i.q, 0) AS BIGINT) AS Available_Qty FROM req r
+    LEFT JOIN opening op ON {JP('r', 'op')}
+    LEFT JOIN (SELECT {P}, Date, SUM(Qty) AS q FROM incoming_stock GROUP BY {P}, Date) i ON {JP('r', 'i')} AND r.Date = i.Date),
+  run AS (
+    SELECT *, Qty > 0 AND Qty <= Available_Qty AS ok, Available_Qty AS have FROM asked WHERE "row" = 1
+    UNION ALL
+    SELECT a.*, a.Qty > 0 AND a.Qty <= r.have - CASE WHEN r.ok THEN r.Qty ELSE 0 END, r.have - CASE WHEN r.ok THEN r.Qty ELSE 0 END
+    FROM run r JOIN asked a ON {JP('a', 'r')} AND a.Date = r.Date AND a."row" = r."row" + 1)
+  SELECT *, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status,
+         CASE WHEN Qty <= 0 THEN 'quantity must be greater than 0' WHEN NOT ok THEN 'insufficient stock' END AS reason,
+         CASE WHEN ok THEN have END AS available_before, CASE WHEN ok THEN have - Qty END AS remaining_after FROM run) x""",
+    "opening", "incoming_stock"))
 def i09(d):
     """Greedy per-row admission of the sales file in row order."""
     return inv.admit_sales(d.sales_requests(), d.monthly_stock(), d.incoming_stock())
