@@ -168,15 +168,17 @@ def ordered_inventory(events: DataFrame, delay: str) -> DataFrame:
     on all events but the late ones. Rows of kind ``tick`` (with a null key) only move the watermark on."""
     marked = events.withWatermark("ts", delay)
     spread, types = _key_columns(marked)
-    schema = ORDERED_SCHEMA.replace("key long", ", ".join(f"{n} {t}" for n, t in types.items()), 1)
+    # Keys travel as text: pandas would turn a batch's whole numbers into fractions where one of them is null.
+    schema = ORDERED_SCHEMA.replace("key long", ", ".join(f"{n} string" for n in types), 1)
     place = F.when(F.col("kind") == "receipt", KIND_ORDER["receipt"]).otherwise(KIND_ORDER["sale"])
     timed = spread.withColumn("us", F.unix_micros("ts")).withColumn("place", place).withColumn(
         "qty", F.when(F.col("kind") == TICK, 0).otherwise(F.col("qty")))
     # Spark would drop late rows before the processor sees them. The time it looks at is empty, which is never late;
     # the watermark is taken from the true one above, and the processor compares that itself.
     timed = timed.withColumn("ts", F.lit(None).cast("timestamp").alias("ts", metadata=marked.schema["ts"].metadata))
-    out = timed.groupBy(*types).transformWithStateInPandas(OrderedStock([*types]), schema, "append", "eventTime")
-    return _with_key(out, events, types)
+    texts = timed.withColumns({n: F.col(n).cast("string") for n in types})
+    out = texts.groupBy(*types).transformWithStateInPandas(OrderedStock([*types]), schema, "append", "eventTime")
+    return _with_key(out.withColumns({n: F.col(n).cast(t) for n, t in types.items()}), events, types)
 
 
 def _with_key(out: DataFrame, events: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -300,8 +302,9 @@ def start(spark: SparkSession, receipts_path: str, sales_path: str, schema: str,
     if delay is not None:
         if ticks_path:
             ticks = spark.readStream.schema("ts timestamp").parquet(ticks_path)
-            shape = {c: F.lit(None).cast(events.schema[c].dataType) for c in ("key", "event_id", "qty")}
-            events = events.unionByName(ticks.select("ts", F.lit(TICK).alias("kind"), *[v.alias(c) for c, v in shape.items()]))
+            no_key = F.lit(None).cast(events.schema["key"].dataType)
+            events = events.unionByName(ticks.select("ts", F.lit(TICK).alias("kind"), no_key.alias("key"), F.lit(0).cast("long").alias("event_id"),
+                                                     F.lit(0).cast("long").alias("qty")))
         out = ordered_inventory(events, delay)
     else:
         out = realtime_inventory(events)

@@ -49,10 +49,10 @@ def test_files_out_of_order_give_the_replay(spark, tmp):
     """One file per trigger; within the delay the order of arrival does not matter, beyond it events are rejects."""
     t0 = dt.datetime(2026, 4, 1)
     at = lambda m: t0 + dt.timedelta(minutes=m)
-    row = lambda m, kind, q, brand="A": (m, at(m), brand, 750, kind, q)
+    row = lambda m, kind, q, brand="A": (m, at(m), brand, None if brand == "C" else 750, kind, q)
     files = [[row(12, "sale", 4), row(5, "sale", 3), row(14, "receipt", 1, "B")], [row(3, "receipt", 5), row(20, "sale", 9), row(15, "sale", 1, "B")],
              [row(1, "receipt", 50), row(18, "receipt", 8), row(40, "sale", 2), row(41, "sale", 0)],
-             [row(2, "sale", 1, "B"), row(39, "receipt", 3)]]
+             [row(2, "sale", 1, "B"), row(39, "receipt", 3), row(38, "receipt", 2, "C")]]
     src, ticks, out, ck = (f"{tmp}/{n}" for n in ("in", "ticks", "out", "ck"))
     spark.createDataFrame([], "ts timestamp").write.parquet(ticks)
 
