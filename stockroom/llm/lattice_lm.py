@@ -14,17 +14,19 @@ the numbers of words seen once and twice), give the freed mass to the lattice:
     P(w) = (max(c - d, 0) + d V B(w)) / N
 
 which sums to one over all words and the end. A document's score is the log10
-of the product over its words and one end.
+of the product over its words and one end; its lattice score is the log10 of
+the product of its words' marginals under the existing scores alone, with
+nothing learnt from the corpus.
 
 Work on Spark: documents are folded into blocks of bounded size, each with its
-own word list and the documents as places in it. Word lists meet by word in
-one shuffle, which sums training counts over all blocks and runs the lattice
-once per word; the numbers go back to their blocks, where documents are added
-up. So a row moves once per block and word, not once per token, and no word,
-however frequent, has more rows than there are blocks.
-
-Defined cases: a null or empty text is one end; rows with a null doc_id are
-left out; repeated rows are counted and scored each; without training
+own word list and the documents as places in it. Training counts are summed by
+word, combined before the shuffle, and the lattice runs once per word of that
+table. A join by word, whose hot words Spark's adaptive plan splits, takes the
+numbers back to the blocks, where documents are added up. So a row moves once
+per block and word, not once per token.
+
+Defined cases: a null or empty text is one end and has the lattice score 0;
+rows with a null doc_id are left out; repeated rows are counted and scored each; without training
 documents all counts are zero and the lattice alone scores; an empty table
 gives no rows.
 """
@@ -41,7 +43,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import save
 from .piece_model import MARK, NORMAL, UNIGRAM, USER_DEFINED, parse_model
@@ -51,7 +52,6 @@ END_SHARE = 1e-3  # the base distribution's probability of an end
 BYTE_SHARE = 1e-4  # mass of the byte pieces, which no vocabulary scores usefully
 ROUNDS = 2
 PRIOR_USES = 100.0  # the existing scores count as so many uses of pieces
-LIFT = 2.0
 NEVER = float("-inf")
 
 
@@ -70,7 +70,9 @@ class Lattice:
         # A unigram score is a log probability. A BPE score is the negative rank; frequencies fall as its inverse.
         raw = np.array(list(usable.values()))
         self.weigh(np.exp(raw) if m.kind == UNIGRAM else 1 / (2.7 - raw))
+        self.given = self.logs
         self.prefixes = prefix_table(self.pieces)
+        self.longest = max(map(len, self.pieces))
         self.spelt: dict[str, float] = {}
 
     def weigh(self, weights: np.ndarray) -> None:
@@ -79,65 +81,65 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.logs = [*np.log(self.share).tolist(), math.log(BYTE_SHARE / 256)]
 
-    def arcs(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(from, to, piece or -1, log probability) in order of the start; any character is also an arc of its byte pieces."""
-        out, n, find, logs, spelt = [], len(text), self.prefixes.get, self.logs, self.spelt
-        for i, c in enumerate(text):
+    def spell(self, c: str) -> float:
+        """Log probability of a character's byte pieces."""
+        if c not in self.spelt:
+            self.spelt[c] = len(c.encode()) * self.logs[-1]
+        return self.spelt[c]
+
+    def forward(self, text: str, logs: list[float]) -> list[float]:
+        """For each place of ``text``, the log of the summed probability of all segmentations up to it.
+
+        Arcs wait at their ends for as long as the longest piece; any character is also an arc of its byte pieces."""
+        n, find, spell, exp, log = len(text), self.prefixes.get, self.spell, math.exp, math.log
+        waiting = [[] for _ in range(self.longest + 1)]
+        alpha, size = [0.0] * (n + 1), len(waiting)
+        for i in range(n + 1):
+            met = waiting[i % size]
+            if i:
+                a = top = max(met)
+                if len(met) > 1 and top > NEVER:
+                    a = top + log(sum([exp(x - top) for x in met]))
+                alpha[i] = a
+                met.clear()
+                if i == n:
+                    break
+            else:
+                a = 0.0
             for j in range(i + 1, n + 1):
                 k = find(text[i:j])
                 if k is None:
                     break
                 if k >= 0:
-                    out.append((i, j, k, logs[k]))
-            if c not in spelt:
-                spelt[c] = len(c.encode()) * logs[-1]
-            out.append((i, i + 1, -1, spelt[c]))
-        return out
-
-    def word(self, word: str) -> float:
-        """Log of the marginal probability of the marker and ``word``: forward recursion in log space."""
-        text, exp, log1p = MARK + word, math.exp, math.log1p
-        alpha = [NEVER] * (len(text) + 1)
-        alpha[0] = 0.0
-        for i, j, _, x in self.arcs(text):
-            x += alpha[i]
-            old = alpha[j]
-            if old == NEVER:
-                alpha[j] = x
-            elif old >= x:
-                alpha[j] = old + log1p(exp(x - old))
-            else:
-                alpha[j] = x + log1p(exp(old - x))
-        return alpha[-1]
+                    waiting[j % size].append(a + logs[k])
+            if i < n:
+                waiting[(i + 1) % size].append(a + spell(text[i]))
+        return alpha
+
+    def word(self, word: str, logs: list[float] | None = None) -> float:
+        """Log of the marginal probability of the marker and ``word``, under ``logs`` or the weights as set."""
+        return self.forward(MARK + word, logs or self.logs)[-1]
 
     def expect(self, word: str, into: list[float] | np.ndarray) -> None:
-        """Add each piece's expected number of uses in ``word`` to ``into``."""
-        text, exp = MARK + word, math.exp
-        arcs, n = self.arcs(text), len(text)
-        # the lift by a constant per character cancels out; it keeps most words in the range of doubles
-        lifted = [(i, j, k, exp(x + LIFT * (j - i))) for i, j, k, x in arcs]
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        alpha[0] = beta[n] = 1.0
-        for i, j, _, p in lifted:
-            alpha[j] += alpha[i] * p
-        total = alpha[n]
-        if 1e-280 < total < 1e280:
-            # an arc's own use is known once the recursion from the end has passed its end
-            for i, j, k, p in reversed(lifted):
-                p *= beta[j]
-                beta[i] += p
-                if k >= 0:
-                    into[k] += alpha[i] * p / total
-            return
-        log_a, log_b = np.full(n + 1, NEVER), np.full(n + 1, NEVER)
-        log_a[0] = log_b[n] = 0.0
-        for i, j, _, x in arcs:
-            log_a[j] = np.logaddexp(log_a[j], log_a[i] + x)
-        for i, j, _, x in reversed(arcs):
-            log_b[i] = np.logaddexp(log_b[i], log_b[j] + x)
-        for i, j, k, x in arcs:
-            if k >= 0:
-                into[k] += math.exp(log_a[i] + x + log_b[j] - log_a[n])
+        """Add each piece's expected number of uses in ``word`` to ``into``.
+
+        From the end backwards, a place passes the share of segmentations that go through it on to the arcs that end
+        there, in proportion to their part of its sum; so nothing leaves the range of doubles."""
+        text, logs, find, spell, exp = MARK + word, self.logs, self.prefixes.get, self.spell, math.exp
+        n, alpha = len(text), self.forward(text, logs)
+        through = [0.0] * n + [1.0]
+        for i in range(n - 1, -1, -1):
+            a = alpha[i]
+            share = through[i + 1] and through[i + 1] * exp(a + spell(text[i]) - alpha[i + 1])
+            for j in range(i + 1, n + 1):
+                k = find(text[i:j])
+                if k is None:
+                    break
+                if k >= 0 and through[j]:
+                    p = through[j] * exp(a + logs[k] - alpha[j])
+                    share += p
+                    into[k] += p
+            through[i] = share
 
 
 def prefix_table(pieces: dict[str, int]) -> dict[str, int]:
@@ -193,12 +195,11 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(folded: DataFrame) -> DataFrame:
-    """(word, block, place, c, first) for each block's words: c over all blocks, ``first`` once per word."""
-    listed = folded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    own = Window.partitionBy("word").orderBy("block")
-    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return listed.select(F.col("w.words").alias("word"), "block", "place", F.col("w.counts").alias("n")).select(
-        "word", "block", "place", F.sum("n").over(whole).alias("c"), (F.row_number().over(own) == 1).alias("first"))
+    """(word, c): each distinct word of all blocks with its training count."""
+    listed = folded.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    counted = listed.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("c"))
+    # A set number of partitions, as few bytes of words are many seconds of lattices.
+    return counted.repartition(int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -230,33 +231,30 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.nd
 
 
 def marginals(words: DataFrame, vocabulary: str, weights: np.ndarray) -> DataFrame:
-    """(block, place, c, marginal): the log marginal of each word; rows of one word lie together and share it."""
+    """(word, c, marginal, given): the log marginal of each word under ``weights`` and under the existing scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, last, value = load(vocabulary), None, 0.0
+        lattice = load(vocabulary)
         lattice.weigh(weights)
         for b in batches:
-            out = []
-            for word in b.column(0).to_pylist():
-                if word != last:
-                    last, value = word, lattice.word(word)
-                out.append(value)
-            yield pa.record_batch([b.column(1), b.column(2), b.column(3), pa.array(out, pa.float64())],
-                                  names=["block", "place", "c", "marginal"])
+            found = b.column(0).to_pylist()
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([lattice.word(w) for w in found], pa.float64()),
+                                   pa.array([lattice.word(w, lattice.given) for w in found], pa.float64())],
+                                  names=["word", "c", "marginal", "given"])
 
-    return words.select("word", "block", "place", "c").mapInArrow(run, "block long, place int, c long, marginal double")
+    return words.select("word", "c").mapInArrow(run, "word string, c long, marginal double, given double")
 
 
 def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
+    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score, lattice_score) for each row of ``docs``.
 
     ``train`` is a condition on doc_id; ``vocabulary`` the path of a SentencePiece model."""
     folded = save(blocks(docs.where("doc_id is not null").select("doc_id", "text", train.alias("train"))), "zstd")
     words = save(word_counts(folded), "zstd")
     ends, in_docs = folded.select(F.explode(F.arrays_zip("train", "n_tokens")).alias("d")).agg(
         F.count_if(F.col("d.train")), F.coalesce(F.sum(F.when(F.col("d.train"), F.col("d.n_tokens"))), F.lit(0))).first()
-    types, once, twice = words.where("first and c > 0").agg(F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    types, once, twice = words.agg(*[F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
     n, v = in_docs, types + (ends > 0)
-    weights = fit_pieces(words.where("first and c > 0").select("word"), vocabulary)
+    weights = fit_pieces(words.where("c > 0").select("word"), vocabulary)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
     def logs(c: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -265,11 +263,11 @@ def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFram
         return np.log10((np.maximum(c - discount, 0) + discount * v * base) / n)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = {k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")}
+        got = {k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score", "lattice_score")}
         place = right["place"].to_numpy()
         c = np.zeros(len(place), np.float64)
-        log_marginal = np.zeros(len(place))
-        c[place], log_marginal[place] = right["c"].to_numpy(), right["marginal"].to_numpy()
+        log_marginal, given = np.zeros(len(place)), np.zeros(len(place))
+        c[place], log_marginal[place], given[place] = (right[k].to_numpy() for k in ("c", "marginal", "given"))
         plain = np.log10(c + 0.5)
         # a marginal too small for a double still counts in full where the word has no count
         with np.errstate(divide="ignore"):
@@ -290,10 +288,15 @@ def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFram
             got["n_known"] += (add((c > 0).astype(float)).astype(np.int64) + (ends > 0)).tolist()
             got["base_score"] += (add(plain) + end_plain - tokens * norm).tolist()
             got["score"] += (add(full) + end_full).tolist()
+            got["lattice_score"] += (add(given) / math.log(10)).tolist()
         return pa.table({**got, "train_tokens": [n] * len(got["doc_id"])}, schema=pa.schema([
             ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-            ("base_score", pa.float64()), ("score", pa.float64()), ("train_tokens", pa.int64())]))
-
-    docs_side = folded.drop("words", "counts").groupBy("block")
-    return docs_side.cogroup(marginals(words, vocabulary, weights).groupBy("block")).applyInArrow(
-        run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+            ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64()), ("train_tokens", pa.int64())]))
+
+    # A partition's distinct words are the small side; hashing them spares a sort of all blocks' words.
+    known = save(marginals(words, vocabulary, weights), "zstd").hint("shuffle_hash")
+    listed = folded.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "word"))
+    told = listed.join(known, "word").select("of_block", "place", "c", "marginal", "given")
+    return folded.drop("words", "counts").groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(
+        run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, "
+             "lattice_score double, train_tokens long")

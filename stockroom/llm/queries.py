@@ -124,7 +124,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), PIECES, train=fold(F.col("doc_id")) != 1)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
-                         "score")
+                         "score", "lattice_score")
 
 
 @query()

@@ -309,7 +309,7 @@ def test_lattice_sums_all_segmentations():
     for w in ["a", "the", "thering", "naïve", "漢字x", "\U0001f600", "zzzz"]:
         assert math.isclose(lattice.word(w), brute_lattice(lattice, w), rel_tol=1e-9)
     # expected uses: each character of the word lies in one piece
-    for w in ["thering", "x" * 2000]:
+    for w in ["thering", "x" * 2000, "字かな" * 500]:
         into = np.zeros(len(lattice.pieces))
         lattice.expect(w, into)
         used = sum(into[i] * len(p) for p, i in lattice.pieces.items())
@@ -351,6 +351,64 @@ def test_scores_equal_brute_force(spark, monkeypatch, block):
     assert by[46] < by[0] and by[56] < -1000
 
 
+def test_language_model_scores_equal_brute_force(spark, monkeypatch):
+    """Both scores from their formulas, the lattice by recursion over all segmentations."""
+    monkeypatch.setattr(lattice_lm, "BLOCK_TOKENS", 30)
+    monkeypatch.setattr(lattice_lm, "ROUNDS", 0)
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["The", "cat", "sat", "mat", "Ä", "on" + "xyz"[i % 3]]) for _ in range(r.randint(0, 7)))) for i in range(25)]
+    rows += [(31, "unseen wörds cat"), (36, None), (41, "漢字 \U0001f600")]
+    texts = {i: (t or "").encode().lower().decode().split() for i, t in rows}
+    count = Counter(w for i, t in texts.items() if i % 5 != 1 for w in [*t, None])
+    n, v = sum(count.values()), len(count)
+    once, twice = (sum(c == k for w, c in count.items() if w is not None) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+    lattice = lattice_lm.Lattice(PIECES)
+    start = {w: brute_lattice(lattice, w) for w in set().union(*texts.values())}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = lattice_lm.fit_pieces(df.select(F.explode(F.split("text", " ")).alias("word")), PIECES, 0)
+    assert np.allclose(fitted / fitted.sum() * (1 - lattice_lm.BYTE_SHARE), lattice.share)
+
+    def p(w):
+        base = lattice_lm.END_SHARE if w is None else (1 - lattice_lm.END_SHARE) * math.exp(start[w])
+        return (max(count[w] - d, 0) + d * v * base) / n
+
+    monkeypatch.setattr(lattice_lm, "fit_pieces", lambda words, path: fitted)
+    got = {x.doc_id: x for x in score_rows(spark, rows)}
+    for i, t in texts.items():
+        assert math.isclose(got[i].score, sum(math.log10(p(w)) for w in [*t, None]), rel_tol=1e-9)
+        assert math.isclose(got[i].lattice_score, sum(start[w] for w in t) / math.log(10), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_fitted_pieces_equal_expectation_by_enumeration(spark):
+    lattice = lattice_lm.Lattice(PIECES)
+
+    def uses(text):
+        """Probability of each segmentation of ``text`` with its pieces."""
+        if not text:
+            return [(1.0, Counter())]
+        out = [(math.exp(lattice.spell(text[0])) * p, c) for p, c in uses(text[1:])]
+        for j in range(1, len(text) + 1):
+            k = lattice.pieces.get(text[:j])
+            if k is not None:
+                out += [(lattice.share[k] * p, c + Counter([k])) for p, c in uses(text[j:])]
+        return out
+
+    words, start = ["there", "cats", "漢x", "aaa"], lattice.share.copy()
+    weights = start
+    for _ in range(2):
+        total = lattice_lm.PRIOR_USES * start
+        for w in words:
+            ways = uses("▁" + w)
+            for p, c in ways:
+                for k, times in c.items():
+                    total[k] += times * p / sum(q for q, _ in ways)
+        weights = total
+        lattice.weigh(weights)
+    got = lattice_lm.fit_pieces(spark.createDataFrame([(w,) for w in words], "word string"), PIECES, 2)
+    assert np.allclose(got, weights, rtol=1e-9)
+
+
 def test_scores_without_training_documents(spark):
     got = score_rows(spark, [(1, "a b"), (6, None)])
     assert {x.train_tokens for x in got} == {0} and all(math.isfinite(x.score) and x.score < 0 for x in got)
