@@ -117,7 +117,7 @@ FROM p""")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.new_path(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.describe(warc.records(spark, path))
+    return warc.read_back(spark, path)
 
 
 @query()

@@ -10,6 +10,8 @@ payload, as WARC's identical-payload-digest profile has it.
 ``records`` joins both tables back to the original records, byte for byte, and
 checks each payload against its key: a payload that does not hash to its key
 fails the job. ``parse_record`` reads a record with no other knowledge.
+``read_back`` parses all records and joins each, revisits too, to the payload
+that it stands for: size, digest and reference must be the stored payload's.
 
 The payload's SHA-256 decides equality; copies meet in one aggregation that
 keeps one of them, combined before the shuffle, so a payload that a third of
@@ -94,22 +96,22 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
 def verified(payloads: DataFrame) -> DataFrame:
     """``payloads`` as stored; fails where bytes do not hash to their key."""
     ok = F.unhex(F.sha2("payload", 256)) == F.col("key")
-    return payloads.select("key", F.when(ok, F.col("payload")).otherwise(
-        F.raise_error(F.lit("a stored payload does not match its digest"))).alias("payload"))
+    return payloads.withColumn("payload", F.when(ok, F.col("payload")).otherwise(
+        F.raise_error(F.lit("a stored payload does not match its digest"))))
 
 
 def records(spark: SparkSession, path: str, expand: bool = False) -> DataFrame:
-    """(page_id, record): the bytes of every record. With ``expand`` also (payload), the full one for revisits too."""
+    """(page_id, record, key): the bytes of every record. With ``expand`` also (payload), the full one for revisits too."""
     headers = spark.read.parquet(f"{path}/headers")
     payloads = verified(spark.read.parquet(f"{path}/payloads"))
     close = F.lit(END)
     if expand:
         joined = headers.join(payloads, "key")
         body = F.when(F.col("is_response"), F.col("payload")).otherwise(F.lit(b""))
-        return joined.select("page_id", F.concat("header", body, close).alias("record"), "payload")
+        return joined.select("page_id", F.concat("header", body, close).alias("record"), "key", "payload")
     full = headers.where("is_response").join(payloads, "key").select(
-        "page_id", F.concat("header", "payload", close).alias("record"))
-    return full.union(headers.where("not is_response").select("page_id", F.concat("header", close).alias("record")))
+        "page_id", F.concat("header", "payload", close).alias("record"), "key")
+    return full.union(headers.where("not is_response").select("page_id", F.concat("header", close).alias("record"), "key"))
 
 
 def parse_record(record: bytes) -> dict:
@@ -132,8 +134,8 @@ def page_of(urn: str) -> int:
     return int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
-def describe(found: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to, all read from the records' bytes.
+def parsed(found: DataFrame) -> DataFrame:
+    """key, page_id, payload_bytes, payload_digest, record_type and refers_to, all but the key read from the records' bytes.
 
     A response's payload is counted and hashed, and must agree with its headers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +154,32 @@ def describe(found: DataFrame) -> DataFrame:
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             cols = zip(*rows) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
+            yield pa.record_batch([b.column(1), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=["key", *names])
+
+    return found.select("record", "key").mapInArrow(
+        run, "key binary, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
-    return found.select("record").mapInArrow(
-        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+def describe(found: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of records, from their bytes alone."""
+    return parsed(found).drop("key")
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """``describe`` of every record of an archive, each held against the stored payload that it stands for.
+
+    Size and digest are the payload's own; a record that says otherwise, or refers to another response, fails the job."""
+    facts = verified(spark.read.parquet(f"{path}/payloads")).select(
+        "key", "response_id", F.octet_length("payload").cast("long").alias("own_bytes"),
+        base32_sha1(F.col("payload")).alias("own_digest"))
+    salted = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    said = parsed(records(spark, path)).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    agrees = ((F.col("payload_bytes") == F.col("own_bytes")) & (F.col("payload_digest") == F.col("own_digest"))
+              & (F.coalesce("refers_to", "page_id") == F.col("response_id")))
+    return said.join(salted, ["key", "salt"], "left").select(
+        "page_id", F.col("own_bytes").alias("payload_bytes"), F.when(agrees, F.col("own_digest")).otherwise(
+            F.raise_error(F.lit("a record disagrees with the payload it stands for"))).alias("payload_digest"),
+        "record_type", "refers_to")
 
 
 def new_path(spark: SparkSession) -> str:

@@ -272,6 +272,7 @@ def test_archive_round_trip(spark, tmp_path):
             want.append((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(),
                          "response" if top[h] == i else "revisit", None if top[h] == i else top[h]))
     assert sorted(map(tuple, warc.describe(warc.records(spark, path)).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, warc.read_back(spark, path).collect()), key=repr) == sorted(want, key=repr)
     full = warc.records(spark, path, expand=True).collect()
     assert sorted((r.page_id, bytes(r.payload).decode()) for r in full) == sorted((i, h or "") for i, _, h in rows if i is not None)
     evil = warc.parse_record(bytes(next(r.record for r in full if r.page_id == 4)))
@@ -282,11 +283,28 @@ def test_archive_of_nothing_and_a_damaged_payload(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(empty, str(tmp_path / "none"))
     assert warc.describe(warc.records(spark, str(tmp_path / "none"))).count() == 0
+    assert warc.read_back(spark, str(tmp_path / "none")).count() == 0
     bad = spark.createDataFrame([(bytearray(b"k" * 32), bytearray(b"v"))], "key binary, payload binary")
     with pytest.raises(Exception, match="does not match its digest"):
         warc.verified(bad).collect()
 
 
+@pytest.mark.parametrize("was, now", [("sha1:.", "sha1:0"), ("Content-Length: 3\r", "Content-Length: 4\r"),
+                                      ("Refers-To: <urn:page:8>", "Refers-To: <urn:page:5>")])
+def test_a_revisit_that_disagrees_with_its_payload_fails(spark, tmp_path, was, now):
+    pages = spark.createDataFrame([(i, f"http://{i}/", "abc" if i % 2 == 0 else "ä") for i in range(1, 10)],
+                                  "page_id long, url string, html string")
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    warc.write_archive(pages, good)
+    spark.read.parquet(f"{good}/payloads").write.parquet(f"{bad}/payloads")
+    header = F.col("header").cast("string")
+    changed = F.when(F.col("page_id") == 4, F.regexp_replace(header, was, now)).otherwise(header).cast("binary")
+    spark.read.parquet(f"{good}/headers").withColumn("header", changed).write.parquet(f"{bad}/headers")
+    assert warc.read_back(spark, good).count() == 9
+    with pytest.raises(Exception, match="disagrees with the payload"):
+        warc.read_back(spark, bad).collect()
+
+
 # ---------------------------------------------------------------- language model
 
 def brute_lattice(lattice, word):
