@@ -52,6 +52,7 @@ END_SHARE = 1e-3  # the base distribution's probability of an end
 BYTE_SHARE = 1e-4  # mass of the byte pieces, which no vocabulary scores usefully
 ROUNDS = 2
 PRIOR_USES = 100.0  # the existing scores count as so many uses of pieces
+SHORT = 64  # characters of a word whose sums are first tried in plain doubles
 NEVER = float("-inf")
 
 
@@ -72,14 +73,15 @@ class Lattice:
         self.weigh(np.exp(raw) if m.kind == UNIGRAM else 1 / (2.7 - raw))
         self.given = self.logs
         self.prefixes = prefix_table(self.pieces)
-        self.longest = max(map(len, self.pieces))
         self.spelt: dict[str, float] = {}
+        self.spelt_shares: dict[str, float] = {}
 
     def weigh(self, weights: np.ndarray) -> None:
         """Set the pieces' probabilities in proportion to ``weights``; byte pieces keep their share."""
         self.share = (1 - BYTE_SHARE) * weights / weights.sum()
         with np.errstate(divide="ignore"):
             self.logs = [*np.log(self.share).tolist(), math.log(BYTE_SHARE / 256)]
+        self.shares = self.share.tolist()
 
     def spell(self, c: str) -> float:
         """Log probability of a character's byte pieces."""
@@ -90,42 +92,99 @@ class Lattice:
     def forward(self, text: str, logs: list[float]) -> list[float]:
         """For each place of ``text``, the log of the summed probability of all segmentations up to it.
 
-        Arcs wait at their ends for as long as the longest piece; any character is also an arc of its byte pieces."""
-        n, find, spell, exp, log = len(text), self.prefixes.get, self.spell, math.exp, math.log
-        waiting = [[] for _ in range(self.longest + 1)]
-        alpha, size = [0.0] * (n + 1), len(waiting)
-        for i in range(n + 1):
-            met = waiting[i % size]
-            if i:
-                a = top = max(met)
-                if len(met) > 1 and top > NEVER:
-                    a = top + log(sum([exp(x - top) for x in met]))
-                alpha[i] = a
-                met.clear()
-                if i == n:
-                    break
-            else:
-                a = 0.0
-            for j in range(i + 1, n + 1):
+        Any character is also an arc of its byte pieces."""
+        n, find, spell, exp, log1p = len(text), self.prefixes.get, self.spell, math.exp, math.log1p
+        alpha = [NEVER] * (n + 1)
+        alpha[0] = 0.0
+        for i in range(n):
+            a, j = alpha[i], i + 1
+            x = a + spell(text[i])
+            old = alpha[j]
+            alpha[j] = x if old == NEVER else max(x, old) + log1p(exp(-abs(x - old)))
+            while j <= n:
                 k = find(text[i:j])
                 if k is None:
                     break
                 if k >= 0:
-                    waiting[j % size].append(a + logs[k])
-            if i < n:
-                waiting[(i + 1) % size].append(a + spell(text[i]))
+                    x = a + logs[k]
+                    old = alpha[j]
+                    if old == NEVER:
+                        alpha[j] = x
+                    elif old >= x:
+                        alpha[j] = old + log1p(exp(x - old))
+                    else:
+                        alpha[j] = x + log1p(exp(old - x))
+                j += 1
         return alpha
 
-    def word(self, word: str, logs: list[float] | None = None) -> float:
-        """Log of the marginal probability of the marker and ``word``, under ``logs`` or the weights as set."""
-        return self.forward(MARK + word, logs or self.logs)[-1]
+    def word(self, word: str) -> float:
+        """Log of the marginal probability of the marker and ``word``: the forward recursion's last value."""
+        return self.forward(MARK + word, self.logs)[-1]
+
+    def under_both(self, word: str) -> tuple[float, float]:
+        """``word`` under the weights as set and under the existing scores, in one walk over the arcs."""
+        text, find, spelt, logs, given = MARK + word, self.prefixes.get, self.spelt, self.logs, self.given
+        exp, log1p, n = math.exp, math.log1p, len(text)
+        alpha, other = [NEVER] * (n + 1), [NEVER] * (n + 1)
+        alpha[0] = other[0] = 0.0
+        for i, c in enumerate(text):
+            a, o, at = alpha[i], other[i], i + 1
+            x = spelt[c] if c in spelt else self.spell(c)
+            y, x = o + x, a + x
+            for j in range(i, n + 1):
+                if j > i:
+                    k = find(text[i:j])
+                    if k is None:
+                        break
+                    if k < 0:
+                        continue
+                    at, x, y = j, a + logs[k], o + given[k]
+                old, before = alpha[at], other[at]
+                if old == NEVER:
+                    alpha[at], other[at] = x, y
+                    continue
+                alpha[at] = old + log1p(exp(x - old)) if old >= x else x + log1p(exp(old - x))
+                other[at] = before + log1p(exp(y - before)) if before >= y else y + log1p(exp(before - y))
+        return alpha[n], other[n]
 
     def expect(self, word: str, into: list[float] | np.ndarray) -> None:
         """Add each piece's expected number of uses in ``word`` to ``into``.
 
-        From the end backwards, a place passes the share of segmentations that go through it on to the arcs that end
-        there, in proportion to their part of its sum; so nothing leaves the range of doubles."""
-        text, logs, find, spell, exp = MARK + word, self.logs, self.prefixes.get, self.spell, math.exp
+        Sums of most words fit a double; others are taken in logs."""
+        text, shares, find, spelt = MARK + word, self.shares, self.prefixes.get, self.spelt_shares
+        n, arcs = len(text), []
+        if n <= SHORT:
+            alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+            alpha[0] = beta[n] = 1.0
+            for i, c in enumerate(text):
+                a = alpha[i]
+                if c not in spelt:
+                    spelt[c] = math.exp(self.spell(c))
+                p = spelt[c]
+                alpha[i + 1] += a * p
+                arcs.append((i, i + 1, -1, p))
+                for j in range(i + 1, n + 1):
+                    k = find(text[i:j])
+                    if k is None:
+                        break
+                    if k >= 0:
+                        p = shares[k]
+                        alpha[j] += a * p
+                        arcs.append((i, j, k, p))
+            if alpha[n] > 1e-250:
+                alpha = [a / alpha[n] for a in alpha]
+                for i, j, k, p in reversed(arcs):
+                    p *= beta[j]
+                    beta[i] += p
+                    if k >= 0:
+                        into[k] += alpha[i] * p
+                return
+        self.expect_in_logs(text, into)
+
+    def expect_in_logs(self, text: str, into: list[float] | np.ndarray) -> None:
+        """From the end backwards, a place passes the share of segmentations that go through it on to the arcs that
+        end there, in proportion to their part of its sum."""
+        logs, find, spell, exp = self.logs, self.prefixes.get, self.spell, math.exp
         n, alpha = len(text), self.forward(text, logs)
         through = [0.0] * n + [1.0]
         for i in range(n - 1, -1, -1):
@@ -236,9 +295,8 @@ def marginals(words: DataFrame, vocabulary: str, weights: np.ndarray) -> DataFra
         lattice = load(vocabulary)
         lattice.weigh(weights)
         for b in batches:
-            found = b.column(0).to_pylist()
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([lattice.word(w) for w in found], pa.float64()),
-                                   pa.array([lattice.word(w, lattice.given) for w in found], pa.float64())],
+            both = np.array([lattice.under_both(w) for w in b.column(0).to_pylist()]).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])],
                                   names=["word", "c", "marginal", "given"])
 
     return words.select("word", "c").mapInArrow(run, "word string, c long, marginal double, given double")

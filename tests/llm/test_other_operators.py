@@ -326,6 +326,14 @@ def test_lattice_sums_all_segmentations():
     lattice = lattice_lm.Lattice(PIECES)
     for w in ["a", "the", "thering", "naïve", "漢字x", "\U0001f600", "zzzz"]:
         assert math.isclose(lattice.word(w), brute_lattice(lattice, w), rel_tol=1e-9)
+        before = lattice.word(w)
+        lattice.weigh(lattice.share[::-1])
+        assert np.allclose(lattice.under_both(w), (lattice.word(w), before), rtol=1e-12)
+        plain, logs = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
+        lattice.expect(w, plain)
+        lattice.expect_in_logs("▁" + w, logs)
+        assert np.allclose(plain, logs, rtol=1e-9)
+        lattice.weigh(lattice.share[::-1])
     # expected uses: each character of the word lies in one piece
     for w in ["thering", "x" * 2000, "字かな" * 500]:
         into = np.zeros(len(lattice.pieces))
