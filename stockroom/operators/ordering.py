@@ -9,6 +9,8 @@ result is deterministic.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +57,21 @@ HEAP = 10_000  # rows that a top-k may keep to find a page
 RANGES = 256
 
 
-def _ranges(df: DataFrame, key: Column, n: int, ranges: int) -> list[tuple]:
-    """(range number, rows) of ``df`` cut into about ``ranges`` ranges of ``key`` by a sample, and the condition of a range.
+def _ranges(df: DataFrame, key: Column, n: int, skip: int, stop: int, ranges: int) -> list[tuple]:
+    """(condition, rows) of the parts that two keys around the rows ``skip`` to ``stop`` cut the ``n`` sorted rows of ``df``
+    into: before, equal to, between, equal to and behind them.
 
-    The sample only places the cuts: rows are counted exactly, and equal keys never part."""
+    A sample only places the cuts: rows are counted exactly, with at most four comparisons a row, and equal keys never part."""
     kind = df.select(key.alias("k")).schema["k"].dataType
-    some = df.select(key.alias("k")).sample(min(1.0, 20 * ranges / n), seed=7).distinct().orderBy("k")
-    cuts = [r["k"] for r in some.collect()]
-    cuts = cuts[::max(1, len(cuts) // ranges)]
-    at = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(kind.fields, c)]) for c in cuts])
-    number = F.size(F.filter(at, lambda cut: cut <= key)) if cuts else F.lit(0)
+    some = [r["k"] for r in df.select(key.alias("k")).sample(min(1.0, 20 * ranges / n), seed=7).orderBy("k").collect()]
+    # the number of sampled rows before a row varies by its root
+    first, last = (min(x, n) / n * len(some) for x in (skip, stop))
+    places = {math.floor(first - 2 * math.sqrt(first)) - 3, math.ceil(last + 2 * math.sqrt(last)) + 3}
+    number, parts = F, 0
+    for k in [some[i] for i in sorted(places) if 0 <= i < len(some)]:
+        cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(kind.fields, k)])
+        number, parts = number.when(key < cut, parts).when(key <= cut, parts + 1), parts + 2
+    number = number.otherwise(parts) if parts else F.lit(0)
     counts = {r["i"]: r["n"] for r in df.groupBy(number.alias("i")).agg(F.count("*").alias("n")).collect()}
     return [(number == i, counts[i]) for i in sorted(counts)]
 
@@ -74,8 +81,8 @@ def page(df: DataFrame, page_no: int, page_size: int, order: list[str], heap: in
     total page count ``max(1, ceil(rows / size))`` as a scalar subquery.
 
     Up to ``heap`` rows are found by a top-k. A deeper page would need a heap of all rows before it; there, the rows are
-    cut into ranges of the order's keys and counted by range, and only the ranges that the page lies in are kept, again
-    and again until few rows are left before the page. Each round is one counting pass; nothing is sorted but the rest."""
+    cut at two keys around the page, the parts are counted, and only those that the page lies in are kept, again and
+    again until few rows are left before the page. Each round is one counting pass; nothing is sorted but the rest."""
     if page_no < 1 or page_size < 1:
         raise ValueError("page and size start at 1")
     total = df.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(page_size))).cast("int")).scalar()
@@ -83,7 +90,7 @@ def page(df: DataFrame, page_no: int, page_size: int, order: list[str], heap: in
     n = df.count() if skip + page_size > heap else 0
     while skip + page_size > heap and skip < n:
         before, kept, cond, first = 0, 0, F.lit(False), None
-        for own, rows in _ranges(left, key, n, ranges):
+        for own, rows in _ranges(left, key, n, skip, skip + page_size, ranges):
             if before + rows > skip and before < skip + page_size:
                 first = before if first is None else first
                 cond, kept = cond | own, kept + rows

@@ -34,3 +34,12 @@ def test_ties_beyond_a_heap(spark):
     df = spark.createDataFrame([(1, "x")] * 500, "k int, t string")
     assert len(ordering.page(df, 4, 100, ["k"], heap=10).collect()) == 100
     assert ordering.page(df.limit(0), 4, 100, ["k"], heap=10).collect() == []
+
+
+def test_a_page_behind_many_ties_is_cut_by_few_comparisons(spark):
+    df = spark.range(30_000).selectExpr("greatest(id, 20000L) AS k", "1 AS one")
+    got = ordering.page(df, 2003, 10, ["k", "one"], heap=500)
+    assert [x["k"] for x in got.collect()] == list(range(20_020, 20_030))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert int(plan.split("TakeOrderedAndProject(limit=")[1].split(",")[0]) <= 500
+    assert "filter(" not in got._jdf.queryExecution().optimizedPlan().toString()  # no walk over a list of cuts in each row
