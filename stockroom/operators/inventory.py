@@ -102,6 +102,33 @@ def signed_movements(incoming: DataFrame | None, sales: DataFrame | None, keys:
     return u.groupBy(*by).agg(*aggs).withColumn("Change", F.col("Incoming_Qty") - F.col("Sales_Qty"))
 
 
+def sorted_movements(incoming: DataFrame, sales: DataFrame, by: list[str], value: str = "Qty", distinct: bool = True) -> DataFrame:
+    """``signed_movements``, of each side's distinct rows if ``distinct``, with ``Receipt_Rows`` and ``Sales_Rows`` (1 where a day has some, else 0).
+
+    One sort per task finds repeats and adds the days up as a stream, where hash tables of rows, of either side's days and
+    of their union would be held at once. The number of partitions is set: merged by their compressed bytes, as repeated
+    names pack small, a few tasks would hold all rows."""
+    u = incoming.select(*by, F.lit(0).alias("_is_sale"), value).unionByName(
+        sales.select(*by, F.lit(1).alias("_is_sale"), value))
+    day, row = Window.partitionBy(*by), F.struct("_is_sale", value)
+    ordered = day.orderBy("_is_sale", value)
+    u = _spread(u, by).select("*", F.row_number().over(ordered).alias("_nth"),
+                              (~F.lag(row).over(ordered).eqNullSafe(row) if distinct else F.lit(True)).alias("_new"))
+
+    def total(side: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_new") & (F.col("_is_sale") == side), F.col(value))).over(day).cast("bigint"), F.lit(0))
+
+    u = u.select(*by, "_nth", total(0).alias("Incoming_Qty"), total(1).alias("Sales_Qty"),
+                 (1 - F.min("_is_sale").over(day)).cast("bigint").alias("Receipt_Rows"),
+                 F.max("_is_sale").over(day).cast("bigint").alias("Sales_Rows"))
+    return u.where("_nth = 1").drop("_nth").withColumn("Change", F.col("Incoming_Qty") - F.col("Sales_Qty"))
+
+
+def _spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` hashed by ``by`` into the session's number of shuffle partitions, which the adaptive plan does not merge."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def value_report(sales: DataFrame, catalogue: DataFrame, key: str = "product_id",
                  qty_col: str = "quantity_sold", price_col: str = "price") -> DataFrame:
     """INNER join of sales and catalogue with the sale value."""
@@ -336,9 +363,9 @@ def multi_day_inventory(initial: DataFrame, incoming: DataFrame, sales: DataFram
     s = (sal.join(first_receipt, keys, "left").join(known, keys, "left")
          .withColumn("_counts", F.coalesce("_initial", F.lit(False))
                      | (F.col("_first_in").isNotNull() & (F.col(date_col) >= F.col("_first_in")))))
-    counted = s.filter("_counts").select(*tx_keys, "Qty")
     ignored = s.filter(~F.col("_counts")).select(*tx_keys, "Qty")
-    moves = signed_movements(inc, counted, keys, date_col, count_sales=True)
+    moves = _known_movements(known, incoming.select(*tx_keys, "Qty"), sales.select(*tx_keys, "Qty"), keys, date_col,
+                             exact=dedupe == "exact_then_sum")
     bal = running_balance(init, moves, keys, date_col, extra=["Sales_Rows"])
     # a day fails when a sale exceeds the stock on hand after that day's receipts
     violations = bal.filter((F.col("Closing_Qty") < 0) & (F.col("Sales_Rows") > 0)).select(
@@ -352,6 +379,23 @@ def multi_day_inventory(initial: DataFrame, incoming: DataFrame, sales: DataFram
             "ignored_sales": ignored, "summary": summary}
 
 
+def _known_movements(known: DataFrame, incoming: DataFrame, sales: DataFrame, keys: list[str], date_col: str,
+                     exact: bool) -> DataFrame:
+    """Movements per (product, date) without the sales before a product is known: it is in ``known``, or had a dated
+    receipt on that day or earlier, which a running count over its days tells. Null keys are never known."""
+    moves = sorted_movements(incoming, sales, keys + [date_col], distinct=exact)
+    moves = _spread(moves, keys).join(known, keys, "left")
+    upto = Window.partitionBy(*keys).orderBy(date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    received = F.count(F.when(F.col("Receipt_Rows") > 0, F.col(date_col))).over(upto) > 0
+    named = functools.reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    moves = moves.withColumn("_counts", F.coalesce("_initial", F.lit(False)) | (named & received))
+    moves = moves.where((F.col("Receipt_Rows") > 0) | F.col("_counts"))
+    for c in ("Sales_Qty", "Sales_Rows"):
+        moves = moves.withColumn(c, F.when(F.col("_counts"), F.col(c)).otherwise(F.lit(0).cast("bigint")))
+    return moves.select(*keys, date_col, "Incoming_Qty", "Sales_Qty", "Sales_Rows",
+                        (F.col("Incoming_Qty") - F.col("Sales_Qty")).alias("Change"))
+
+
 def daily_summary(incoming: DataFrame, sales: DataFrame, date_col: str = "Date") -> DataFrame:
     """I4: per date of either input, total incoming and total sold."""
     m = signed_movements(incoming, sales, [], date_col)

@@ -233,3 +233,19 @@ def test_net_change_reject_equals_loop(spark):
         want = naive_reject(init, inc, sal)
         assert {p: q for p, q in got.items() if q or p in want} == {p: q for p, q in want.items() if q or p in got}
         assert all(x["Closing_Qty"] >= 0 for x in bal.collect())
+
+
+def test_multi_day_run_spreads_its_days_and_keeps_null_rules(spark):
+    d = [D0 + dt.timedelta(days=i) for i in range(4)]
+    init = [("C", "I", 1, 9)]
+    inc = [(d[1], "C", None, 1, 5), (None, "C", "A", 1, 4), (d[2], "C", "A", 1, 2), (d[2], "C", "A", 1, 2), (d[2], "C", "A", 1, 3)]
+    sal = [(d[2], "C", None, 1, 3), (d[1], "C", "A", 1, 1), (None, "C", "A", 1, 1), (None, "C", "I", 1, 2), (d[2], "C", "A", 1, 2),
+           (d[2], "C", "A", 1, 2), (d[3], "C", "A", 1, None), (d[3], "C", "I", 1, 0), (d[3], "C", "no", 1, 1)]
+    r = inv.multi_day_inventory(spark.createDataFrame(init, SCHEMA_INIT), spark.createDataFrame(inc, SCHEMA_TX),
+                                spark.createDataFrame(sal, SCHEMA_TX))
+    got = {(x["Brand"], x["Date"]): tuple(x)[4:] for x in r["balances"].collect()}
+    assert got == {(None, d[1]): (0, 5, 0, 5), ("A", None): (0, 4, 0, 4), ("A", d[2]): (4, 5, 2, 7), ("A", d[3]): (7, 0, 0, 7),
+                   ("I", None): (9, 0, 2, 7), ("I", d[3]): (7, 0, 0, 7)}
+    assert {(x["Brand"], x["Date"]) for x in r["ignored_sales"].collect()} == {(None, d[2]), ("A", d[1]), ("no", d[3])}
+    # merged by their bytes, all days would be held by one task
+    assert r["balances"].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
