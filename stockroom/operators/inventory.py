@@ -20,9 +20,12 @@ Products are (Brand_Category, Brand, Size_ML) unless ``keys`` says otherwise.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import look_column
 from .clean import merge_duplicates
@@ -229,28 +232,33 @@ def net_change_days(inventory: DataFrame, incoming: DataFrame, sales: DataFrame,
 
 
 def _net_change_reject(inventory: DataFrame, moves: DataFrame, keys: list[str], date_col: str):
-    """D4 'reject' over every date: a product's days (bounded by the
-    calendar) are one sorted array, folded in the JVM from the opening stock.
-    Returns ``(balances with an accepted flag, rejected rows)``."""
-    day = moves.schema[date_col].dataType.simpleString()
-    rows = f"array<struct<d:{day},c:bigint,ok:boolean,a:bigint,b:bigint>>"
-    days = moves.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col("Change").cast("long").alias("c")))).alias("days"))
-    opening = _qty_total(inventory, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("Qty").cast("long").alias("_b0"))
-    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    joined = days.join(opening, same, "left").select(*keys, "days", F.coalesce("_b0", F.lit(0).cast("long")).alias("_b0"))
-
-    def step(a, x):
-        after = a["s"] + x["c"]
-        ok = (x["c"] >= 0) | (after >= 0)
-        new = F.when(ok, after).otherwise(a["s"])
-        row = F.struct(x["d"].alias("d"), x["c"].alias("c"), ok.alias("ok"), a["s"].alias("a"), new.alias("b"))
-        return F.struct(new.alias("s"), F.concat(a["o"], F.array(row)).alias("o"))
-
-    start = F.struct(F.col("_b0").alias("s"), F.array().cast(rows).alias("o"))
-    folded = joined.select(*keys, F.explode(F.aggregate("days", start, step, lambda a: a["o"])).alias("r"))
-    res = folded.select(*keys, F.col("r.d").alias(date_col), F.col("r.c").alias("Change"), F.col("r.ok").alias("accepted"),
-                        F.col("r.a").alias("Opening_Qty"), F.col("r.b").alias("Closing_Qty"))
+    """D4 'reject' over every date: a product's opening stock and its days, in order, are folded as a stream of sorted
+    rows, so a task holds one batch and the stock so far. Returns ``(balances with an accepted flag, rejected rows)``."""
+    opening = _qty_total(inventory, keys, name="Change").withColumn("_opens", F.lit(True))
+    rows = moves.select(*keys, date_col, F.col("Change").cast("long").alias("Change"), F.lit(False).alias("_opens")).unionByName(
+        opening, allowMissingColumns=True)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_opens"), date_col))
+    rows = _spread(rows, keys).select(*keys, date_col, "Change", "_opens", (nth == 1).alias("_first"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stock = 0
+        for b in batches:
+            accepted, before, after = [], [], []
+            for change, opens, first in zip(*(b.column(c).to_pylist() for c in ("Change", "_opens", "_first"))):
+                if first:
+                    stock = 0
+                ok = opens or change >= 0 or stock + change >= 0
+                accepted.append(ok)
+                before.append(stock)
+                if ok:
+                    stock += change
+                after.append(stock)
+            new = (pa.array(accepted, pa.bool_()), pa.array(before, pa.int64()), pa.array(after, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "accepted", "Opening_Qty", "Closing_Qty"])
+
+    out = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()),
+                        T.StructField("Opening_Qty", T.LongType()), T.StructField("Closing_Qty", T.LongType())])
+    res = rows.mapInArrow(fold, out).where("NOT _opens").drop("_opens", "_first")
     return res, res.filter(~F.col("accepted"))
 
 

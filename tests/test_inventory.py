@@ -235,6 +235,33 @@ def test_net_change_reject_equals_loop(spark):
         assert all(x["Closing_Qty"] >= 0 for x in bal.collect())
 
 
+def test_reject_folds_many_days_as_a_stream(spark):
+    rng = random.Random(3)
+    dates = [D0 + dt.timedelta(days=i) for i in range(3000)]
+    brands = ["A", "B", None]
+    inc = [(d, "C", b, 1, rng.randint(0, 6)) for d in [None, *dates] for b in brands]
+    sal = [(d, "C", b, 1, rng.randint(0, 9)) for d in dates for b in brands if rng.random() < 0.8]
+    init = [("C", "A", 1, 20), ("C", None, 1, 7), ("C", "still", 1, 5)]
+    change = defaultdict(int)
+    for sign, rows in ((1, inc), (-1, sal)):
+        for d, _, b, _, q in rows:
+            change[b, d] += sign * q
+    stock, want = {"A": 20, None: 7}, {}
+    for (b, d), c in sorted(change.items(), key=lambda x: (x[0][1] is not None, x[0][1] or D0)):
+        old = stock.get(b, 0)
+        ok = c >= 0 or old + c >= 0
+        stock[b] = old + c if ok else old
+        want[b, d] = (c, ok, old, stock[b])
+    got, refused = inv.net_change_days(spark.createDataFrame(init, SCHEMA_INIT), spark.createDataFrame(inc, SCHEMA_TX),
+                                       spark.createDataFrame(sal, SCHEMA_TX), on_negative="reject")
+    rows = got.collect()
+    assert len(rows) == len(want)
+    assert {(x["Brand"], x["Date"]): (x["Change"], x["accepted"], x["Opening_Qty"], x["Closing_Qty"]) for x in rows} == want
+    assert refused.count() == sum(not x[1] for x in want.values())
+    # an array of days that grows by copies takes time with the square of their number
+    assert "concat(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_multi_day_run_spreads_its_days_and_keeps_null_rules(spark):
     d = [D0 + dt.timedelta(days=i) for i in range(4)]
     init = [("C", "I", 1, 9)]
