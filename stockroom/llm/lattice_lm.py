@@ -19,11 +19,13 @@ the product of its words' marginals under the existing scores alone, with
 nothing learnt from the corpus.
 
 Work on Spark: documents are folded into blocks of bounded size, each with its
-own word list and the documents as places in it. Training counts are summed by
-word, combined before the shuffle, and the lattice runs once per word of that
-table. A join by word, whose hot words Spark's adaptive plan splits, takes the
-numbers back to the blocks, where documents are added up. So a row moves once
-per block and word, not once per token.
+own word list and the documents as places in it. The lists are sorted by word
+and each word becomes one row: its training count and where it stands in which
+blocks (one place per block, so even the most frequent word has no more than
+one for a million tokens of the corpus). The lattice runs once per such row,
+and the numbers go straight back to the places, packed by block; there
+documents are added up. So a word moves once per block that has it, not once
+per token, and its numbers once more.
 
 Defined cases: a null or empty text is one end and has the lattice score 0;
 rows with a null doc_id are left out; repeated rows are counted and scored each; without training
@@ -41,6 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,7 @@ from .common import save
 from .piece_model import MARK, NORMAL, UNIGRAM, USER_DEFINED, parse_model
 
 BLOCK_TOKENS = 1 << 20
+HELD_PLACES = 1 << 20  # places whose numbers a task gathers before it packs them by block
 END_SHARE = 1e-3  # the base distribution's probability of an end
 BYTE_SHARE = 1e-4  # mass of the byte pieces, which no vocabulary scores usefully
 ROUNDS = 2
@@ -212,7 +216,22 @@ def load(path: str) -> Lattice:
 
 
 BLOCK_SCHEMA = ("block long, doc_ids array<long>, train array<boolean>, n_tokens array<long>, sizes array<int>, "
-                "places binary, times binary, words array<string>, counts array<long>")
+                "uses binary, words array<string>, counts array<long>")
+USES = np.dtype([("place", "<u4"), ("times", "<u4")])
+NUMBERS = np.dtype([("place", "<u4"), ("c", "<i8"), ("marginal", "<f8"), ("given", "<f8")])
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """Rows of numbers as compressed bytes: first all rows' first bytes, then all second ones, as high bytes are alike."""
+    return pa.compress(rows.view("u1").reshape(len(rows), -1).T.tobytes(), "zstd", asbytes=True) if len(rows) else b""
+
+
+def unpack(packed: bytes, size: int, kind: np.dtype) -> np.ndarray:
+    """The ``size`` rows that were packed."""
+    if not size:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(packed, size * kind.itemsize, "zstd", asbytes=True), "u1")
+    return planes.reshape(kind.itemsize, size).T.copy().view(kind)[:, 0]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -220,12 +239,13 @@ def blocks(docs: DataFrame) -> DataFrame:
     def flush(rows: list, words: dict, counts: list) -> pa.RecordBatch:
         ids, train, n, places, times = zip(*rows)
         cell = lambda x, t: pa.array([x], t)
+        uses = np.empty(sum(map(len, places)), USES)
+        uses["place"], uses["times"] = np.concatenate(places), np.concatenate(times)
         return pa.record_batch([
             cell(uuid.uuid4().int >> 65, pa.int64()), cell(list(ids), pa.list_(pa.int64())),
             cell(list(train), pa.list_(pa.bool_())), cell(list(n), pa.list_(pa.int64())),
             cell([len(p) for p in places], pa.list_(pa.int32())),
-            cell(np.concatenate(places).astype("<u4").tobytes(), pa.binary()),
-            cell(np.concatenate(times).astype("<u4").tobytes(), pa.binary()),
+            cell(pack(uses), pa.binary()),
             cell([w.decode() for w in words], pa.list_(pa.string())), cell(counts, pa.list_(pa.int64()))],
             names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
@@ -253,12 +273,46 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def word_counts(folded: DataFrame) -> DataFrame:
-    """(word, c): each distinct word of all blocks with its training count."""
-    listed = folded.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    counted = listed.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("c"))
+def word_places(folded: DataFrame) -> DataFrame:
+    """(word, c, blocks, places): each distinct word of all blocks, its training count and its places in the blocks.
+
+    A stream of rows sorted by word, of which a task holds one batch and one word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            at = pa.array(np.append(starts, len(t)).astype(np.int32))
+            whole = lambda k: t[k].combine_chunks()
+            c = np.add.reduceat(t["count"].to_numpy(), starts)
+            return pa.record_batch([whole("word").take(pa.array(starts)), pa.array(c), pa.ListArray.from_arrays(at, whole("block")),
+                                    pa.ListArray.from_arrays(at, whole("place"))], names=["word", "c", "blocks", "places"])
+
+        # the last word may go on: its rows wait, together only once it has ended
+        waiting, last = [], None
+        for b in batches:
+            if not len(b):
+                continue
+            words = b.column("word")
+            new = np.flatnonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) + 1
+            if last is None or words[0].as_py() == last:
+                if not len(new):
+                    waiting, last = [*waiting, b], words[0].as_py()
+                    continue
+                waiting.append(b.slice(0, new[0]))
+                b, new = b.slice(new[0]), new - new[0]
+            else:
+                new = np.insert(new, 0, 0)
+            yield rows(pa.Table.from_batches(waiting), np.array([0]))
+            if new[-1]:
+                yield rows(pa.Table.from_batches([b.slice(0, new[-1])]), new[:-1])
+            waiting, last = [b.slice(new[-1])], words[len(words) - 1].as_py()
+        if waiting:
+            yield rows(pa.Table.from_batches(waiting), np.array([0]))
+
+    listed = folded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
+        F.col("w.words").alias("word"), "block", "place", F.col("w.counts").alias("count"))
     # A set number of partitions, as few bytes of words are many seconds of lattices.
-    return counted.repartition(int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(
+        run, "word string, c long, blocks array<long>, places array<int>")
 
 
 def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -290,16 +344,43 @@ def fit_pieces(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.nd
 
 
 def marginals(words: DataFrame, vocabulary: str, weights: np.ndarray) -> DataFrame:
-    """(word, c, marginal, given): the log marginal of each word under ``weights`` and under the existing scores."""
+    """(of_block, n, numbers): packed, for ``n`` places of a block, the training count of the word there and its log
+    marginals under ``weights`` and under the existing scores."""
+    def by_block(held: list) -> pa.RecordBatch:
+        blocks, places, c, marginal, given = (np.concatenate(x) for x in zip(*held))
+        ids, of = np.unique(blocks, return_inverse=True)
+        order = np.argsort(of << 32 | places)
+        ends = np.cumsum(np.bincount(of, minlength=len(ids)))
+        told = np.empty(len(order), NUMBERS)
+        for k, x in (("place", places), ("c", c), ("marginal", marginal), ("given", given)):
+            told[k] = x[order]
+        parts = np.split(told, ends[:-1])
+        return pa.record_batch([pa.array(ids), pa.array([len(x) for x in parts], pa.int32()),
+                                pa.array([pack(steps(x)) for x in parts], pa.binary())], names=["of_block", "n", "numbers"])
+
+    def steps(told: np.ndarray) -> np.ndarray:
+        told["place"][1:] = np.diff(told["place"])
+        return told
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = load(vocabulary)
         lattice.weigh(weights)
+        held, n = [], 0
         for b in batches:
+            if not len(b):
+                continue
             both = np.array([lattice.under_both(w) for w in b.column(0).to_pylist()]).reshape(-1, 2)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                                  names=["word", "c", "marginal", "given"])
+            times = pc.list_value_length(b.column(2)).to_numpy()
+            held.append((b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy().astype(np.int64),
+                         *(np.repeat(x, times) for x in (b.column(1).to_numpy(), both[:, 0], both[:, 1]))))
+            n += len(held[-1][0])
+            if n >= HELD_PLACES:
+                yield by_block(held)
+                held, n = [], 0
+        if held:
+            yield by_block(held)
 
-    return words.select("word", "c").mapInArrow(run, "word string, c long, marginal double, given double")
+    return words.select("word", "c", "blocks", "places").mapInArrow(run, "of_block long, n int, numbers binary")
 
 
 def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFrame:
@@ -307,7 +388,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFram
 
     ``train`` is a condition on doc_id; ``vocabulary`` the path of a SentencePiece model."""
     folded = save(blocks(docs.where("doc_id is not null").select("doc_id", "text", train.alias("train"))), "zstd")
-    words = save(word_counts(folded), "zstd")
+    words = save(word_places(folded), "zstd")
     ends, in_docs = folded.select(F.explode(F.arrays_zip("train", "n_tokens")).alias("d")).agg(
         F.count_if(F.col("d.train")), F.coalesce(F.sum(F.when(F.col("d.train"), F.col("d.n_tokens"))), F.lit(0))).first()
     types, once, twice = words.agg(*[F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
@@ -322,10 +403,12 @@ def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFram
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score", "lattice_score")}
-        place = right["place"].to_numpy()
-        c = np.zeros(len(place), np.float64)
-        log_marginal, given = np.zeros(len(place)), np.zeros(len(place))
-        c[place], log_marginal[place], given[place] = (right[k].to_numpy() for k in ("c", "marginal", "given"))
+        held = sum(right["n"].to_pylist())
+        c, log_marginal, given = np.zeros(held), np.zeros(held), np.zeros(held)
+        for packed, size in zip(right["numbers"].to_pylist(), right["n"].to_pylist()):
+            told = unpack(packed, size, NUMBERS)
+            place = np.cumsum(told["place"], dtype=np.int64)
+            c[place], log_marginal[place], given[place] = (told[k] for k in ("c", "marginal", "given"))
         plain = np.log10(c + 0.5)
         # a marginal too small for a double still counts in full where the word has no count
         with np.errstate(divide="ignore"):
@@ -335,8 +418,9 @@ def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFram
         end_plain, end_full = math.log10(ends + 0.5), float(logs(np.array([float(ends)]), np.array([END_SHARE]))[0])
         norm = math.log10(n + 0.5 * (v + 1))
         for row in left.to_pylist():
-            at, times = (np.frombuffer(row[k], "<u4") for k in ("places", "times"))
             sizes = np.array(row["sizes"], np.int64)
+            uses = unpack(row["uses"], int(sizes.sum()), USES)
+            at, times = uses["place"], uses["times"]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             add = lambda x: np.bincount(owner, x[at] * times, len(sizes))
             tokens = np.array(row["n_tokens"], np.int64)
@@ -351,10 +435,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train: Column) -> DataFram
             ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
             ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64()), ("train_tokens", pa.int64())]))
 
-    # A partition's distinct words are the small side; hashing them spares a sort of all blocks' words.
-    known = save(marginals(words, vocabulary, weights), "zstd").hint("shuffle_hash")
-    listed = folded.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "word"))
-    told = listed.join(known, "word").select("of_block", "place", "c", "marginal", "given")
+    told = marginals(words, vocabulary, weights)
     return folded.drop("words", "counts").groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(
         run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, "
              "lattice_score double, train_tokens long")

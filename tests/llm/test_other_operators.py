@@ -435,6 +435,50 @@ def test_fitted_pieces_equal_expectation_by_enumeration(spark):
     assert np.allclose(got, weights, rtol=1e-9)
 
 
+@pytest.mark.parametrize("batch, held", [(1, 1), (3, 7), (7, 1 << 20), (10_000, 50)])
+def test_word_lists_become_one_row_per_word(spark, monkeypatch, batch, held):
+    """A word's rows may come in several batches; its numbers get to each of its places once."""
+    monkeypatch.setattr(lattice_lm, "BLOCK_TOKENS", 20)
+    monkeypatch.setattr(lattice_lm, "HELD_PLACES", held)
+    r = random.Random(6)
+    rows = [(i, " ".join(["the", *(f"w{int(r.paretovariate(0.5)) % 60}" for _ in range(8))]), i % 3 > 0) for i in range(60)]
+    folded = save(lattice_lm.blocks(spark.createDataFrame([*rows, (99, None, True)], "doc_id long, text string, train boolean").repartition(2)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        words = save(lattice_lm.word_places(folded))
+        told = lattice_lm.marginals(words, PIECES, lattice_lm.load(PIECES).share).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lists = {x.block: x.words for x in folded.collect()}
+    count = Counter(w for _, t, train in rows if train for w in t.split())
+    got = words.collect()
+    assert sorted((x.word, x.c) for x in got) == sorted((w, count[w]) for w in {w for _, t, _ in rows for w in t.split()})
+    assert sorted((b, p, x.word) for x in got for b, p in zip(x.blocks, x.places)) == sorted(
+        (b, p, w) for b, listed in lists.items() for p, w in enumerate(listed))
+    lattice = lattice_lm.Lattice(PIECES)
+    numbers = [(x.of_block, int(p), int(m["c"]), m["marginal"], m["given"]) for x in told
+               for m in [lattice_lm.unpack(x.numbers, x.n, lattice_lm.NUMBERS)] for p, m in zip(np.cumsum(m["place"]), m)]
+    assert len(numbers) == sum(map(len, lists.values()))
+    assert len({x[:2] for x in numbers}) == len(numbers)
+    for b, p, c, marginal, given in numbers:
+        w = lists[b][p]
+        assert c == count[w] and np.allclose((marginal, given), lattice.word(w), rtol=1e-9)
+
+
+def test_numbers_go_back_without_a_second_shuffle_of_words(spark):
+    """Once the words of each block moved twice and their numbers as plain rows: above 4 x the input on disk."""
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(20)], "doc_id long, text string")
+    scored = lattice_lm.score_documents(docs, PIECES, F.lit(True))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "word#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    r = np.random.default_rng(1)
+    rows = np.empty(5000, lattice_lm.NUMBERS)
+    rows["place"], rows["c"], rows["marginal"], rows["given"] = 1, r.geometric(0.3, 5000), -r.random(5000) * 40, -r.random(5000) * 60
+    packed = lattice_lm.pack(rows)
+    assert len(packed) < 18 * len(rows) and (lattice_lm.unpack(packed, 5000, lattice_lm.NUMBERS) == rows).all()
+    assert len(lattice_lm.unpack(lattice_lm.pack(rows[:0]), 0, lattice_lm.NUMBERS)) == 0
+
+
 def test_scores_without_training_documents(spark):
     got = score_rows(spark, [(1, "a b"), (6, None)])
     assert {x.train_tokens for x in got} == {0} and all(math.isfinite(x.score) and x.score < 0 for x in got)
