@@ -18,7 +18,8 @@ Links are counted by pairs of ids over the whole corpus: documents are put
 into blocks of about a million links, a block brings one row per distinct pair, and
 the totals come back to the blocks by a join on the pair. No row per link is
 shuffled, no pair's rows outnumber the blocks, and no table of pairs is sent
-to the driver or to all tasks.
+to the driver or to all tasks. One Python process per task encodes, aligns and
+fills the blocks, in which the links are compressed, so that rows stay small.
 
 Defined cases: texts that are null or empty, or that a tokenizer does not give
 back byte for byte (B's normaliser may change them) have no tokens: empty
@@ -52,6 +53,7 @@ PART = 1 << 20  # characters that B encodes at once
 BLOCK = 1 << 20  # links of a block, unless one document has more
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, link_a array<int>, link_b array<int>, cuts array<long>"
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _BLANK = re.compile("(?<=[!-~À-ɏ])(?= .)", re.DOTALL)  # a lone blank at the end would be an empty part
 
 
@@ -160,22 +162,29 @@ def _batches(texts: Iterator[str | None], chars: int) -> Iterator[list[str | Non
         yield held
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], a: byte_tokenizer.ByteTokenizer, b: PieceBytes) -> Iterator[pa.RecordBatch]:
+    """``ALIGNED`` of batches of (doc_id, text)."""
+    for batch in batches:
+        at = 0
+        for texts in _batches((v.as_py() for v in batch.column(1)), BATCH_CHARS):
+            yield pa.record_batch([batch.column(0).slice(at, len(texts)), *align_texts(texts, a, b)],
+                                  names=["doc_id", "a_ids", "b_ids", "link_a", "link_b", "cuts"])
+            at += len(texts)
+
+
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, a_ids, b_ids, link_a, link_b, cuts) of every document.
 
     ``link_a`` and ``link_b`` are the places of linked tokens in ``a_ids`` and ``b_ids``, ``cuts`` the bytes of
     blank + text at which they end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_tokenizer.load(a_path), pieces(b_path)
-        for batch in batches:
-            at = 0
-            for texts in _batches((v.as_py() for v in batch.column(1)), BATCH_CHARS):
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *align_texts(texts, a, b)],
-                                      names=["doc_id", "a_ids", "b_ids", "link_a", "link_b", "cuts"])
-                at += len(texts)
+        return _aligned(batches, byte_tokenizer.load(a_path), pieces(b_path))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, ALIGNED)
+    return _texts(docs).mapInArrow(run, ALIGNED)
 
 
 def _decimals(size: int, signs: str) -> np.ndarray:
@@ -204,13 +213,32 @@ def group_texts(a_ids, b_ids, link_a, link_b, tables) -> tuple[bytes, np.ndarray
     return code[used].tobytes(), sizes[link_a + link_b + 1] if n else np.empty(0, np.int64)
 
 
-def blocks(aligned: DataFrame, a_size: int, b_size: int) -> DataFrame:
-    """Rows of about ``BLOCK`` links: the documents' digests, the distinct pairs with their counts, and for
-    each link, document by document, the place of its pair."""
+def _packed(places: np.ndarray, n_pairs: int) -> bytes:
+    """Places among ``n_pairs`` pairs, in as few bytes each as hold them, compressed."""
+    return _ZSTD.compress(places.astype(_place(n_pairs)).tobytes(), asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int, n_pairs: int) -> np.ndarray:
+    kind = np.dtype(_place(n_pairs))
+    return np.frombuffer(_ZSTD.decompress(packed, n * kind.itemsize, asbytes=True), kind) if n else np.empty(0, kind)
+
+
+def _place(n_pairs: int) -> str:
+    return "<u2" if n_pairs <= 1 << 16 else "<u4"
+
+
+def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Rows of about ``BLOCK`` links of ``align``: the documents' digests, the distinct pairs with their counts, and for
+    each link, document by document, the place of its pair (``_packed``).
+
+    The aligned lists are read in the process that made them: a second one for each task, and their way there through
+    the executor, would take as much memory again."""
     schema = ("block long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>>, "
               "pairs array<long>, counts array<long>, places binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = byte_tokenizer.load(a_path), pieces(b_path)
+        a_size, b_size = len(a.tokens), len(b.tokens)
         width = max(len(str(a_size)), len(str(b_size))) + 1
         tables = [np.pad(t, ((0, 0), (0, width - t.shape[1])))
                   for t in (_decimals(a_size, ",|"), _decimals(b_size, ",;"))]
@@ -226,10 +254,10 @@ def blocks(aligned: DataFrame, a_size: int, b_size: int) -> DataFrame:
             return pa.record_batch(
                 [pa.array([part << 32 | number], pa.int64()), pa.array([docs], pa.list_(kind)),
                  pa.array([pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([places.astype("<u4").tobytes()], pa.binary())],
+                 pa.array([_packed(places, len(pairs))], pa.binary())],
                 names=["block", "docs", "pairs", "counts", "places"])
 
-        for whole in batches:
+        for whole in _aligned(batches, a, b):
             for batch in _sliced(whole):
                 ids, offsets = batch.column(0).to_pylist(), []
                 values = []
@@ -258,7 +286,7 @@ def blocks(aligned: DataFrame, a_size: int, b_size: int) -> DataFrame:
         if docs:
             yield flush()
 
-    return aligned.drop("cuts").mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(run, schema)
 
 
 def _sliced(batch: pa.RecordBatch, tokens: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -280,9 +308,8 @@ def pair_totals(pairs: DataFrame) -> DataFrame:
     return totals.withColumn("best", F.col("total") == F.max("total").over(of_b))
 
 
-def digest(aligned: DataFrame, a_size: int, b_size: int) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``aligned``."""
-    made = save(blocks(aligned, a_size, b_size), "zstd")
+def digest(made: DataFrame) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document of saved ``blocks``."""
     listed = made.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "p")).select(
         "block", "place", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
     totals = save(pair_totals(listed.select("pair", "n")))
@@ -295,11 +322,11 @@ def digest(aligned: DataFrame, a_size: int, b_size: int) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 docs = pa.Table.from_struct_array(batch.column(0).slice(i, 1).flatten())
-                places = np.frombuffer(batch.column(1)[i].as_py(), "<u4")
                 total, best = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+                ends = np.cumsum([0, *docs["n_links"].to_pylist()])
+                places = _unpacked(batch.column(1)[i].as_py(), int(ends[-1]), len(total))
                 sums = np.concatenate([[0], np.cumsum(total.astype(np.int64)[places])])
                 bests = np.concatenate([[0], np.cumsum(best.astype(np.int64)[places])])
-                ends = np.cumsum([0, *docs["n_links"].to_pylist()])
                 columns = {c: docs[c].combine_chunks() for c in docs.column_names}
                 columns |= {"n_best": pa.array(np.diff(bests[ends])), "count_sum": pa.array(np.diff(sums[ends]))}
                 yield pa.record_batch([columns[c] for c in names], names=names)
@@ -310,4 +337,4 @@ def digest(aligned: DataFrame, a_size: int, b_size: int) -> DataFrame:
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """The digests of ``align``, with the corpus-wide counts of the links' id pairs."""
-    return digest(align(docs, a_path, b_path), len(byte_tokenizer.load(a_path).tokens), len(pieces(b_path).tokens))
+    return digest(save(blocks(docs, a_path, b_path), "zstd"))

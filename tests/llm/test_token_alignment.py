@@ -99,6 +99,34 @@ def test_many_blocks_share_the_counts(docs_of, library, monkeypatch):
     assert plain(token_alignment.align_documents(docs_of(rows).repartition(7), BYTE_BPE, PIECES)) == brute(rows, library)
 
 
+def test_a_task_has_one_python_process_and_a_link_two_bytes_at_most(docs_of, monkeypatch):
+    saved, save = [], token_alignment.save
+
+    def kept(df, *how):
+        saved.append((df._jdf.queryExecution().optimizedPlan().toString(), save(df, *how)))
+        return saved[-1][1]
+
+    monkeypatch.setattr(token_alignment, "save", kept)
+    n_links = sum(r[4] for r in plain(token_alignment.align_documents(docs_of(texts(300, 4)).coalesce(1), BYTE_BPE, PIECES)))
+    steps, made = next(x for x in saved if "places" in x[1].columns)
+    assert steps.count("MapInArrow") == 1
+    assert 0 < made.select(F.sum(F.octet_length("places"))).first()[0] <= 2 * n_links
+
+
+@pytest.mark.parametrize("n_pairs", [1, 1 << 16, (1 << 16) + 1])
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_packed_places_come_back(n, n_pairs):
+    places = np.random.default_rng(n).integers(0, n_pairs, n)
+    places[:1] = n_pairs - 1
+    back = token_alignment._unpacked(token_alignment._packed(places, n_pairs), n, n_pairs)
+    assert back.tolist() == places.tolist()
+
+
+def test_blocks_without_links(docs_of):
+    got = plain(token_alignment.align_documents(docs_of([(1, None), (2, ""), (2, "")]), BYTE_BPE, PIECES))
+    assert got == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2, 2)]
+
+
 @pytest.mark.parametrize("lane", [1, 2, 5, 1000])
 def test_lockstep_is_the_intersection_of_ends(lane):
     r = np.random.default_rng(lane)
